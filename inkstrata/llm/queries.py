@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import decontaminate, quality_rules
+from inkstrata.llm import decontaminate, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": decontaminate.query,
+        "op4_simhash": simhash.query,
         "op8_quality_rules": quality_rules.query,
     }
 
