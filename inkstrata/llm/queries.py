@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import decontaminate, quality_rules, simhash
+from inkstrata.llm import decontaminate, quality_rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": decontaminate.query,
         "op4_simhash": simhash.query,
         "op8_quality_rules": quality_rules.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
