@@ -80,17 +80,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
 
-def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket; `docs` has doc_id and text, `trusted` the ids of good documents.
+def counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of each bucket in all of `docs` (doc_id, text), and in those whose ids `trusted` has.
 
     Tasks send at most BUCKETS sums each into one aggregation; the driver gets the BUCKETS totals.
     """
     ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("trusted", F.lit(True))
     marked = join_bounded(docs.select("doc_id", "text"), ids, "doc_id", "left").select("text", "trusted")
-    sums = marked.mapInArrow(_count, COUNT_SCHEMA).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for x in sums.collect():
-        raw[x.bucket], target[x.bucket] = x.raw, x.target
+    sums = marked.mapInArrow(_count, COUNT_SCHEMA).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    raw, target, at = np.zeros(BUCKETS), np.zeros(BUCKETS), sums.column("bucket").to_numpy()
+    raw[at], target[at] = sums.column("raw").to_numpy(), sums.column("target").to_numpy()
+    return raw, target
+
+
+def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """log(p_target / p_raw) of each bucket; `docs` has doc_id and text, `trusted` the ids of good documents."""
+    raw, target = counts(docs, trusted)
     if not target.sum():
         return np.zeros(BUCKETS)
     p_raw = (raw + 1) / (raw.sum() + BUCKETS)

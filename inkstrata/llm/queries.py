@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import decontaminate, quality_rules, simhash, toxicity
+from inkstrata.llm import decontaminate, importance, quality_rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": decontaminate.query,
         "op4_simhash": simhash.query,
+        "op7_quality_classifier": importance.query,
         "op8_quality_rules": quality_rules.query,
         "op10_toxicity": toxicity.query,
     }
