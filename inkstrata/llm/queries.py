@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import decontaminate, importance, quality_rules, simhash, toxicity
+from inkstrata.llm import decontaminate, html_extract, importance, quality_rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": html_extract.query,
         "op3_decontaminate": decontaminate.query,
         "op4_simhash": simhash.query,
         "op7_quality_classifier": importance.query,
