@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import decontaminate, html_extract, importance, quality_rules, simhash, toxicity
+from inkstrata.llm import decontaminate, html_extract, importance, quality_rules, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": html_extract.query,
+        "op2_warc": warc.query,
         "op3_decontaminate": decontaminate.query,
         "op4_simhash": simhash.query,
         "op7_quality_classifier": importance.query,
@@ -22,5 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.SQL,
         "op3_decontaminate": decontaminate.SQL,
     }
