@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import decontaminate, html_extract, importance, lbl, quality_rules, simhash, toxicity, warc
+from inkstrata.llm import decontaminate, html_extract, importance, lbl, quality_rules, simhash, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lbl": lbl.query,
         "op7_quality_classifier": importance.query,
         "op8_quality_rules": quality_rules.query,
+        "op9_token_files": token_files.query,
         "op10_toxicity": toxicity.query,
     }
 
