@@ -42,7 +42,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str], how: str, max_rows: int = 500_000) -> DataFrame:
+def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str, max_rows: int = 500_000) -> DataFrame:
     """Join that broadcasts `right` only when a count of it shows at most `max_rows` narrow rows, and shuffles otherwise."""
     few = right.limit(max_rows + 1).count() <= max_rows
     return left.join(F.broadcast(right) if few else right, on, how)

@@ -160,8 +160,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of `docs` that are not contaminated."""
-    dirty = contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).where("contaminated").select(F.col("doc_id").alias("dirty_id")).distinct()
-    return docs.join(dirty, docs.doc_id.eqNullSafe(dirty.dirty_id), "left_anti")
+    found = contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).where("contaminated")
+    dirty = stored(found.select(F.col("doc_id").alias("dirty_id")).distinct(), "contaminated")
+    return join_bounded(docs, dirty, docs.doc_id.eqNullSafe(dirty.dirty_id), "left_anti", 2_000_000)
 
 
 _SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

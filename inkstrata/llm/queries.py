@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import decontaminate, html_extract, importance, lbl, quality_rules, simhash, token_files, toxicity, warc
+import corpus_pipeline
+from inkstrata.llm import decontaminate, html_extract, importance, lbl, pieces, quality_rules, simhash, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +17,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": decontaminate.query,
         "op4_simhash": simhash.query,
         "op5_lbl": lbl.query,
+        "op6_pieces": pieces.query,
         "op7_quality_classifier": importance.query,
         "op8_quality_rules": quality_rules.query,
         "op9_token_files": token_files.query,
         "op10_toxicity": toxicity.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
