@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import MapType, StringType
 
 from inkstrata.core import lexis as lx
 
@@ -77,33 +78,33 @@ def _on_bytes(function):
     return apply
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def fold_label(labels: pa.Array) -> pa.Array:
     """The form in which labels are compared, by full case folding; null for a label that names nothing."""
     return _on_bytes(lx.fold_label)(labels)
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def decode_entities(texts: pa.Array) -> pa.Array:
     return _on_bytes(lx.decode_entities)(texts)
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def casefold(texts: pa.Array) -> pa.Array:
     return pa.array([None if x is None else x.casefold() for x in texts.to_pylist()], pa.string())
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def clean_url(texts: pa.Array) -> pa.Array:
     return _on_bytes(lx.clean_url)(texts)
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def clean_title(texts: pa.Array) -> pa.Array:
     return _on_bytes(lx.clean_title)(texts)
 
 
-@arrow_udf("map<string,string>")
+@arrow_udf(MapType(StringType(), StringType()))
 def directive_attributes(texts: pa.Array) -> pa.Array:
     """The attributes in a directive's braces (without them); null if the block is rejected."""
     from inkstrata.core.attributes import attributes
