@@ -75,10 +75,13 @@ def _refine(block: Block, context: Context) -> None:
     """Parse a block's inlines if it owns any, and make its last changes of kind."""
     options = context.options
     if block.kind in UNITS:
-        data = bytes(block.content).rstrip(lx.SPACES)
-        Scanner(block, data, block.line, block.col - 1 + block.inline_offset, context).run()
-        join_texts(block)
-        if options.autolinks:
+        data, offset = bytes(block.content).rstrip(lx.SPACES), block.col - 1 + block.inline_offset
+        if data and not context.special.search(data):  # nothing but text
+            block.append(Node("Text", block.line, offset + 1, block.line, offset + len(data), literal=data))
+        elif data:
+            Scanner(block, data, block.line, offset, context).run()
+            join_texts(block)
+        if options.autolinks and b"@" in data:
             link_mails(block)
     if block.kind == "HTMLBlock":
         block.fields["comment"] = lx.is_comment(block.fields["literal"])

@@ -51,56 +51,89 @@ def _columns(schema: str) -> list[tuple[str, str]]:
     return out
 
 
-_FIELDS = [(name, pa.binary() if name in TEXTS else _ARROW[kind]) for name, kind in _columns(NODE_SCHEMA)]
-
-
-def _rows(doc_id: int | None, root: Node) -> Iterator[dict]:
-    """One row for each node in document order; numbers for entering and leaving order the whole tree."""
-    stack: list[dict] = []
-    hashes: dict[int, list[bytes]] = {}
-    rows: list[dict] = []
-    clock = 0
-    for node, depth, entering in root.walk():
-        if entering:
-            parent = stack[-1] if stack else None
-            row = {"doc_id": doc_id, "node_id": len(rows), "kind": node.kind, "depth": depth, "pre": clock, "child_count": 0, "post": None}
-            row["parent_id"] = parent["node_id"] if parent else None
-            row["ordinal"] = parent["child_count"] if parent else 0
-            if parent:
-                parent["child_count"] += 1
-            row["scope"] = {"start": {"line": node.line, "column": node.col}, "end": {"line": node.eline, "column": node.ecol}}
-            f = node.fields
-            for name in ("level", "flavor", "start", "tight", "checked", "mode", "fenced", "closed", "comment", "is_header", "form", "alignments", *TEXTS):
-                if name in f:
-                    row[name] = f[name]
-            if node.kind in ("HTML", "HTMLBlock"):
-                row["comment"] = md.lx.is_comment(f["literal"])
-            elif node.kind == "CodeBlock":
-                row["mode"], row["language"] = "standalone", md.language_of(f["info"])
-            elif node.kind == "Code":
-                row["mode"] = "embedded"
-            elif node.kind in ("Directive", "DirectiveBlock") and f["attributes"] is not None:
-                row["attributes"] = list(f["attributes"].items())
-            rows.append(row)
-            stack.append(row)
-            hashes[row["node_id"]] = []
-        else:
-            row = stack.pop()
-            row["post"] = clock
-            own = xxhash.xxh64(node.kind.encode())
-            for name, value in md.shown_fields(node):
-                own.update(name.encode() + b"\0" + value + b"\0")
-            for child in hashes.pop(row["node_id"]):
-                own.update(child)
-            row["subtree_hash"] = int.from_bytes(own.digest(), "big", signed=True)
-            if stack:
-                hashes[stack[-1]["node_id"]].append(own.digest())
-        clock += 1
-    yield from rows
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kind) for name, kind in _FIELDS], [name for name, _ in _FIELDS])
+#: Columns that only some kinds have, with the kinds of values in Arrow.
+_OWN = {name: pa.binary() if name in TEXTS else _ARROW[kind] for name, kind in _columns(NODE_SCHEMA) if name not in (
+    "doc_id", "node_id", "parent_id", "kind", "depth", "ordinal", "child_count", "pre", "post", "scope", "subtree_hash",
+)}
+_PLAIN_FIELDS = frozenset(_OWN) - {"attributes"}
+
+
+def _digest(node: Node, below: list[bytes]) -> bytes:
+    own = xxhash.xxh64(node.kind.encode())
+    for name, value in md.shown_fields(node):
+        own.update(name.encode() + b"\0" + value + b"\0")
+    for child in below:
+        own.update(child)
+    return own.digest()
+
+
+class _Rows:
+    """Node rows as columns. Columns that few kinds have are kept as (row, value) until a batch is made."""
+
+    def __init__(self, kinds: frozenset[str] | None, hashes: bool):
+        self.kinds, self.hashes = kinds, hashes
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: list[list] = []  # doc_id, node_id, parent_id, kind, depth, ordinal, children, pre, post, four of the scope, hash
+        self.own: dict[str, list[tuple[int, object]]] = {name: [] for name in _OWN}
+
+    def add(self, doc_id: int | None, root: Node) -> None:
+        """One row for each node in document order; numbers for entering and leaving order the whole tree."""
+        stack: list[tuple[list, list[bytes]]] = []
+        clock = number = 0
+        for node, depth, entering in root.walk():
+            if entering:
+                above = stack[-1][0] if stack else None
+                place = [doc_id, number, above[1] if above else None, node.kind, depth, above[6] if above else 0, 0, clock, 0, node.line, node.col, node.eline, node.ecol, None]
+                if above:
+                    above[6] += 1
+                if self.kinds is None or node.kind in self.kinds:
+                    self.describe(node, len(self.places))
+                    self.places.append(place)
+                stack.append((place, []))
+                number += 1
+            else:
+                place, below = stack.pop()
+                place[8] = clock
+                if self.hashes:
+                    digest = _digest(node, below)
+                    place[13] = int.from_bytes(digest, "big", signed=True)
+                    if stack:
+                        stack[-1][1].append(digest)
+            clock += 1
+
+    def describe(self, node: Node, row: int) -> None:
+        own, f, kind = self.own, node.fields, node.kind
+        for name, value in f.items():
+            if name in _PLAIN_FIELDS and value is not None:
+                own[name].append((row, value))
+        if kind in ("HTML", "HTMLBlock"):
+            if "comment" not in f:
+                own["comment"].append((row, md.lx.is_comment(f["literal"])))
+        elif kind == "CodeBlock":
+            own["mode"].append((row, "standalone"))
+            own["language"].append((row, md.language_of(f["info"])))
+        elif kind == "Code":
+            own["mode"].append((row, "embedded"))
+        elif kind in ("Directive", "DirectiveBlock") and f["attributes"] is not None:
+            own["attributes"].append((row, list(f["attributes"].items())))
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.places)
+        columns = list(zip(*self.places, strict=True)) if n else [()] * 14
+        arrays = [pa.array(c, pa.string() if k == 3 else pa.int64() if k in (0, 1, 2, 7, 8, 13) else pa.int32()) for k, c in enumerate(columns)]
+        ends = [pa.StructArray.from_arrays([arrays[k], arrays[k + 1]], ["line", "column"]) for k in (9, 11)]
+        made = dict(zip(("doc_id", "node_id", "parent_id", "kind", "depth", "ordinal", "child_count", "pre", "post"), arrays[:9], strict=True))
+        made |= {"scope": pa.StructArray.from_arrays(ends, ["start", "end"]), "subtree_hash": arrays[13]}
+        for name, kind in _OWN.items():
+            dense: list = [None] * n
+            for row, value in self.own[name]:
+                dense[row] = value
+            made[name] = pa.array(dense, kind) if self.own[name] else pa.nulls(n, kind)
+        names = [name for name, _ in _columns(NODE_SCHEMA)]
+        self.clear()
+        return pa.RecordBatch.from_arrays([made[name] for name in names], names)
 
 
 def _documents(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[tuple[int | None, md.Document]]:
@@ -109,24 +142,27 @@ def _documents(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterat
             yield doc_id.as_py(), md.parse(content.as_py() or b"", options)
 
 
-def _parse(batches: Iterator[pa.RecordBatch], options: md.Options, kinds: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
+def _parse(batches: Iterator[pa.RecordBatch], options: md.Options, kinds: frozenset[str] | None, hashes: bool) -> Iterator[pa.RecordBatch]:
+    rows = _Rows(kinds, hashes)
     for doc_id, parsed in _documents(batches, options):
-        held.extend(r for r in _rows(doc_id, parsed.root) if kinds is None or r["kind"] in kinds)
-        while len(held) >= ROWS:
-            yield _batch(held[:ROWS])
-            del held[:ROWS]
-    yield _batch(held)
+        rows.add(doc_id, parsed.root)
+        if len(rows.places) >= ROWS:
+            yield rows.batch()
+    yield rows.batch()
 
 
 def _content(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content"))
 
 
-def nodes(docs: DataFrame, options: md.Options = md.PROFILES["default"], kinds: list[str] | None = None) -> DataFrame:
-    """One row for each node of each document (doc_id, content); with `kinds` only those kinds leave the parser."""
+def nodes(docs: DataFrame, options: md.Options = md.PROFILES["default"], kinds: list[str] | None = None, hashes: bool = False) -> DataFrame:
+    """One row for each node of each document (doc_id, content).
+
+    With `kinds` only those kinds leave the parser. With `hashes` subtree_hash is filled: equal for subtrees that show the
+    same, wherever they stand.
+    """
     raw = ", ".join(f"{n} {'binary' if n in TEXTS else 'map<binary,binary>' if n == 'attributes' else k}" for n, k in _columns(NODE_SCHEMA))
-    parsed = _content(docs).mapInArrow(partial(_parse, options=options, kinds=frozenset(kinds) if kinds else None), raw)
+    parsed = _content(docs).mapInArrow(partial(_parse, options=options, kinds=frozenset(kinds) if kinds else None, hashes=hashes), raw)
     as_text = {n: F.col(n).cast("string") for n in TEXTS}
     as_text["attributes"] = F.col("attributes").cast("map<string,string>")
     return parsed.withColumns(as_text)

@@ -25,28 +25,28 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id is not null").select("doc_id", "parent_id", "node_id", F.lead("node_id").over(siblings).alias("next_id"))
 
 
-def subtree_texts(nodes: DataFrame, kinds: list[str], text_kinds: tuple[str, ...] = TEXT_KINDS) -> DataFrame:
-    """(doc_id, node_id, text): the visible text below each node of the given kinds; line ends are spaces.
+def subtree_texts(nodes: DataFrame, kinds: list[str], text_kinds: tuple[str, ...] = TEXT_KINDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, node_id, *keep, text): the visible text below each node of the given kinds, with columns of that node.
 
-    Such nodes must not lie inside each other. Texts find theirs by one pass over each document in order, not by a range
-    join: the last such node entered is the one they are in, if it has not been left.
+    Line ends are spaces. Such nodes must not lie inside each other. Texts find theirs by one pass over each document in
+    order, not by a join: the last such node entered is the one they are in, if it has not been left.
     """
     is_top = F.col("kind").isin(kinds)
     piece = F.when(F.col("kind").isin("SoftBreak", "LineBreak"), F.lit(" ")).when(F.col("kind").isin(*text_kinds), F.col("literal"))
     order = Window.partitionBy("doc_id").orderBy("pre")
-    top = F.last(F.when(is_top, F.struct("node_id", "post")), ignorenulls=True).over(order)
-    placed = nodes.select("doc_id", "node_id", "pre", "post", is_top.alias("is_top"), piece.alias("piece"), top.alias("top"))
+    top = F.last(F.when(is_top, F.struct("node_id", "post", *keep)), ignorenulls=True).over(order)
+    placed = nodes.select("doc_id", "pre", "post", is_top.alias("is_top"), piece.alias("piece"), top.alias("top"))
     inside = placed.where("top is not null and post <= top.post and (is_top or piece is not null)")
     parts = F.array_sort(F.collect_list(F.struct("pre", F.coalesce("piece", F.lit("")).alias("piece"))))
-    return inside.groupBy("doc_id", F.col("top.node_id").alias("node_id")).agg(F.array_join(F.transform(parts, lambda x: x["piece"]), "").alias("text"))
+    text = F.array_join(F.transform(parts, lambda x: x["piece"]), "").alias("text")
+    kept = [F.first(F.col("top")[name]).alias(name) for name in keep]
+    return inside.groupBy("doc_id", F.col("top.node_id").alias("node_id")).agg(*kept, text).select("doc_id", "node_id", *keep, "text")
 
 
 def outline(nodes: DataFrame) -> DataFrame:
     """(doc_id, ord, level, title): the headings of each document."""
-    heads = nodes.where("kind = 'Heading'").select("doc_id", "node_id", "level", "pre")
-    texts = subtree_texts(nodes, ["Heading"])
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
-    return heads.join(texts, ["doc_id", "node_id"]).select("doc_id", number.alias("ord"), "level", F.col("text").alias("title"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id"))
+    return subtree_texts(nodes, ["Heading"], keep=("level",)).select("doc_id", number.alias("ord"), "level", F.col("text").alias("title"))
 
 
 def first_wins(definitions: DataFrame) -> DataFrame:
@@ -77,13 +77,19 @@ def footnote_numbers(nodes: DataFrame) -> DataFrame:
     return first.select("doc_id", "node_id", "label", number.alias("number"), "use")
 
 
+def in_tables(nodes: DataFrame) -> DataFrame:
+    """The nodes with the table and the row that each is in or behind: table_id, alignments, row, is_header of the row."""
+    order = Window.partitionBy("doc_id").orderBy("pre")
+    table = F.last(F.when(F.col("kind") == "Table", F.struct("node_id", "alignments")), ignorenulls=True).over(order)
+    row = F.last(F.when(F.col("kind") == "TableRow", F.struct("ordinal", "is_header")), ignorenulls=True).over(order)
+    found = nodes.withColumns({"_table": table, "_row": row})
+    return found.withColumns({"table_id": F.col("_table.node_id"), "alignments": F.col("_table.alignments"), "row": F.col("_row.ordinal"), "is_header": F.col("_row.is_header")})
+
+
 def table_cells(nodes: DataFrame) -> DataFrame:
     """(doc_id, table_id, row, column, is_header, alignment, text): every cell of every table."""
-    rows = nodes.where("kind = 'TableRow'").select("doc_id", F.col("node_id").alias("row_id"), F.col("parent_id").alias("table_id"), F.col("ordinal").alias("row"), "is_header")
-    tables = nodes.where("kind = 'Table'").select("doc_id", F.col("node_id").alias("table_id"), "alignments")
-    cells = nodes.where("kind = 'TableCell'").select("doc_id", "node_id", F.col("parent_id").alias("row_id"), F.col("ordinal").alias("column"))
-    placed = cells.join(subtree_texts(nodes, ["TableCell"]), ["doc_id", "node_id"]).join(rows, ["doc_id", "row_id"]).join(tables, ["doc_id", "table_id"])
-    return placed.select("doc_id", "table_id", "row", "column", "is_header", F.col("alignments")[F.col("column")].alias("alignment"), "text")
+    cells = subtree_texts(in_tables(nodes), ["TableCell"], keep=("table_id", "row", "ordinal", "is_header", "alignments"))
+    return cells.select("doc_id", "table_id", "row", F.col("ordinal").alias("column"), "is_header", F.col("alignments")[F.col("ordinal")].alias("alignment"), "text")
 
 
 def code_blocks(nodes: DataFrame) -> DataFrame:
@@ -127,7 +133,7 @@ def subtree(nodes: DataFrame, doc_id: int, node_id: int) -> DataFrame:
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(doc_id, kind, subtree_hash, side): subtrees that only one of two versions has, counted as often as they occur."""
+    """(doc_id, kind, subtree_hash, side): subtrees that only one of two versions has, as often as they occur; needs hashes."""
     key = ["doc_id", "kind", "subtree_hash"]
     gone, new = before.select(*key).exceptAll(after.select(*key)), after.select(*key).exceptAll(before.select(*key))
     return gone.withColumn("side", F.lit("before")).unionByName(new.withColumn("side", F.lit("after")))

@@ -20,13 +20,21 @@ def content(body: Column) -> Column:
     return body.cast("binary").alias("content")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """The documents dealt over all cores by id: parsing costs far more than moving text, and these corpora come from a few
+    small files or from aggregates that adaptive execution would put into one task."""
+    spark = docs.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return docs.repartition(n, "doc_id")
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A heading for each region, a subheading for each of its nations, and a paragraph that names both."""
     nation = table(spark, sf_dir, "nation")
     line = F.concat(F.lit("## "), F.col("n_name"), F.lit("\n\nNation *"), F.col("n_nationkey").cast("string"), F.lit("* of the region.\n"))
     bodies = gathered(nation, "n_regionkey", "n_nationkey", line)
     named = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), "r_name")
-    return bodies.join(named, "doc_id").select("doc_id", content(F.concat(F.lit("# "), F.col("r_name"), F.lit("\n\n"), F.col("body"))))
+    return spread(bodies.join(named, "doc_id").select("doc_id", content(F.concat(F.lit("# "), F.col("r_name"), F.lit("\n\n"), F.col("body")))))
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +42,7 @@ def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     line = F.concat_ws(" | ", F.lit(""), F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority"))
     head = "| key | status | priority |\n| --: | :-: | --- |\n"
-    return gathered(orders, "o_custkey", "o_orderkey", line).select("doc_id", content(F.concat(F.lit(head), F.ltrim("body"), F.lit("\n"))))
+    return spread(gathered(orders, "o_custkey", "o_orderkey", line).select("doc_id", content(F.concat(F.lit(head), F.ltrim("body"), F.lit("\n")))))
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +53,7 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("] and ![pic](/img/"), key, F.lit(".png) and <https://example.com/"), key, F.lit(">\n\n[s  "), key, F.lit("]: /first/"), key,
         F.lit("\n[S "), key, F.lit("]: /second/"), key, F.lit(" 'late'\n\n"),
     )
-    return gathered(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", line, "").select("doc_id", content(F.col("body")))
+    return spread(gathered(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", line, "").select("doc_id", content(F.col("body"))))
 
 
 def part_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +65,7 @@ def part_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n\n``` lang"), size, F.lit(" extra\ncode "), key, F.lit("\n```\n\n$$\nsum "), key, F.lit("\n$$\n\n:::box[Label]{key="), key, F.lit("}\ninside\n:::\n\n> quoted "), size,
         F.lit("\n\n<div>"), key, F.lit("</div>\n\n::leaf{bad=}\n\n---\n\n[^n"), key, F.lit("]: note "), size, F.lit(' -- "end"...\n'),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), content(body))
-
-
-def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
+    return spread(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), content(body)))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

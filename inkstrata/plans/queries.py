@@ -104,11 +104,8 @@ def md_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def md_table_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = parse.nodes(corpora.order_tables(spark, sf_dir), kinds=["Table", "TableRow", "TableCell"])
-    rows = nodes.where("kind = 'TableRow'").select("doc_id", F.col("node_id").alias("row_id"), F.col("parent_id").alias("table_id"))
-    tables = nodes.where("kind = 'Table'").select("doc_id", F.col("node_id").alias("table_id"), "alignments")
-    cells = nodes.where("kind = 'TableCell'").select("doc_id", F.col("parent_id").alias("row_id"), F.col("ordinal").alias("column"))
-    placed = cells.join(rows, ["doc_id", "row_id"]).join(tables, ["doc_id", "table_id"])
-    return placed.groupBy("column", F.col("alignments")[F.col("column")].alias("alignment")).agg(F.count("*").alias("n_cells"))
+    cells = views.in_tables(nodes).where("kind = 'TableCell'").withColumn("alignment", F.col("alignments")[F.col("ordinal")])
+    return cells.groupBy(F.col("ordinal").alias("column"), "alignment").agg(F.count("*").alias("n_cells"))
 
 
 @query(
@@ -116,9 +113,7 @@ def md_table_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select cast(s_nationkey as bigint), 'https://example.com/' || s_suppkey, null, 'https://example.com/' || s_suppkey from supplier"""
 )
 def md_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = parse.nodes(corpora.suppliers(spark, sf_dir))
-    links = nodes.where("kind = 'Link'").select("doc_id", "node_id", "destination", "title")
-    return links.join(views.subtree_texts(nodes, ["Link"]), ["doc_id", "node_id"]).drop("node_id")
+    return views.subtree_texts(parse.nodes(corpora.suppliers(spark, sf_dir)), ["Link"], keep=("destination", "title")).drop("node_id")
 
 
 @query("select cast(s_nationkey as bigint) as doc_id, '/img/' || s_suppkey || '.png' as source, cast(null as varchar) as title from supplier")
@@ -162,8 +157,7 @@ def md_first_definition_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def md_styled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["Strong", "Emphasis", "Strikethrough", "BlockQuote", "DirectiveLabel"]
-    nodes = parse.nodes(corpora.part_notes(spark, sf_dir))
-    return nodes.where(F.col("kind").isin(kinds)).select("doc_id", "node_id", "kind").join(views.subtree_texts(nodes, kinds), ["doc_id", "node_id"]).drop("node_id")
+    return views.subtree_texts(parse.nodes(corpora.part_notes(spark, sf_dir)), kinds, keep=("kind",)).drop("node_id")
 
 
 @query(
@@ -237,7 +231,7 @@ def md_mail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks in real prose: each line of a text gets a word in front, so that all of it is one paragraph."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(\A|\r\n|\r|\n)(?!\z)", "$1w ")
-    docs = documents.from_table(corpora.table(spark, sf_dir, "documents"), "doc_id", text)
+    docs = corpora.spread(documents.from_table(corpora.table(spark, sf_dir, "documents"), "doc_id", text))
     nodes = parse.nodes(docs, PROFILES["commonmark"], kinds=["Document", "SoftBreak", "LineBreak"])
     return nodes.groupBy("doc_id").agg(F.sum((F.col("kind") != "Document").cast("long")).alias("n_breaks"))
 

@@ -44,7 +44,8 @@ def test_views(spark, docs):
     assert [(r.code, r.scope.start.line) for r in p.diagnostics(docs).collect()] == [("directive_attributes", 16)]
     table = nodes.where("kind = 'Table'").first()
     assert views.subtree(nodes, 1, table.node_id).count() == 12
-    other = p.nodes(spark.createDataFrame([(1, (TEXT + "\nmore").encode())], "doc_id long, content binary"))
+    nodes = p.nodes(docs.where("doc_id = 1"), hashes=True)
+    other = p.nodes(spark.createDataFrame([(1, (TEXT + "\nmore").encode())], "doc_id long, content binary"), hashes=True)
     assert {r.kind for r in views.changed(nodes, other).collect()} == {"Document", "Paragraph", "Text"}
 
 
