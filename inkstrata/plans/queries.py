@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkstrata.core.document import PROFILES
 from inkstrata.functions import scanners
 from inkstrata.operators import parse, views
+from inkstrata.operators.visit import with_category
 from inkstrata.plans import corpora
 from inkstrata.sources import documents
 from inkstrata.streaming.append import append_batch
@@ -60,6 +61,14 @@ def md_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.walk(parse.nodes(corpora.regions(spark, sf_dir))).groupBy("doc_id", "event").agg(F.count("*").alias("n_events"))
 
 
+@query(
+    """with n as (select cast(n_regionkey as bigint) as doc_id, count(*) as n from nation group by 1)
+    select doc_id, category, cast(a + b * n as bigint) as n_nodes from n, (values ('block', 2, 2), ('inline', 1, 5)) as k(category, a, b)"""
+)
+def md_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_category(parse.nodes(corpora.regions(spark, sf_dir))).groupBy("doc_id", "category").agg(F.count("*").alias("n_nodes"))
+
+
 @query("select cast(n_regionkey as bigint) as doc_id, cast(3 + 13 * count(*) as bigint) as n_pairs from nation group by 1")
 def md_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.ancestors(parse.nodes(corpora.regions(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_pairs"))

@@ -94,3 +94,24 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "nodes")).count() == p.nodes(files).count()
     documents.write_dumps(p.dumps(documents.from_table(one, "doc_id", "content")), str(tmp_path / "dumps"))
     assert spark.read.text(str(tmp_path / "dumps")).first().value.startswith("Document scope=1:1..3:6")
+
+
+def test_visitors_are_exhaustive(spark):
+    from inkstrata.core.document import KINDS
+    from inkstrata.operators.visit import BLOCK_KINDS, INLINE_KINDS, visit
+
+    assert len(KINDS) == 34 == len(BLOCK_KINDS) + len(INLINE_KINDS) and {"DirectiveLabel", "TableCell"} <= BLOCK_KINDS
+    with pytest.raises(ValueError):
+        visit({"Text": F.lit(1)})
+    with pytest.raises(ValueError):
+        visit({k: F.lit(1) for k in [*KINDS, "Nope"]})
+
+
+def test_command_line(tmp_path, capfdbinary):
+    from inkstrata.__main__ import main
+
+    (tmp_path / "a.md").write_bytes(b"~~a~~ ")
+    (tmp_path / "b.md").write_bytes(b":b\n")
+    assert main(["--profile", "gfm", str(tmp_path / "a.md"), str(tmp_path / "b.md")]) == 0
+    out = capfdbinary.readouterr().out
+    assert b"Strikethrough" in out and b"Directive" not in out and out.startswith(b"Document scope=1:1..1:8")
