@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that are worked on at once within an Arrow batch; bounds the memory of a Python worker.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -34,11 +35,11 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +60,14 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows, so that a batch of long texts fits beside an executor's heap."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 class Words:
     """White-space separated words of a run of texts: codes into a vocabulary, and the offsets of each text's words."""
 
@@ -81,15 +90,44 @@ class Words:
         return np.diff(self.offsets)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of a batch whose texts have about `limit` bytes together; a longer text stands alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    total, start = np.cumsum(sizes), 0
-    while start < len(sizes):
-        base = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, base + limit, side="right")))
-        yield batch.slice(start, end - start)
-        start = end
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about `limit` bytes together, over the ends of batches; a longer text stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total, start = np.cumsum(sizes), 0
+        while start < len(sizes):
+            base = total[start - 1] if start else 0
+            end = int(np.searchsorted(total, base + limit - size, side="right"))
+            if end > start or not held:
+                end = max(start + 1, end)
+                held.append(batch.slice(start, end - start))
+                size += int(total[end - 1] - base)
+                start = end
+            if start < len(sizes):
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held, size = [], 0
+                pa.default_memory_pool().release_unused()  # a worker shares an executor's memory with others
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
+class Recent:
+    """A dictionary of what was used lately: at most two generations of `size` entries, the older one dropped when full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 def hash64(items: list[bytes]) -> np.ndarray:

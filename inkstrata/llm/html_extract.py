@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import slices, stored, table
+from inkstrata.llm._common import map_arrow, slices, stored, table
 
 MIN_PAGES = 5
 MIN_SHARE = 0.1
@@ -229,25 +229,24 @@ def extract(source: str | None, deleted: set[int] | frozenset[int] = frozenset()
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, key, content) once per page."""
-    for batch in batches:
-        for part in slices(batch, "html"):
-            hosts, keys, contents = [], [], []
-            for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                if not source:
-                    continue
-                host = host_of(url)
-                name = np.uint64(xxhash.xxh3_64_intdigest(host.encode())).astype(np.int64).item()
-                content = np.uint64(xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass"))).astype(np.int64).item()
-                found = {key for _, key in subtrees(Page(source), source, host)} | {0}  # 0 counts the host's pages
-                hosts += [name] * len(found)
-                keys += found
-                contents += [content] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, keys, contents)], ["host", "key", "content"])
+    for part in slices(batches, "html"):
+        hosts, keys, contents = [], [], []
+        for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+            if not source:
+                continue
+            host = host_of(url)
+            name = np.uint64(xxhash.xxh3_64_intdigest(host.encode())).astype(np.int64).item()
+            content = np.uint64(xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass"))).astype(np.int64).item()
+            found = {key for _, key in subtrees(Page(source), source, host)} | {0}  # 0 counts the host's pages
+            hosts += [name] * len(found)
+            keys += found
+            contents += [content] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, keys, contents)], ["host", "key", "content"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(key): subtrees that recur on many pages of their host; stored."""
-    seen = pages.select("url", "html").mapInArrow(_count, "host long, key long, content long")
+    seen = map_arrow(pages.select("url", "html"), _count, "host long, key long, content long")
     times = stored(seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES), "subtrees")
     of_host = times.where("key = 0").select("host", F.col("n").alias("pages"))
     share = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, INNER_SHARE).otherwise(MIN_SHARE)
@@ -260,12 +259,11 @@ OUT = "page_id long, url string, text string, n_chars long"
 
 def _texts(batches: Iterator[pa.RecordBatch], deleted: bytes | None) -> Iterator[pa.RecordBatch]:
     keys = frozenset(np.frombuffer(deleted, np.int64).tolist()) if deleted is not None else None
-    for batch in batches:
-        for part in slices(batch, "html"):
-            own = part.column("keys").to_pylist() if keys is None else [keys] * len(part)
-            texts = [extract(h, frozenset(k or ()), host_of(u)) for u, h, k in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), own, strict=True)]
-            columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+    for part in slices(batches, "html"):
+        own = part.column("keys").to_pylist() if keys is None else [keys] * len(part)
+        texts = [extract(h, frozenset(k or ()), host_of(u)) for u, h, k in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), own, strict=True)]
+        columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
 
 def _own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +282,10 @@ def main_texts(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFram
     pages, template = pages.select("page_id", "url", "html"), templates(pages)
     if template.limit(max_broadcast + 1).count() <= max_broadcast:
         keys = template.toArrow().column("key").to_numpy().astype(np.int64).tobytes()
-        return pages.mapInArrow(partial(_texts, deleted=keys), OUT)
-    own = pages.where("page_id is not null").mapInArrow(_own_keys, "page_id long, key long").distinct().join(template, "key", "left_semi")
+        return map_arrow(pages, partial(_texts, deleted=keys), OUT)
+    own = map_arrow(pages.where("page_id is not null"), _own_keys, "page_id long, key long").distinct().join(template, "key", "left_semi")
     listed = own.groupBy("page_id").agg(F.collect_set("key").alias("keys"))  # at most a page's elements
-    return pages.join(listed, "page_id", "left").mapInArrow(partial(_texts, deleted=None), OUT)
+    return map_arrow(pages.join(listed, "page_id", "left"), partial(_texts, deleted=None), OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import Words, slices, stored, table
+from inkstrata.llm._common import Words, map_arrow, slices, stored, table
 from inkstrata.llm.quality_rules import BUCKETS, counts, grams, trusted_ids
 
 SHARE = 0.8
@@ -53,13 +53,12 @@ def weights(texts: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _keys(batches: Iterator[pa.RecordBatch], ratio: bytes) -> Iterator[pa.RecordBatch]:
     by_bucket = np.frombuffer(ratio)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            n, weight = weights(part.column("text"), by_bucket)
-            uniform = ((part.column("noise").to_numpy().astype(np.int64) & ((1 << 52) - 1)) + 0.5) / (1 << 52)
-            key = weight - np.log(-np.log(uniform))
-            columns = [part.column("doc_id"), pa.array(n), pa.array(weight), pa.array(key), pa.array(ordered(key))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_grams", "log_weight", "key", "ordered"])
+    for part in slices(batches, "text"):
+        n, weight = weights(part.column("text"), by_bucket)
+        uniform = ((part.column("noise").to_numpy().astype(np.int64) & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+        key = weight - np.log(-np.log(uniform))
+        columns = [part.column("doc_id"), pa.array(n), pa.array(weight), pa.array(key), pa.array(ordered(key))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_grams", "log_weight", "key", "ordered"])
 
 
 def kth_largest(rows: DataFrame, k: int) -> int | None:
@@ -83,7 +82,7 @@ def resample(docs: DataFrame, trusted: DataFrame, share: float = SHARE) -> DataF
     """(doc_id, n_grams, log_weight, key, selected), one row per row of `docs` (doc_id, text)."""
     ratio = log_ratio(*counts(docs, trusted)).tobytes()
     noise = F.xxhash64(F.col("doc_id"), F.lit(SEED)).alias("noise")
-    keyed = stored(docs.select("doc_id", "text", noise).mapInArrow(partial(_keys, ratio=ratio), KEYED), "importance")
+    keyed = stored(map_arrow(docs.select("doc_id", "text", noise), partial(_keys, ratio=ratio), KEYED), "importance")
     k = math.ceil(share * keyed.count())
     least = kth_largest(keyed, k) if k else None
     return keyed.select("doc_id", "n_grams", "log_weight", "key", (F.col("ordered") >= least if least is not None else F.lit(False)).alias("selected"))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import Words, crc32_of_id, slices, stored, table
+from inkstrata.llm._common import Words, crc32_of_id, map_arrow, slices, stored, table
 
 FOLDS, HELD_OUT = 7, 2
 MAX_HEAD = 300_000
@@ -186,16 +186,15 @@ def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(part.column("text"))
-            n = np.bincount(words.codes, minlength=len(words.vocabulary))
-            yield pa.RecordBatch.from_arrays([words.vocabulary, pa.array(n)], ["word", "n"])
+    for part in slices(batches, "text"):
+        words = Words(part.column("text"))
+        n = np.bincount(words.codes, minlength=len(words.vocabulary))
+        yield pa.RecordBatch.from_arrays([words.vocabulary, pa.array(n)], ["word", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over the texts of `docs`; stored."""
-    rows = docs.select("text").mapInArrow(_word_counts, "word string, n long")
+    rows = map_arrow(docs.select("text"), _word_counts, "word string, n long")
     return stored(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
@@ -223,7 +222,7 @@ def vocabulary_of(counts: DataFrame, documents: int) -> Vocabulary:
     head = head.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
     words, n = head.column("word").combine_chunks(), head.column("n").to_numpy()
     known = Vocabulary(words, n, words.slice(0, OWN), documents)
-    sizes = counts.mapInArrow(partial(_unit_sizes, vocabulary=pickle.dumps(known)), "unit long, tokens long, words long")
+    sizes = map_arrow(counts, partial(_unit_sizes, vocabulary=pickle.dumps(known)), "unit long, tokens long, words long")
     for r in sizes.groupBy("unit").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
         known.unit_tokens[r.unit], known.unit_words[r.unit] = r.tokens, r.words
     known.unit_tokens[END], known.unit_words[END] = documents, documents > 0
@@ -242,16 +241,15 @@ def new_model(known: Vocabulary) -> Model:
 def _train(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa.RecordBatch]:
     known, model = pickle.loads(state)
     rng, seen = np.random.default_rng([SEED, TaskContext.get().partitionId()]), 0
-    for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(part.column("text"))
-            units, place, _ = token_units(words, known.units(words.vocabulary))
-            context = contexts(units, place)
-            order = rng.permutation(len(units))
-            for at in range(0, len(units), BATCH):
-                chosen = order[at : at + BATCH]
-                model.train(context[chosen], units[chosen], rng)
-            seen += len(units)
+    for part in slices(batches, "text"):
+        words = Words(part.column("text"))
+        units, place, _ = token_units(words, known.units(words.vocabulary))
+        context = contexts(units, place)
+        order = rng.permutation(len(units))
+        for at in range(0, len(units), BATCH):
+            chosen = order[at : at + BATCH]
+            model.train(context[chosen], units[chosen], rng)
+        seen += len(units)
     if seen:
         values = model.flat()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * seen), pa.array(np.full(len(values), float(seen)))], ["at", "value", "weight"])
@@ -259,7 +257,7 @@ def _train(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa.Recor
 
 def fit(training: DataFrame, known: Vocabulary) -> Model:
     model = new_model(known)
-    trained = training.select("text").mapInArrow(partial(_train, state=pickle.dumps((known, model))), "at long, value double, weight double")
+    trained = map_arrow(training.select("text"), partial(_train, state=pickle.dumps((known, model))), "at long, value double, weight double")
     rows = trained.groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
     if rows.num_rows:
         values = np.zeros(rows.num_rows)
@@ -276,43 +274,41 @@ HEAD_SCHEMA = "doc_id long, hash long, held_out boolean, n_tokens long, n_known
 def _head_scores(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa.RecordBatch]:
     known, model = pickle.loads(state)
     all_tokens, shares = np.log10(known.n + known.v + 1), known.log_shares()
-    for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(part.column("text"))
-            rows, unit_of, count = len(part), known.units(words.vocabulary), known.head_counts(words.vocabulary)
-            units, place, row = token_units(words, unit_of)
-            score = np.bincount(row, model.log10_probabilities(contexts(units, place), units), rows)
-            in_head = count >= 0
-            mass = np.where(in_head, np.log10(np.maximum(count, 0) + 1.0), 0)
-            own = unit_of <= OWN
-            word_row = np.repeat(np.arange(rows), words.counts)
-            score += np.bincount(word_row, np.where(own, 0, mass - shares[unit_of])[words.codes], rows)
-            n_tokens = words.counts + 1
-            base = np.bincount(word_row, mass[words.codes], rows) + np.log10(known.documents + 1) - n_tokens * all_tokens
-            n_known = np.bincount(word_row, in_head[words.codes], rows).astype(np.int64) + (known.documents > 0)
-            columns = [part.column("doc_id"), part.column("hash"), part.column("held_out"), *map(pa.array, (n_tokens, n_known, base, score))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "held_out", "n_tokens", "n_known", "base", "score"])
+    for part in slices(batches, "text"):
+        words = Words(part.column("text"))
+        rows, unit_of, count = len(part), known.units(words.vocabulary), known.head_counts(words.vocabulary)
+        units, place, row = token_units(words, unit_of)
+        score = np.bincount(row, model.log10_probabilities(contexts(units, place), units), rows)
+        in_head = count >= 0
+        mass = np.where(in_head, np.log10(np.maximum(count, 0) + 1.0), 0)
+        own = unit_of <= OWN
+        word_row = np.repeat(np.arange(rows), words.counts)
+        score += np.bincount(word_row, np.where(own, 0, mass - shares[unit_of])[words.codes], rows)
+        n_tokens = words.counts + 1
+        base = np.bincount(word_row, mass[words.codes], rows) + np.log10(known.documents + 1) - n_tokens * all_tokens
+        n_known = np.bincount(word_row, in_head[words.codes], rows).astype(np.int64) + (known.documents > 0)
+        columns = [part.column("doc_id"), part.column("hash"), part.column("held_out"), *map(pa.array, (n_tokens, n_known, base, score))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "held_out", "n_tokens", "n_known", "base", "score"])
 
 
 def _tail_words(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.RecordBatch]:
     """A row for each text and each of its distinct words beyond the head."""
     known = pickle.loads(vocabulary)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(part.column("text"))
-            beyond = (known.head_counts(words.vocabulary) < 0)[words.codes]
-            row = np.repeat(np.arange(len(part)), words.counts)[beyond]
-            cell, times = np.unique(row * np.int64(max(1, len(words.vocabulary))) + words.codes[beyond], return_counts=True)
-            at, word = pa.array(cell // max(1, len(words.vocabulary))), pa.array(cell % max(1, len(words.vocabulary)))
-            columns = [part.column("doc_id").take(at), part.column("hash").take(at), words.vocabulary.take(word), pa.array(times)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "word", "times"])
+    for part in slices(batches, "text"):
+        words = Words(part.column("text"))
+        beyond = (known.head_counts(words.vocabulary) < 0)[words.codes]
+        row = np.repeat(np.arange(len(part)), words.counts)[beyond]
+        cell, times = np.unique(row * np.int64(max(1, len(words.vocabulary))) + words.codes[beyond], return_counts=True)
+        at, word = pa.array(cell // max(1, len(words.vocabulary))), pa.array(cell % max(1, len(words.vocabulary)))
+        columns = [part.column("doc_id").take(at), part.column("hash").take(at), words.vocabulary.take(word), pa.array(times)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "word", "times"])
 
 
 def scores(docs: DataFrame, counts: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
     """One row per row of `docs` (doc_id, text, held_out)."""
     keyed = docs.select("doc_id", "text", "held_out", F.xxhash64("text").alias("hash"))
-    heads = keyed.mapInArrow(partial(_head_scores, state=pickle.dumps((known, model))), HEAD_SCHEMA)
-    tails = keyed.select("doc_id", "hash", "text").mapInArrow(partial(_tail_words, vocabulary=pickle.dumps(known)), "doc_id long, hash long, word string, times long")
+    heads = map_arrow(keyed, partial(_head_scores, state=pickle.dumps((known, model))), HEAD_SCHEMA)
+    tails = map_arrow(keyed.select("doc_id", "hash", "text"), partial(_tail_words, vocabulary=pickle.dumps(known)), "doc_id long, hash long, word string, times long")
     found = tails.join(counts, "word", "left").select("doc_id", "hash", "times", F.coalesce("n", F.lit(0)).alias("n"))
     sums = found.groupBy("doc_id", "hash").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("mass"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known")

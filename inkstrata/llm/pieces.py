@@ -26,11 +26,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm._common import crc_of_ids, slices, table
+from inkstrata.llm._common import Recent, crc_of_ids, map_arrow, slices, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHED = 400_000
+CACHED = 150_000
 SLICE = 8 << 20
 #: Symbols in one 64-bit key, and bits of each.
 PACKED, BITS = 4, 16
@@ -180,7 +180,7 @@ def _relax_long(start: np.ndarray, piece: np.ndarray, pieces: Pieces, end: np.nd
 def relax(pieces: Pieces, text: np.ndarray, cut_starts: np.ndarray, cut_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """End of the token at each place, and token + 1: 0 for a single symbol, -1 where no token starts."""
     n = len(text)
-    end, token = np.arange(1, n + 1), np.zeros(n, np.int64)
+    end, token = np.arange(1, n + 1, dtype=np.int32), np.zeros(n, np.int32)
     start, piece = edges(pieces, text)
     cut = np.searchsorted(cut_starts, start, side="right") - 1
     long = cut_sizes[cut] > LONG
@@ -190,9 +190,10 @@ def relax(pieces: Pieces, text: np.ndarray, cut_starts: np.ndarray, cut_sizes: n
             c = cut[own[0]]
             _relax_long(start[own], piece[own], pieces, end, token, int(cut_starts[c]), int(cut_starts[c] + cut_sizes[c]))
         start, piece, cut = start[~long], piece[~long], cut[~long]
-    order = np.lexsort((start, pieces.rank[piece], cut))
-    start, piece, cut = start[order], piece[order], cut[order]
-    stop = start + pieces.sizes[piece]
+    span = int(pieces.rank.max(initial=0)) + 1
+    order = np.argsort((cut * span + pieces.rank[piece]) * (LONG + 2) + (start - cut_starts[cut]))
+    start, piece, cut = (x[order].astype(np.int32) for x in (start, piece, cut))
+    stop = start + pieces.sizes[piece].astype(np.int32)
     while len(start):
         middle = end[start]
         ready = np.flatnonzero(end[np.minimum(middle, n - 1)] == stop)  # two tokens, as what is behind them goes below
@@ -214,7 +215,7 @@ def relax(pieces: Pieces, text: np.ndarray, cut_starts: np.ndarray, cut_sizes: n
 class Encoder:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHED)
 
     def _new(self, cuts: list[str]) -> list[bytes]:
         """Ids of distinct cuts, by one suffix array over all of them."""
@@ -229,7 +230,7 @@ class Encoder:
         separator = np.zeros(len(text), bool)
         separator[starts + sizes - 1] = True
         at = at[~separator[at]]
-        ids = np.where(token[at] > 0, pieces.ids[token[at] - 1], pieces.single[text[at]])
+        ids = np.where(token[at] > 0, pieces.ids[np.maximum(token[at] - 1, 0)], pieces.single[text[at]])
         unknown = np.flatnonzero(ids < 0)
         owner = np.searchsorted(starts, at, side="right") - 1
         width = np.ones(len(ids), np.int64)
@@ -245,13 +246,13 @@ class Encoder:
 
     def encode_cuts(self, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all cuts in one array, and how many each has."""
-        if len(self.known) >= CACHED:
-            self.known = {}
-        spelled = cuts.to_pylist()
-        new = [x for x in spelled if x not in self.known]
+        spelled, known = cuts.to_pylist(), self.known
+        out = [known.get(x) for x in spelled]
+        new = [k for k, x in enumerate(out) if x is None]
         if new:
-            self.known.update(zip(new, self._new(new), strict=True))
-        out = [self.known[x] for x in spelled]
+            for k, found in zip(new, self._new([spelled[k] for k in new]), strict=True):
+                out[k] = found
+                known.put(spelled[k], found)
         return np.frombuffer(b"".join(out), "<u4").astype(np.int64), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -299,21 +300,20 @@ OUT = "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, n_chars long,
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = encoder(path)
-    for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            ids, sizes = model.encode(part.column("text"))
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            texts, back = pc.fill_null(part.column("text"), "").to_pylist(), model.decode(ids, sizes)
-            same = [a.replace(SPACE, " ") == b for a, b in zip(texts, back, strict=True)]
-            crcs = [crc_of_ids(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            columns = [part.column("doc_id"), pa.array(sizes), lists, pa.array(crcs, pa.int64()), pa.array([len(x) for x in back], pa.int64()), pa.array(same)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ids_crc32", "n_chars", "round_trip"])
+    for part in slices(batches, "text", SLICE):
+        ids, sizes = model.encode(part.column("text"))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        texts, back = pc.fill_null(part.column("text"), "").to_pylist(), model.decode(ids, sizes)
+        same = [a.replace(SPACE, " ") == b for a, b in zip(texts, back, strict=True)]
+        crcs = [crc_of_ids(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        columns = [part.column("doc_id"), pa.array(sizes), lists, pa.array(crcs, pa.int64()), pa.array([len(x) for x in back], pa.int64()), pa.array(same)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ids_crc32", "n_chars", "round_trip"])
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): its ids, and the length of their text and whether it is the row's."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_encode, path=path or model_path()), OUT)
+    return map_arrow(docs.select("doc_id", "text"), partial(_encode, path=path or model_path()), OUT)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -326,7 +326,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of rows with doc_id and ids."""
-    return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, path=path or model_path()), "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), partial(_decode, path=path or model_path()), "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import Words, hash64, join_bounded, slices, table
+from inkstrata.llm._common import Words, hash64, join_bounded, map_arrow, slices, table
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
@@ -70,12 +70,11 @@ def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            cells, row = grams(Words(part.column("text"), lower=False))
-            trusted = pc.fill_null(part.column("trusted"), False).to_numpy(zero_copy_only=False)
-            raw += np.bincount(cells, minlength=BUCKETS)
-            target += np.bincount(cells[trusted[row]], minlength=BUCKETS)
+    for part in slices(batches, "text"):
+        cells, row = grams(Words(part.column("text"), lower=False))
+        trusted = pc.fill_null(part.column("trusted"), False).to_numpy(zero_copy_only=False)
+        raw += np.bincount(cells, minlength=BUCKETS)
+        target += np.bincount(cells[trusted[row]], minlength=BUCKETS)
     some = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
@@ -87,7 +86,7 @@ def counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]
     """
     ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("trusted", F.lit(True))
     marked = join_bounded(docs.select("doc_id", "text"), ids, "doc_id", "left").select("text", "trusted")
-    sums = marked.mapInArrow(_count, COUNT_SCHEMA).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    sums = map_arrow(marked, _count, COUNT_SCHEMA).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target, at = np.zeros(BUCKETS), np.zeros(BUCKETS), sums.column("bucket").to_numpy()
     raw[at], target[at] = sums.column("raw").to_numpy(), sums.column("target").to_numpy()
     return raw, target
@@ -169,15 +168,14 @@ def judge(texts: pa.Array, ratio: np.ndarray) -> dict[str, np.ndarray]:
 
 def _judged(batches: Iterator[pa.RecordBatch], ratio: bytes) -> Iterator[pa.RecordBatch]:
     table_ = np.frombuffer(ratio)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            found = judge(part.column("text"), table_)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found])
+    for part in slices(batches, "text"):
+        found = judge(part.column("text"), table_)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found])
 
 
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """One row per row of `docs` (doc_id, text) with the base counts, the score and the verdict."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_judged, ratio=ratio.tobytes()), OUT_SCHEMA)
+    return map_arrow(docs.select("doc_id", "text"), partial(_judged, ratio=ratio.tobytes()), OUT_SCHEMA)
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,8 +193,7 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(ratio)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield part.filter(pa.array(judge(part.column("text"), cells)["kept"]))
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array(judge(part.column("text"), cells)["kept"]))
 
-    return docs.mapInArrow(passing, docs.schema)
+    return map_arrow(docs, passing, docs.schema)

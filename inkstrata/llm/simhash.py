@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import join_bounded, slices, stored, table
+from inkstrata.llm._common import join_bounded, map_arrow, slices, stored, table
 
 SHINGLE = 4
 SEED = 42
@@ -61,15 +61,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            found = np.array([fingerprint(x.as_py()) for x in part.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+    for part in slices(batches, "text"):
+        found = np.array([fingerprint(x.as_py()) for x in part.column("text")], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -161,7 +160,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of `docs`: that with the smallest id. Of rows that share an id one stays."""
+    """One document of each component of `docs`: that with the smallest id. Of rows that share an id one stays; rows without an id stay."""
     found = stored(near_duplicates(docs), "components")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     left = join_bounded(docs, found.where(~first).select("doc_id").distinct(), "doc_id", "left_anti", 2_000_000)

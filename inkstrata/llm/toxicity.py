@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import Words, crc32_of_id, join_bounded, slices, stored, table
+from inkstrata.llm._common import Words, crc32_of_id, join_bounded, map_arrow, slices, stored, table
 
 FOLDS = 5
 #: Labelled rows that the model is fitted on, in expectation.
@@ -101,7 +101,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     weight = lexicon.weights(core)
     peak = np.zeros(rows)
     np.maximum.at(peak, row, weight[words.codes])
-    out = [np.log1p(n), np.log1p(chars), total(weight) / one, peak]
+    out = [np.log1p(n), np.log1p(total(size)), total(weight) / one, peak]
     for level in LEVELS:
         hits = total(weight >= level)
         out += [hits / one, np.log1p(hits)]
@@ -133,18 +133,17 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each beginning of a word, by part and label."""
     counted: dict[tuple[int, int], Counter] = {}
-    for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(part.column("text"), lower=False)
-            core = cores(words.vocabulary)
-            spelled = core.to_pylist()
-            labels = zip(part.column("part").to_pylist(), part.column("toxic").to_pylist(), strict=True)
-            for i, key in enumerate(labels):
-                cores_here = {spelled[c] for c in np.unique(words.codes[words.offsets[i] : words.offsets[i + 1]])}
-                counted.setdefault(key, Counter()).update({x[:k] for x in cores_here for k in PREFIXES if len(x) >= k})
-            if sum(map(len, counted.values())) > 500_000:
-                yield from _sent(counted)
-                counted = {}
+    for part in slices(batches, "text"):
+        words = Words(part.column("text"), lower=False)
+        core = cores(words.vocabulary)
+        spelled = core.to_pylist()
+        labels = zip(part.column("part").to_pylist(), part.column("toxic").to_pylist(), strict=True)
+        for i, key in enumerate(labels):
+            cores_here = {spelled[c] for c in np.unique(words.codes[words.offsets[i] : words.offsets[i + 1]])}
+            counted.setdefault(key, Counter()).update({x[:k] for x in cores_here for k in PREFIXES if len(x) >= k})
+        if sum(map(len, counted.values())) > 500_000:
+            yield from _sent(counted)
+            counted = {}
     yield from _sent(counted)
 
 
@@ -251,13 +250,12 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _rows(batches: Iterator[pa.RecordBatch], lexicons: bytes) -> Iterator[pa.RecordBatch]:
     by_part = pickle.loads(lexicons)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            parts = part.column("part").to_numpy()
-            x = np.zeros((len(part), FEATURES))
-            for p in np.unique(parts):
-                x[parts == p] = features(part.column("text").filter(pa.array(parts == p)), by_part[p])
-            yield pa.RecordBatch.from_arrays([part.column("part"), part.column("toxic"), pa.array(list(x))], ["part", "toxic", "x"])
+    for part in slices(batches, "text"):
+        parts = part.column("part").to_numpy()
+        x = np.zeros((len(part), FEATURES))
+        for p in np.unique(parts):
+            x[parts == p] = features(part.column("text").filter(pa.array(parts == p)), by_part[p])
+        yield pa.RecordBatch.from_arrays([part.column("part"), part.column("toxic"), pa.array(list(x))], ["part", "toxic", "x"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -277,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         sizes[r["part"], r["toxic"]] = r["count"]
     if not sizes[:, 0].sum() or not sizes[:, 1].sum():
         return {"constant": float(sizes[:, 1].sum() / max(1, sizes.sum()))}
-    sums = train.mapInArrow(_beginnings, "prefix string, part int, toxic int, n long").groupBy("prefix").agg(
+    sums = map_arrow(train, _beginnings, "prefix string, part int, toxic int, n long").groupBy("prefix").agg(
         *(F.sum(F.when((F.col("part") == p) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{t}{p}") for t in (0, 1) for p in range(PARTS))
     )
     ones = sum(F.col(f"n1{p}") for p in range(PARTS))
@@ -286,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     likely = sums.where((ones >= MIN_DOCS) & (ones * ratio > zeros * 1.2)).orderBy(F.desc(ones / (zeros + 1)), "prefix").limit(4 * MAX_LEXICON)
     counts = [(r.prefix, [r[f"n1{p}"] for p in range(PARTS)], [r[f"n0{p}"] for p in range(PARTS)]) for r in likely.collect()]
     crossed = pickle.dumps([_lexicon(counts, sizes, p) for p in range(PARTS)])
-    table_ = train.mapInArrow(partial(_rows, lexicons=crossed), "part int, toxic int, x array<double>").toArrow()
+    table_ = map_arrow(train, partial(_rows, lexicons=crossed), "part int, toxic int, x array<double>").toArrow()
     part, y = table_.column("part").to_numpy(), table_.column("toxic").to_numpy().astype(float)
     x = np.stack(table_.column("x").to_numpy()) if len(y) else np.zeros((0, FEATURES))
     order = np.lexsort((*x.T, y, part))  # the same model however the rows came
@@ -308,14 +306,13 @@ def predict(model: dict, texts: pa.Array) -> np.ndarray:
 
 def _scores(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     fitted = pickle.loads(model)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(predict(fitted, part.column("text")))], ["doc_id", "score"])
+    for part in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(predict(fitted, part.column("text")))], ["doc_id", "score"])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of `docs` (doc_id, text)."""
-    scored = docs.select("doc_id", "text").mapInArrow(partial(_scores, model=pickle.dumps(model)), "doc_id long, score double")
+    scored = map_arrow(docs.select("doc_id", "text"), partial(_scores, model=pickle.dumps(model)), "doc_id long, score double")
     held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % FOLDS == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -331,8 +328,7 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = pickle.loads(model)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield part.filter(pa.array(predict(fitted, part.column("text")) < 0.5))
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array(predict(fitted, part.column("text")) < 0.5))
 
-    return docs.mapInArrow(passing, docs.schema)
+    return map_arrow(docs, passing, docs.schema)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import join_bounded, shared_dir, slices, table
+from inkstrata.llm._common import join_bounded, map_arrow, shared_dir, slices, table
 
 MIN_BYTES = 0
 CHUNK = 1 << 20
@@ -144,24 +144,20 @@ class _Output:
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     name, count = f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0
-    first = next((b for b in batches if b.num_rows), None)
+    parts = slices(batches, "html")
+    first = next(parts, None)
     if first is None:
         return
     with _Output(folder, name) as out:
         deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
-        for batch in itertools.chain([first], batches):
-            count += _write_batch(batch, out, deflate)
+        for part in itertools.chain([first], parts):
+            for page_id, url, source, refers_to in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                out.write(deflate.compress(record(page_id, url, (source or "").encode("utf-8", "surrogatepass"), refers_to)))
+            count += len(part)
         out.write(deflate.flush())
     yield pa.RecordBatch.from_pylist([{"archive": name, "records": count}])
 
 
-def _write_batch(batch: pa.RecordBatch, out: pa.NativeFile, deflate) -> int:
-    for part in slices(batch, "html"):
-        for page_id, url, source, refers_to in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-            out.write(deflate.compress(record(page_id, url, (source or "").encode("utf-8", "surrogatepass"), refers_to)))
-    return batch.num_rows
-
-
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> list[str]:
     """Write a record per row of `pages` (page_id, url, html) and return the names of the archives in `folder`."""
     payload = F.coalesce("html", F.lit(""))
@@ -169,7 +165,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     copies = hashed.where("large").groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha1", "last", F.lit(True).alias("large"))
     found = join_bounded(hashed, copies, ["sha1", "large"], "left")
     refers_to = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to")
-    written = found.select("page_id", "url", "html", refers_to).mapInArrow(partial(_write, folder=folder), "archive string, records long")
+    written = map_arrow(found.select("page_id", "url", "html", refers_to), partial(_write, folder=folder), "archive string, records long")
     return sorted(r.archive for r in written.collect())
 
 
@@ -195,7 +191,7 @@ def normalise(spark: SparkSession, archives: list[str], source: str, folder: str
     if not archives:
         return 0
     names = spark.createDataFrame([(x,) for x in archives], "archive string").repartition(len(archives))
-    done = names.mapInArrow(partial(_normalise, source=source, folder=folder), "archive string, records long")
+    done = map_arrow(names, partial(_normalise, source=source, folder=folder), "archive string, records long")
     return done.agg(F.sum("records")).first()[0]
 
 
@@ -235,7 +231,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     index = spark.read.schema(INDEX).json(f"{folder}/*.idx")
     run = F.floor(F.col("offset") / READ_RUN).alias("run")
     dealt = index.select("archive", "offset", "length", run).repartition(F.col("archive"), F.col("run")).sortWithinPartitions("archive", "offset")
-    return dealt.select("archive", "offset", "length").mapInArrow(partial(_read, folder=folder), RECORDS)
+    return map_arrow(dealt.select("archive", "offset", "length"), partial(_read, folder=folder), RECORDS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
