@@ -1,14 +1,14 @@
 """Token ids of documents in canonical, length-limited Huffman files.
 
-1. Every text's ids are counted: a task sends one sum per id.
-2. Code lengths of at most MAX_BITS bits come from the global counts by package-merge on the driver (one number per
-   vocabulary entry), the canonical codes from the lengths.
-3. Documents are sorted by doc_id over range partitions; each task writes one file: the bit stream, then the code lengths,
+1. Every text is encoded once; its ids go to a stored table as they are.
+2. The ids of that table are counted: a task sends one sum per id. Code lengths of at most MAX_BITS bits come from the
+   global counts by package-merge on the driver (one number per vocabulary entry), the canonical codes from the lengths.
+3. The table is sorted by doc_id over range partitions; each task writes one file: the bit stream, then the code lengths,
    each document's id and first token, and the bit offset of every BLOCK-th token, so that blocks decode independently.
 4. Files are read back with a table of 2^MAX_BITS entries, all blocks of a run in step.
 
 Texts are split at ASCII white space, over which the tokenizer's own splitting never reaches, and each distinct word is
-encoded once per run of texts; plain words go to the tokenizer's model directly, piece by piece, others through all of
+encoded once per run of texts; the parts of plain words go to the tokenizer's model directly, other words through all of
 it. Nothing but the counts and the number of tokens of each file reaches the driver.
 
 Defined results: null texts are empty; an empty text has the end id alone. A null doc_id comes first; rows that share an
@@ -17,8 +17,8 @@ id stand together, ordered by a hash of the text. An empty table gives no files
 
 from __future__ import annotations
 
+import itertools
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import Words, crc_of_ids, shared_dir, slices, table
+from inkstrata.llm._common import Recent, Words, crc_of_ids, map_arrow, shared_dir, slices, stored, table
 from inkstrata.llm.warc import _Output, open_fs
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,12 +40,17 @@ MAX_BITS = 18
 BLOCK = 256
 #: Blocks that are decoded in step.
 RUN = 8192
-CACHED = 300_000
+CACHED = 150_000
 SLICE = 8 << 20
+#: Bytes of an id in the stored table.
+WIDTH = 2
 MAGIC = b"INKTOK01"
 _FOOTER = struct.Struct("<QQQQQB")
-#: Letters and punctuation of words that the tokenizer splits into one run of letters and one of punctuation.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+# Words that the tokenizer splits into one run of letters and one of punctuation.
+_LETTERS = "a-zß-öø-ÿ"
+_CAPITALS = "A-ZÀ-ÖØ-Þ"
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = rf"^[{_LETTERS}{_CAPITALS}]*[{_MARKS}]*$"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -55,46 +60,59 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of words without white space, by the tokenizer at a path; keeps those of recent words."""
+    """Ids of words without white space, by the tokenizer at a path; keeps those of recent pieces of words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.pieces, self.others = Recent(CACHED), Recent(CACHED // 4)
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # the usual byte-level alphabet
         others = [b for b in range(256) if b not in printable]
         alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.alphabet = str.maketrans({chr(b): c for b, c in alphabet.items()})
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= CACHED:
-                self.pieces = {"": b""}
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-            found = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-        return found
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)]) if piece else b""
 
     def _word(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word.lower())
-        if plain:
-            return self._piece(plain[1]) + self._piece(plain[2])
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one array, and how many each has."""
-        if len(self.words) >= CACHED:
-            self.words = {}
-        known, out = self.words, []
-        for word in vocabulary.to_pylist():
-            found = known.get(word)
+    @staticmethod
+    def _through(known: Recent, items: pa.Array, encode) -> tuple[list[bytes], np.ndarray]:
+        """Ids of the distinct items, and which of them each item is."""
+        coded, out = items.dictionary_encode(), []
+        for item in coded.dictionary.to_pylist():
+            found = known.get(item)
             if found is None:
-                found = known[word] = self._word(word)
+                found = encode(item)
+                known.put(item, found)
             out.append(found)
-        return np.frombuffer(b"".join(out), "<u4").astype(np.int64), np.fromiter(map(len, out), np.int64, len(out)) // 4
+        return out, coded.indices.to_numpy()
+
+    def encode(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and how many each has."""
+        plain = pc.match_substring_regex(vocabulary, _PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        simple = pc.utf8_lower(vocabulary.filter(plain))
+        letters, a = self._through(self.pieces, pc.replace_substring_regex(simple, rf"[{_MARKS}]+$", ""), self._piece)
+        marks, b = self._through(self.pieces, pc.replace_substring_regex(simple, rf"^[{_LETTERS}]+", ""), self._piece)
+        whole, c = self._through(self.others, vocabulary.filter(pc.invert(plain)), self._word)
+        every = [*letters, *marks, *whole, b""]
+        parts = np.full((len(vocabulary), 2), len(every) - 1, np.int64)  # each word is one or two of them
+        parts[is_plain, 0], parts[is_plain, 1] = a, b + len(letters)
+        parts[~is_plain, 0] = c + len(letters) + len(marks)
+        flat = np.frombuffer(b"".join(every), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, every), np.int64, len(every)) // 4
+        return _gathered(flat, sizes, parts.ravel()), sizes[parts].sum(axis=1)
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of `flat`, of the given sizes, in an order."""
+    starts, size = np.cumsum(sizes) - sizes, sizes[order]
+    return flat[np.repeat(starts[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
 @cache
@@ -108,18 +126,14 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     words = Words(texts, lower=False)
     ids, sizes = encoder(path).encode(words.vocabulary)
     ids, sizes = np.append(ids, END_ID), np.append(sizes, 1)
-    starts = np.cumsum(sizes) - sizes
     counts = words.counts
     row_end = np.cumsum(counts + 1) - 1
     order = np.full(len(words.codes) + len(counts), len(sizes) - 1, np.int64)
     inner = np.ones(len(order), bool)
     inner[row_end] = False
     order[inner] = words.codes
-    size = sizes[order]
-    first = np.cumsum(size) - size
-    out = ids[np.repeat(starts[order] - first, size) + np.arange(size.sum())]
-    per_row = np.add.reduceat(size, row_end - counts) if len(counts) else np.zeros(0, np.int64)
-    return out, per_row
+    per_row = np.add.reduceat(sizes[order], row_end - counts) if len(counts) else np.zeros(0, np.int64)
+    return _gathered(ids, sizes, order), per_row
 
 
 # -- codes ------------------------------------------------------------------------------------------------------------
@@ -280,41 +294,56 @@ class Reader:
 # -- Spark ------------------------------------------------------------------------------------------------------------
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    total, rows = np.zeros(encoder(path).size, np.int64), 0
-    for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            words = Words(part.column("text"), lower=False)
-            ids, sizes = encoder(path).encode(words.vocabulary)
-            times = np.bincount(words.codes, minlength=len(sizes))
-            total += np.bincount(ids, np.repeat(times, sizes), len(total)).astype(np.int64)
-            rows += len(part)
-    total[END_ID] += rows
+def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text", SLICE):
+        ids, sizes = token_ids(part.column("text"), path)
+        ends = np.concatenate([[0], np.cumsum(sizes)]) * WIDTH
+        data = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype(f"<u{WIDTH}"))])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), data], ["doc_id", "tie", "ids"])
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, tie, ids) of `docs` (doc_id, text); ids are little-endian integers of WIDTH bytes; stored."""
+    if encoder(path).size > 1 << 8 * WIDTH:
+        raise ValueError("the vocabulary is too large")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return stored(map_arrow(keyed, partial(_encode, path=path), "doc_id long, tie long, ids binary"), "ids", compression="zstd")
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of binaries, and how many each has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], f"<u{WIDTH}", (offsets[-1] - offsets[0]) // WIDTH, offsets[0])
+    return data.astype(np.int64), np.diff(offsets) // WIDTH
+
+
+def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(size, np.int64)
+    for part in slices(batches, "ids", SLICE):
+        total += np.bincount(_ids(part.column("ids"))[0], minlength=size)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
 
-def id_counts(docs: DataFrame, path: str) -> np.ndarray:
-    """How often each id occurs in all texts with their ends."""
-    sums = docs.select("text").mapInArrow(partial(_count, path=path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(encoder(path).size, np.int64)
+def id_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all rows."""
+    sums = map_arrow(rows.select("ids"), partial(_count, size=size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
     out[sums.column("id").to_numpy()] = sums.column("n").to_numpy()
     return out
 
 
-def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, lengths: bytes) -> Iterator[pa.RecordBatch]:
-    first = next((b for b in batches if b.num_rows), None)
+def _write(batches: Iterator[pa.RecordBatch], folder: str, lengths: bytes) -> Iterator[pa.RecordBatch]:
+    parts = slices(batches, "ids", SLICE)
+    first = next(parts, None)
     if first is None:
         return
     number = TaskContext.get().partitionId()
     name, coded = f"tokens-{number:06d}.ink", np.frombuffer(lengths, np.uint8)
     with _Output(folder, name) as out:
         writer = Writer(out, coded)
-        batch = first
-        while batch is not None:
-            for part in slices(batch, "text", SLICE):
-                writer.add(part.column("doc_id"), *token_ids(part.column("text"), path))
-            batch = next(batches, None)
+        for part in itertools.chain([first], parts):
+            writer.add(part.column("doc_id"), *_ids(part.column("ids")))
         writer.close()
         tokens = writer.tokens
     yield pa.RecordBatch.from_pylist([{"number": number, "file": name, "tokens": tokens}])
@@ -322,9 +351,10 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, lengths: b
 
 def write_files(docs: DataFrame, folder: str, path: str) -> list[tuple[str, int]]:
     """Write `docs` (doc_id, text) in ascending order of doc_id; files in order, with the ids before each. Also a manifest."""
-    lengths = code_lengths(id_counts(docs, path)).tobytes()
-    placed = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    written = placed.mapInArrow(partial(_write, path=path, folder=folder, lengths=lengths), "number long, file string, tokens long").collect()
+    rows = encoded(docs, path)
+    lengths = code_lengths(id_counts(rows, encoder(path).size)).tobytes()
+    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie")
+    written = map_arrow(placed, partial(_write, folder=folder, lengths=lengths), "number long, file string, tokens long").collect()
     out, before = [], 0
     for r in sorted(written):
         out.append((r.file, before))
@@ -359,7 +389,7 @@ def read_files(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(files, "file string, start long").repartition(len(files)).mapInArrow(partial(_read, folder=folder), schema)
+    return map_arrow(spark.createDataFrame(files, "file string, start long").repartition(len(files)), partial(_read, folder=folder), schema)
 
 
 def run(docs: DataFrame, path: str | None = None) -> DataFrame:
