@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +92,17 @@ class Words:
         return np.diff(self.offsets)
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker shares an executor's memory with others and with the heap."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about `limit` bytes together, over the ends of batches; a longer text stands alone."""
     held, size = [], 0
@@ -107,7 +120,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             if start < len(sizes):
                 yield pa.concat_batches(held) if len(held) > 1 else held[0]
                 held, size = [], 0
-                pa.default_memory_pool().release_unused()  # a worker shares an executor's memory with others
+                _give_back()
     if held:
         yield pa.concat_batches(held) if len(held) > 1 else held[0]
 

@@ -30,8 +30,8 @@ from inkstrata.llm._common import Recent, crc_of_ids, map_arrow, slices, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHED = 150_000
-SLICE = 8 << 20
+CACHED = 100_000
+SLICE = 2 << 20
 #: Symbols in one 64-bit key, and bits of each.
 PACKED, BITS = 4, 16
 #: Cuts of more symbols are relaxed one by one with a heap instead of in rounds.
