@@ -63,12 +63,12 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         found = np.array([fingerprint(x.as_py()) for x in part.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(found)], ["doc_id", "hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long."""
-    return map_arrow(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long")
+    """(doc_id, hash, fp): the hash of each row's text and its fingerprint as a signed long."""
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), _fingerprints, "doc_id long, hash long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -143,12 +143,17 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def rooted_fingerprints(each: DataFrame) -> DataFrame:
+    """(fp, first, root) of the distinct fingerprints of `each` (doc_id, fp): the smallest id and the component's root."""
+    distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(links(stored(first_pass(distinct.select("fp")), "met")))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of `docs` (doc_id, text)."""
     each = stored(fingerprints(docs), "fingerprints")
-    distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(stored(first_pass(distinct.select("fp")), "met")))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = rooted_fingerprints(each)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -160,9 +165,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of `docs`: that with the smallest id. Of rows that share an id one stays; rows without an id stay."""
-    found = stored(near_duplicates(docs), "components")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    left = join_bounded(docs, found.where(~first).select("doc_id").distinct(), "doc_id", "left_anti", 2_000_000)
-    repeated = found.where(first).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """One row of each component of `docs`: that with the smallest id, of such rows that with the smallest hash of its text.
+
+    A row's key is its id and text, so an id with texts in several components keeps a row in each of those it is first in.
+    A null id comes last; a component of null ids alone keeps one row.
+    """
+    each = stored(fingerprints(docs), "fingerprints")
+    rows = stored(each.join(rooted_fingerprints(each).select("fp", "root"), "fp").select("doc_id", "hash", "root"), "components")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    several = stored(rows.groupBy("root").agg(F.min(key).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best"), "several")
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash"))
+    within = stored(join_bounded(rows, several, "root", "inner").select("doc_id", "hash", chosen.alias("chosen")), "within")
+    lost = within.where("not chosen").select(F.col("doc_id").alias("lost_id"), F.col("hash").alias("lost_hash")).distinct()
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    left = join_bounded(hashed, lost, hashed.doc_id.eqNullSafe(F.col("lost_id")) & (hashed._hash == F.col("lost_hash")), "left_anti", 2_000_000)
+    repeated = within.where("chosen").groupBy("doc_id", "hash").count().where("count > 1").limit(1).count()
+    return (left.dropDuplicates(["doc_id", "_hash"]) if repeated else left).drop("_hash")

@@ -72,3 +72,13 @@ def test_query_edge_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     kept = sorted(r.doc_id or -1 for r in simhash.keep(spark, docs, "").collect())
     assert kept == [-1, 3, 7, 11]
+
+
+def test_keep_goes_by_row(spark):
+    one, two, three, four = ("first text of its own words here", "quite another matter is told there", "nothing of this was said before now", "some last lines with other things")
+    rows = [(None, one), (None, two), (None, two), (4, three), (9, three), (9, four), (5, "z y x w v u t s"), (5, "k l m n o p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [slow_fingerprint(t) for t in {t for _, t in rows}]
+    assert len(set(slow_roots(fps).values())) == 6  # no two texts are near
+    kept = sorted(((r.doc_id or -1, r.text) for r in simhash.keep(spark, docs, "").collect()))
+    assert kept == sorted([(-1, one), (-1, two), (4, three), (9, four), *rows[-2:]])
