@@ -1,19 +1,24 @@
 """Scoring by a log-bilinear neural language model, trained in numpy with noise-contrastive estimation.
 
-Tokens are the words of a text and one end. The model predicts the next token's unit from the units of the CONTEXT
-tokens before it: the prediction vector is the sum of the context units' vectors, each scaled by the weights of its
-position, and a unit's logit is its product with the unit's vector plus a bias. Units are the end, the OWN most frequent
-words, and SPELLINGS classes of all other words by their last letters and punctuation. Within a class a word has
-probability (c + 1) / (N_class + V_class + 1) from the exact corpus counts; the class keeps one share for words that
-training has not seen. So every token has a normalised probability.
+Tokens are the words of a text and one end. The model predicts the next token from the CONTEXT tokens before it: the
+prediction vector is the sum of their context vectors, each scaled by the weights of its position, and a logit is its
+product with an output vector plus a bias. The vocabulary is every word that training has MIN_COUNT times or more; each of
+its words has its own context vector and its own output. All other words fall in SPELLINGS buckets by their last letters
+and punctuation, and within a bucket a word has probability (c + 1) / (N_bucket + V_bucket + 1) from the exact corpus
+counts; the bucket keeps one share for words that training has not seen.
 
-Training reads every training token once: each task starts from the same parameters and goes over its tokens in
-minibatches with shared noise samples; the results are averaged by tokens, summed by Spark per parameter. Scoring
-multiplies batches of prediction vectors by all unit vectors and normalises by their sum.
+Outputs have two exact levels. The first has the units: the end, the OWN most frequent words, the buckets, and the classes
+of the rest of the vocabulary, neighbours in frequency with equal sums of root counts, as many as make the least work. The
+second tells a class's words apart. Both are normalised by their sums, so every token has a normalised probability.
+
+Training reads every training token, on as many copies of the model as there are cores (fewer if a copy would have under
+STEPS minibatches, and a corpus too small for one copy several times), however the rows are dealt over files: each goes over its tokens in minibatches, with shared noise samples for the units and a few from the target's class for its words. The copies' rows
+are averaged by how often each was trained, summed by Spark; a row that none has trained keeps its start.
 
 Scale: word counts are exact over all training documents and live in a stored table. Its words of highest count, at most
-MAX_HEAD, go to every task and serve most tokens; for the rest, tasks send one row per document and distinct word, which
-joins the counts by word and is summed by document. Nothing else grows on the driver or in a broadcast.
+MAX_HEAD and the whole vocabulary, go to every task and serve most tokens; for the rest, tasks send one row per document and
+distinct word, which joins the counts by word and is summed by document. The vocabulary's words and parameters (some 200
+bytes a word) are what grows on the driver and in each task.
 
 Defined results: a null text is empty; an empty text has the end alone. A null doc_id is not held out. Repeated rows get
 repeated results and count repeatedly in training. Without training documents N and V are 0 and all units likewise
@@ -26,6 +31,7 @@ import pickle
 import re
 import zlib
 from collections.abc import Iterator
+from copy import copy
 from functools import partial
 
 import numpy as np
@@ -41,11 +47,16 @@ FOLDS, HELD_OUT = 7, 2
 MAX_HEAD = 300_000
 OWN, SPELLINGS = 127, 128
 UNITS = 1 + OWN + SPELLINGS
-END, START = 0, UNITS  # the start only ever stands in a context
+#: Training tokens from which on a word has its own vectors.
+MIN_COUNT = 100
+#: Tokens 0 to UNITS - 1 are units, then comes the start, which only ever stands in a context, then the classes' words.
+END, START = 0, UNITS
 CONTEXT, SIZE = 4, 24
-NOISE, BATCH, RATE, SEED = 32, 2048, 0.1, 11
-#: Tokens that are scored in one matrix product.
-SCORED = 1 << 14
+NOISE, NEAR, BATCH, RATE, SEED = 32, 4, 2048, 0.1, 11
+#: Minibatches that a copy of the model has at least.
+STEPS = 64
+#: Tokens that are scored in one matrix product, those whose class words are scored at once, and logits of such a product.
+SCORED, GROUPED, CELLS = 1 << 14, 1 << 17, 1 << 22
 
 _TAIL = re.compile(r"(\w{0,2})([^\w]*)\Z")
 
@@ -61,17 +72,32 @@ def spelling_units(words: pa.Array) -> np.ndarray:
 
 
 class Vocabulary:
-    """What every task needs of the counts: the head words with counts, unit sizes, and the totals N and V."""
+    """What every task needs of the counts: the head words with counts, classes, unit sizes, and the totals N and V.
+
+    The head is sorted by count; `own` is its start, and the words after it of MIN_COUNT or more are those of the classes.
+    """
 
     def __init__(self, head: pa.Array, counts: np.ndarray, own: pa.Array, documents: int):
         self.head, self.counts, self.own, self.documents = head, counts, own, documents
-        self.unit_tokens = np.zeros(UNITS)
-        self.unit_words = np.zeros(UNITS)
+        self.word_counts = counts[len(own) :][counts[len(own) :] >= MIN_COUNT]
+        self.class_of, self.class_start = classes_of(self.word_counts, counts.sum() + documents)
+        self.unit_tokens = np.zeros(UNITS + len(self.class_start) - 1)
+        self.unit_words = np.zeros(len(self.unit_tokens))
         self.n = self.v = 0
 
     def units(self, words: pa.Array) -> np.ndarray:
-        at = pc.fill_null(pc.index_in(words, self.own), -1).to_numpy()
-        return np.where(at >= 0, at + 1, spelling_units(words))
+        """The token number of each word."""
+        at = pc.fill_null(pc.index_in(words, self.head), -1).to_numpy()
+        own, known = len(self.own), len(self.own) + len(self.word_counts)
+        inner = np.where(at < own, at + 1, START + 1 + at - own)
+        return np.where((at >= 0) & (at < known), inner, spelling_units(words))
+
+    def outer(self, tokens: np.ndarray) -> np.ndarray:
+        """The first-level unit of each token."""
+        out = tokens.copy()
+        inner = tokens > START
+        out[inner] = UNITS + self.class_of[tokens[inner] - START - 1]
+        return out
 
     def head_counts(self, words: pa.Array) -> np.ndarray:
         """Training counts of the words in the head, -1 for others."""
@@ -79,12 +105,25 @@ class Vocabulary:
         return np.append(self.counts, -1)[at]
 
     def log_shares(self) -> np.ndarray:
-        """log10 of what a word's c + 1 is divided by within each unit; units of one word give 0 by themselves."""
-        out = np.log10(self.unit_tokens + self.unit_words + 1)
-        out[: 1 + OWN] = 0
+        """log10 of what a word's c + 1 is divided by within each bucket; 0 where the model itself gives the word."""
+        out = np.zeros(START + 1 + len(self.word_counts))
+        out[1 + OWN : UNITS] = np.log10(self.unit_tokens + self.unit_words + 1)[1 + OWN : UNITS]
         return out
 
 
+def classes_of(counts: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each word of descending counts, and where classes start (with the end).
+
+    K classes of equal sums of root counts make K + A / K logits a token, with A the square of the sum of roots of shares.
+    """
+    if not len(counts):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    roots = np.cumsum(np.sqrt(counts / max(1, tokens)))
+    k = int(min(len(counts), np.ceil(roots[-1])))
+    of = np.unique(np.minimum((roots / roots[-1] * k).astype(np.int64), k - 1), return_inverse=True)[1]
+    return of, np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+
+
 def token_units(words: Words, unit_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Units of the texts' tokens with ends, place in the text, and row of each."""
     counts = words.counts
@@ -110,28 +149,55 @@ def contexts(units: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Parameters: context vectors r, position weights c, unit vectors q, biases b."""
+    """Parameters: context vectors r, position weights c, unit vectors q and biases b, class words' vectors w and biases a.
 
-    SHAPES = (("r", (UNITS + 1, SIZE)), ("c", (CONTEXT, SIZE)), ("q", (UNITS, SIZE)), ("b", (UNITS,)))
+    r and w are trained by rows, with one sum of squares a row.
+    """
 
-    def __init__(self, noise: np.ndarray):
+    NAMES = ("r", "c", "q", "w")  # in flat rows, with the biases after q and w
+
+    def __init__(self, noise: np.ndarray, known: Vocabulary):
         rng = np.random.default_rng(SEED)
-        self.noise = noise
-        self.r = rng.normal(0, 0.1, (UNITS + 1, SIZE)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (UNITS, SIZE)).astype(np.float32)
+        units, words = len(noise), len(known.word_counts)
+        self.noise, self.known = noise, known
+        self.r = rng.normal(0, 0.1, (START + 1 + words, SIZE)).astype(np.float32)
+        self.q = rng.normal(0, 0.1, (units, SIZE)).astype(np.float32)
+        self.w = rng.normal(0, 0.1, (words, SIZE)).astype(np.float32)
         self.c = np.full((CONTEXT, SIZE), 1.0, np.float32) / np.arange(1, CONTEXT + 1, dtype=np.float32)[:, None]
         self.b = np.log(noise).astype(np.float32)
-        self.squares = {name: np.full(shape, 1e-4, np.float32) for name, shape in self.SHAPES}
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, name).ravel() for name, _ in self.SHAPES]).astype(np.float64)
-
-    def load(self, values: np.ndarray) -> None:
-        at = 0
-        for name, shape in self.SHAPES:
-            size = int(np.prod(shape))
-            setattr(self, name, values[at : at + size].reshape(shape).astype(np.float32))
-            at += size
+        sums = np.add.reduceat(known.word_counts, known.class_start[:-1]) if words else np.zeros(0)
+        self.a = np.log(known.word_counts / sums[known.class_of]).astype(np.float32)
+        self.squares = {name: np.full((len(getattr(self, name)), 1) if name in "rw" else getattr(self, name).shape, 1e-4, np.float32) for name in "rcqbwa"}
+        self.times = {name: np.zeros(len(getattr(self, name))) for name in self.NAMES}
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, values with biases, and weights of the rows that were trained."""
+        at, values, weights, base = [], [], [], 0
+        for name in self.NAMES:
+            table, times = getattr(self, name), self.times[name]
+            bias = {"q": self.b, "w": self.a}.get(name, np.zeros(len(table), np.float32))
+            some = np.flatnonzero(times)
+            at.append(base + some)
+            values.append(np.column_stack([table[some], bias[some]]))
+            weights.append(times[some])
+            base += len(table)
+        return np.concatenate(at), np.concatenate(values), np.concatenate(weights)
+
+    def load(self, at: np.ndarray, values: np.ndarray) -> None:
+        base = 0
+        for name in self.NAMES:
+            table = getattr(self, name)
+            own = (at >= base) & (at < base + len(table))
+            table[at[own] - base] = values[own, :SIZE]
+            if name in "qw":
+                {"q": self.b, "w": self.a}[name][at[own] - base] = values[own, SIZE]
+            base += len(table)
+
+    def scorer(self) -> Model:
+        """The model without what only training needs."""
+        out = copy(self)
+        out.squares = out.times = None
+        return out
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         return np.einsum("bkd,kd->bd", self.r[context], self.c)
@@ -141,10 +207,26 @@ class Model:
         squares += gradient * gradient
         getattr(self, name).__iadd__(RATE * gradient / np.sqrt(squares))
 
-    def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-        """One minibatch of noise-contrastive estimation: tell each target from NOISE shared samples of the noise."""
-        size = len(target)
-        samples = rng.choice(UNITS, NOISE, p=self.noise)
+    def _step_rows(self, name: str, at: np.ndarray, gradient: np.ndarray, bias: np.ndarray | None = None) -> None:
+        """A step of the rows at `at`, whose gradients are summed by row."""
+        order = np.argsort(at, kind="stable")
+        ordered = at[order]
+        starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+        rows, total = ordered[starts], np.add.reduceat(gradient[order], starts, axis=0)
+        squares = self.squares[name][rows] + (total * total).mean(axis=1, keepdims=True)
+        self.squares[name][rows] = squares
+        getattr(self, name)[rows] += RATE * total / np.sqrt(squares)
+        self.times[name][rows] += np.diff(np.append(starts, len(at)))
+        if bias is not None:
+            total = np.add.reduceat(bias[order], starts)
+            squares = self.squares["a"][rows] + total * total
+            self.squares["a"][rows] = squares
+            self.a[rows] += RATE * total / np.sqrt(squares)
+
+    def train(self, context: np.ndarray, token: np.ndarray, rng: np.random.Generator) -> None:
+        """One minibatch of noise-contrastive estimation: tell each target from noise, by units and within its class."""
+        size, target, units = len(token), self.known.outer(token), len(self.q)
+        samples = rng.choice(units, NOISE, p=self.noise)
         shift = np.log(NOISE * self.noise).astype(np.float32)
         inputs = self.r[context]
         hidden = np.einsum("bkd,kd->bd", inputs, self.c)
@@ -153,27 +235,69 @@ class Model:
         up = 1 / (1 + np.exp(np.clip(real, -30, 30))) / size
         down = 1 / (1 + np.exp(-np.clip(fake, -30, 30))) / size
         back = up[:, None] * self.q[target] - down @ self.q[samples]
-        g_q = _sums(target, up[:, None] * hidden, UNITS)
+        g_q = _sums(target, up[:, None] * hidden, units)
         np.add.at(g_q, samples, -(down.T @ hidden))
-        g_b = np.bincount(target, up, UNITS).astype(np.float32)
+        g_b = np.bincount(target, up, units).astype(np.float32)
         np.add.at(g_b, samples, -down.sum(0))
+        inner = np.flatnonzero(token > START)
+        if len(inner):
+            back[inner] += self._train_words(token[inner] - START - 1, hidden[inner], size, rng)
         g_c = np.einsum("bd,bkd->kd", back, inputs)
-        g_r = sum(_sums(context[:, k], back * self.c[k], UNITS + 1) for k in range(CONTEXT))
-        for name, gradient in (("q", g_q), ("b", g_b), ("c", g_c), ("r", g_r)):
+        for name, gradient in (("q", g_q), ("b", g_b)):
             self._step(name, gradient)
-
-    def log10_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised over all units."""
-        out = np.empty(len(target))
-        for at in range(0, len(target), SCORED):
-            part = slice(at, at + SCORED)
-            logits = self.predicted(context[part]) @ self.q.T + self.b
-            top = logits.max(axis=1)
-            chosen = logits[np.arange(len(logits)), target[part]]
-            np.exp(logits - top[:, None], out=logits)
-            out[part] = (chosen - top) - np.log(logits.sum(axis=1, dtype=np.float64))
+        self._step_rows("r", context.ravel(), (back[:, None, :] * self.c).reshape(-1, SIZE))
+        self._step("c", g_c)
+        self.times["q"] += size
+        self.times["c"] += size
+
+    def _train_words(self, word: np.ndarray, hidden: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+        """Tell words from NEAR words each of their classes, which are drawn alike; gives the gradient of `hidden`."""
+        of, start = self.known.class_of[word], self.known.class_start
+        sizes = start[of + 1] - start[of]
+        noise = start[of][:, None] + (rng.random((len(word), NEAR)) * sizes[:, None]).astype(np.int64)
+        both = np.column_stack([word, noise])
+        vectors = self.w[both]
+        logits = np.einsum("bd,bkd->bk", hidden, vectors) + self.a[both] - np.log(NEAR / sizes).astype(np.float32)[:, None]
+        gradient = -1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+        gradient[:, 0] += 1
+        gradient = (gradient / size).astype(np.float32)
+        back = np.einsum("bk,bkd->bd", gradient, vectors)
+        self._step_rows("w", both.ravel(), (gradient[:, :, None] * hidden[:, None, :]).reshape(-1, SIZE), gradient.ravel())
+        return back
+
+    def log10_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Normalised over all units, and over the words of the token's class."""
+        out, target = np.empty(len(token)), self.known.outer(token)
+        for base in range(0, len(token), GROUPED):
+            hidden = np.empty((len(token[base : base + GROUPED]), SIZE), np.float32)
+            for at in range(base, base + len(hidden), SCORED):
+                part = slice(at, min(at + SCORED, base + len(hidden)))
+                hidden[part.start - base : part.stop - base] = given = self.predicted(context[part])
+                out[part] = _log_softmax(given @ self.q.T + self.b, target[part])
+            self._add_words(out[base : base + len(hidden)], hidden, token[base : base + len(hidden)])
         return out / np.log(10)
 
+    def _add_words(self, out: np.ndarray, hidden: np.ndarray, token: np.ndarray) -> None:
+        inner = np.flatnonzero(token > START)
+        inner = inner[np.argsort(token[inner], kind="stable")]  # by class, as its words are neighbours
+        word = token[inner] - START - 1
+        ends = np.searchsorted(word, self.known.class_start)
+        for k in np.flatnonzero(np.diff(ends)):
+            low, high = self.known.class_start[k], self.known.class_start[k + 1]
+            vectors, step = self.w[low:high].T, max(1, CELLS // (high - low))
+            for at in range(ends[k], ends[k + 1], step):
+                part = slice(at, min(at + step, ends[k + 1]))
+                out[inner[part]] += _log_softmax(hidden[inner[part]] @ vectors + self.a[low:high], word[part] - low)
+
+
+def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each row's chosen probability; `logits` are overwritten."""
+    top = logits.max(axis=1)
+    own = logits[np.arange(len(logits)), chosen]
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return (own - top) - np.log(logits.sum(axis=1, dtype=np.float64))
+
 
 def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of rows by index."""
@@ -200,16 +324,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def _unit_sizes(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.RecordBatch]:
     known = pickle.loads(vocabulary)
-    tokens, words = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
+    units = len(known.unit_tokens)
+    tokens, words = np.zeros(units, np.int64), np.zeros(units, np.int64)
     for batch in batches:
-        unit = known.units(batch.column("word"))
-        tokens += np.bincount(unit, batch.column("n").to_numpy(), UNITS).astype(np.int64)
-        words += np.bincount(unit, minlength=UNITS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(UNITS)), pa.array(tokens), pa.array(words)], ["unit", "tokens", "words"])
+        unit = known.outer(known.units(batch.column("word")))
+        tokens += np.bincount(unit, batch.column("n").to_numpy(), units).astype(np.int64)
+        words += np.bincount(unit, minlength=units)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(units)), pa.array(tokens), pa.array(words)], ["unit", "tokens", "words"])
 
 
 def vocabulary_of(counts: DataFrame, documents: int) -> Vocabulary:
-    """The head is every word from the lowest count on (in steps of an eighth of an octave) that leaves at most MAX_HEAD."""
+    """The head is every word from the lowest count on (in steps of an eighth of an octave) that leaves at most MAX_HEAD, and the vocabulary."""
     step = F.floor(F.log2("n") * 8)
     steps = sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r.s)
     left, lowest = MAX_HEAD, None
@@ -218,7 +343,8 @@ def vocabulary_of(counts: DataFrame, documents: int) -> Vocabulary:
         if left < 0:
             break
         lowest = r.s
-    head = counts.where(step >= lowest).toArrow() if lowest is not None else pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+    chosen = F.col("n") >= MIN_COUNT
+    head = counts.where(chosen | (step >= lowest) if lowest is not None else chosen).toArrow()
     head = head.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
     words, n = head.column("word").combine_chunks(), head.column("n").to_numpy()
     known = Vocabulary(words, n, words.slice(0, OWN), documents)
@@ -235,34 +361,44 @@ def vocabulary_of(counts: DataFrame, documents: int) -> Vocabulary:
 
 def new_model(known: Vocabulary) -> Model:
     share = known.unit_tokens + 1
-    return Model(share / share.sum())
+    return Model(share / share.sum(), known)
+
+
+COLUMNS = [f"v{i}" for i in range(SIZE + 1)]
 
 
-def _train(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa.RecordBatch]:
-    known, model = pickle.loads(state)
+def _train(batches: Iterator[pa.RecordBatch], state: bytes, passes: int) -> Iterator[pa.RecordBatch]:
+    model = pickle.loads(state)
+    known = model.known
     rng, seen = np.random.default_rng([SEED, TaskContext.get().partitionId()]), 0
     for part in slices(batches, "text"):
         words = Words(part.column("text"))
         units, place, _ = token_units(words, known.units(words.vocabulary))
         context = contexts(units, place)
-        order = rng.permutation(len(units))
-        for at in range(0, len(units), BATCH):
-            chosen = order[at : at + BATCH]
-            model.train(context[chosen], units[chosen], rng)
+        for _ in range(passes):
+            order = rng.permutation(len(units))
+            for at in range(0, len(units), BATCH):
+                chosen = order[at : at + BATCH]
+                model.train(context[chosen], units[chosen], rng)
         seen += len(units)
     if seen:
-        values = model.flat()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * seen), pa.array(np.full(len(values), float(seen)))], ["at", "value", "weight"])
+        at, values, weights = model.rows()
+        for low in range(0, len(at), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            columns = [pa.array(at[part]), pa.array(weights[part]), *(pa.array(v) for v in values[part].T.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "weight", *COLUMNS])
 
 
 def fit(training: DataFrame, known: Vocabulary) -> Model:
     model = new_model(known)
-    trained = map_arrow(training.select("text"), partial(_train, state=pickle.dumps((known, model))), "at long, value double, weight double")
-    rows = trained.groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
+    copies = max(1, min(known.n // (BATCH * STEPS), training.sparkSession.sparkContext.defaultParallelism))
+    passes = max(1, -(-BATCH * STEPS // max(1, known.n)))
+    schema = ", ".join(["at long, weight double", *(f"{v} float" for v in COLUMNS)])
+    trained = map_arrow(training.select("text").coalesce(copies), partial(_train, state=pickle.dumps(model), passes=passes), schema)
+    means = [(F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).cast("float").alias(v) for v in COLUMNS]
+    rows = trained.groupBy("at").agg(*means).toArrow()
     if rows.num_rows:
-        values = np.zeros(rows.num_rows)
-        values[rows.column("at").to_numpy()] = rows.column("value").to_numpy()
-        model.load(values)
+        model.load(rows.column("at").to_numpy(), np.column_stack([rows.column(v).to_numpy() for v in COLUMNS]))
     return model
 
 
@@ -272,7 +408,8 @@ HEAD_SCHEMA = "doc_id long, hash long, held_out boolean, n_tokens long, n_known
 
 
 def _head_scores(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa.RecordBatch]:
-    known, model = pickle.loads(state)
+    model = pickle.loads(state)
+    known = model.known
     all_tokens, shares = np.log10(known.n + known.v + 1), known.log_shares()
     for part in slices(batches, "text"):
         words = Words(part.column("text"))
@@ -281,7 +418,7 @@ def _head_scores(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa
         score = np.bincount(row, model.log10_probabilities(contexts(units, place), units), rows)
         in_head = count >= 0
         mass = np.where(in_head, np.log10(np.maximum(count, 0) + 1.0), 0)
-        own = unit_of <= OWN
+        own = (unit_of <= OWN) | (unit_of > START)
         word_row = np.repeat(np.arange(rows), words.counts)
         score += np.bincount(word_row, np.where(own, 0, mass - shares[unit_of])[words.codes], rows)
         n_tokens = words.counts + 1
@@ -307,7 +444,7 @@ def _tail_words(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterato
 def scores(docs: DataFrame, counts: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
     """One row per row of `docs` (doc_id, text, held_out)."""
     keyed = docs.select("doc_id", "text", "held_out", F.xxhash64("text").alias("hash"))
-    heads = map_arrow(keyed, partial(_head_scores, state=pickle.dumps((known, model))), HEAD_SCHEMA)
+    heads = map_arrow(keyed, partial(_head_scores, state=pickle.dumps(model.scorer())), HEAD_SCHEMA)
     tails = map_arrow(keyed.select("doc_id", "hash", "text"), partial(_tail_words, vocabulary=pickle.dumps(known)), "doc_id long, hash long, word string, times long")
     found = tails.join(counts, "word", "left").select("doc_id", "hash", "times", F.coalesce("n", F.lit(0)).alias("n"))
     sums = found.groupBy("doc_id", "hash").agg(

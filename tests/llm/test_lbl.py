@@ -87,3 +87,29 @@ def test_empty(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     only = lbl.run(spark.createDataFrame([(held, "no training")], "doc_id long, text string")).first()
     assert (only.train_tokens, only.n_known, only.base_score) == (0, 0, 0.0)
+
+
+def test_words_of_the_vocabulary_have_their_own_outputs(spark):
+    rng, pairs = random.Random(1), {f"w{i}us": f"x{i}us" for i in range(400)}  # all of one ending
+    texts = [" ".join(f"{a} {pairs[a]}" for a in rng.choices(list(pairs), k=300)) for _ in range(400)]
+    training = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    counts = lbl.word_counts(training)
+    known = lbl.vocabulary_of(counts, training.count())
+    assert len(known.own) + len(known.word_counts) == 800 and len(known.class_start) > 2
+    assert known.n == 400 * 601 and known.v == 801
+    model = lbl.fit(training, known)
+    start = lbl.new_model(known)
+    words = [w for w in pairs if known.units(pa.array([w, pairs[w]]))[1] > lbl.START][:50]
+    context = np.array([[known.units(pa.array([w]))[0], *[lbl.START] * (lbl.CONTEXT - 1)] for w in words])
+    target = known.units(pa.array([pairs[w] for w in words]))
+    assert len(set(target.tolist())) == len(words) > 30
+    # both levels together are a distribution over all tokens
+    every = np.array([*range(lbl.UNITS), *range(lbl.START + 1, len(model.r))])
+    p = 10 ** model.log10_probabilities(np.repeat(context[:1], len(every), axis=0), every)
+    assert p.sum() == pytest.approx(1, rel=1e-4)
+    # the word itself is learned from the word before it
+    right, wrong = model.log10_probabilities(context, target), model.log10_probabilities(context, np.roll(target, 1))
+    assert right.mean() > start.log10_probabilities(context, target).mean() + 0.05
+    assert right.mean() > wrong.mean() + 0.05
+    got = lbl.scores(training.limit(3), counts, known, model).collect()
+    assert all(math.isfinite(r.score) and r.score > r.base_score for r in got)
