@@ -65,7 +65,7 @@ _MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-_MARKING = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
@@ -190,15 +190,18 @@ def subtrees(page: Page, source: str, host: str) -> list[tuple[int, int]]:
 
 
 def _is_marked(marks: str, in_article: bool) -> bool:
-    for name, value in _MARKING.findall(marks):
+    for name, value in _ATTRIBUTE.findall(marks):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
+        if in_article:  # there, ids name sections and words of a class may be the subject's
+            if name == "class" and not CLASSES.isdisjoint(value.lower().split()):
+                return True
+        elif name in ("class", "id"):
             words = {x.lower() for x in _WORD.findall(value)}
-            if words & CLASSES or ("header" in words and not in_article):
+            if words & CLASSES or "header" in words:
                 return True
     return False
 

@@ -46,3 +46,9 @@ def test_site_template(spark):
         if limit:
             assert got[None].text == "no id"
     assert h.main_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("marks", ['style="overflow:hidden"', 'title="The hidden valley"', 'data-hidden="false"', "data-x=/hidden/x", 'title="a class=ads b"', 'id="related-work"', 'class="market-share"'])
+def test_values_are_no_attributes(marks):
+    assert h.extract(f"<article><section {marks}><p>text</p></section><p>more</p></article>") == "text more"
+    assert h.extract("<article><p hidden>no</p><p HIDDEN=''>no</p><div class='x Related'>no</div><p>text</p></article><p>out</p>") == "text"
