@@ -2,8 +2,8 @@
 
 Each page is parsed into element spans. The subtree of every block-level element outside the running text is hashed,
 and Spark counts on how many pages with different content of one host each hash occurs; subtrees on at least MIN_PAGES
-pages and MIN_SHARE of the host's pages are its template and are deleted (inside an article, only those without prose
-blocks, from INNER_SHARE on: a copied article is not a template). What is left is cleaned by
+pages are its template and are deleted, however many pages the host has (inside an article, only those without prose
+blocks, and only articles count that differ in the rest of their text: a copied article is not a template). What is left is cleaned by
 meaning (navigation, headers, footers, asides, forms, scripts, notices, adverts, comments, by element, role or class),
 so that hosts with few pages are served too. The text is that of the articles, else of `main`, else of the body.
 Prose blocks inside an article (paragraphs, headings, lists, tables, ...) are never template: copied articles stay whole.
@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 from inkstrata.llm._common import map_arrow, slices, stored, table
 
 MIN_PAGES = 5
-MIN_SHARE = 0.1
-INNER_SHARE = 0.5
 MAX_BROADCAST = 500_000
 
 # Element names of HTML by their role in parsing.
@@ -189,6 +187,20 @@ def subtrees(page: Page, source: str, host: str) -> list[tuple[int, int]]:
     return out
 
 
+def rests(page: Page, elements: list[int]) -> dict[int, int]:
+    """For each of the elements, all within articles, a hash of its outermost article's text without its own."""
+    own = [0] * len(page.tag)
+    for owner, text in page.pieces:
+        if text := " ".join(text.split()):
+            own[owner] += xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    article = [0] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        article[i] = article[page.parent[i]] or (i if page.tag[i] == "article" else 0)
+    for i in range(len(own) - 1, 0, -1):  # parents come before children
+        own[page.parent[i]] += own[i]
+    return {i: (own[article[i]] - own[i]) & ((1 << 64) - 1) for i in elements}
+
+
 def _is_marked(marks: str, in_article: bool) -> bool:
     for name, value in _ATTRIBUTE.findall(marks):
         name, value = name.lower(), value.strip("\"'")
@@ -231,7 +243,7 @@ def extract(source: str | None, deleted: set[int] | frozenset[int] = frozenset()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, content) once per page."""
+    """(host, key, content) once per page; the content of what is inside an article is the rest of that."""
     for part in slices(batches, "html"):
         hosts, keys, contents = [], [], []
         for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
@@ -240,21 +252,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             name = np.uint64(xxhash.xxh3_64_intdigest(host.encode())).astype(np.int64).item()
             content = np.uint64(xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass"))).astype(np.int64).item()
-            found = {key for _, key in subtrees(Page(source), source, host)} | {0}  # 0 counts the host's pages
+            page = Page(source)
+            every = subtrees(page, source, host)
+            rest = rests(page, [i for i, key in every if key & 1])
+            found = {(key, np.uint64(rest[i]).astype(np.int64).item() if key & 1 else content) for i, key in every}
             hosts += [name] * len(found)
-            keys += found
-            contents += [content] * len(found)
+            keys += [key for key, _ in found]
+            contents += [of for _, of in found]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, keys, contents)], ["host", "key", "content"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(key): subtrees that recur on many pages of their host; stored."""
     seen = map_arrow(pages.select("url", "html"), _count, "host long, key long, content long")
-    times = stored(seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES), "subtrees")
-    of_host = times.where("key = 0").select("host", F.col("n").alias("pages"))
-    share = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, INNER_SHARE).otherwise(MIN_SHARE)
-    many = times.where("key != 0").join(of_host, "host").where(F.col("n") >= F.col("pages") * share)
-    return stored(many.select("key").distinct(), "templates")
+    times = seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    return stored(times.where(F.col("n") >= MIN_PAGES).select("key").distinct(), "templates")
 
 
 OUT = "page_id long, url string, text string, n_chars long"

@@ -52,3 +52,14 @@ def test_site_template(spark):
 def test_values_are_no_attributes(marks):
     assert h.extract(f"<article><section {marks}><p>text</p></section><p>more</p></article>") == "text more"
     assert h.extract("<article><p hidden>no</p><p HIDDEN=''>no</p><div class='x Related'>no</div><p>text</p></article><p>out</p>") == "text"
+
+
+@pytest.mark.parametrize("others", [0, 200])
+def test_template_of_a_section_at_any_size_of_host(spark, others):
+    rows = [(i, "http://one.example/", f"<div>Section notice</div><div>Story {i}</div>") for i in range(6)]
+    rows += [(10 + i, "http://one.example/", f"<article><p>Told {i}</p><div>Join us</div></article>") for i in range(6)]
+    rows += [(20 + i, "http://one.example/", f"<i>{i}</i><article><div>Copied</div><div>article</div></article>") for i in range(6)]
+    rows += [(100 + i, "http://one.example/", f"<div>Other {i}</div>") for i in range(others)]
+    got = {r.page_id: r.text for r in h.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert (got[i], got[10 + i], got[20 + i]) == (f"Story {i}", f"Told {i}", "Copied article")
