@@ -283,13 +283,13 @@ def _texts(batches: Iterator[pa.RecordBatch], deleted: bytes | None) -> Iterator
 
 def _own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys = [], []
-        for page_id, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+        rows, keys = [], []
+        for row, url, source in zip(*(batch.column(c).to_pylist() for c in ("row", "url", "html")), strict=True):
             if source:
                 found = {key for _, key in subtrees(Page(source), source, host_of(url))}
-                ids += [page_id] * len(found)
+                rows += [row] * len(found)
                 keys += found
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["page_id", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.int64())], ["row", "key"])
 
 
 def main_texts(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -298,9 +298,10 @@ def main_texts(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFram
     if template.limit(max_broadcast + 1).count() <= max_broadcast:
         keys = template.toArrow().column("key").to_numpy().astype(np.int64).tobytes()
         return map_arrow(pages, partial(_texts, deleted=keys), OUT)
-    own = map_arrow(pages.where("page_id is not null"), _own_keys, "page_id long, key long").distinct().join(template, "key", "left_semi")
-    listed = own.groupBy("page_id").agg(F.collect_set("key").alias("keys"))  # at most a page's elements
-    return map_arrow(pages.join(listed, "page_id", "left"), partial(_texts, deleted=None), OUT)
+    pages = pages.withColumn("row", F.xxhash64("url", "html"))  # ids may be null or repeat
+    own = map_arrow(pages, _own_keys, "row long, key long").distinct().join(template, "key", "left_semi")
+    listed = own.groupBy("row").agg(F.collect_set("key").alias("keys"))  # at most a page's elements
+    return map_arrow(pages.join(listed, "row", "left"), partial(_texts, deleted=None), OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,10 @@ def test_template_of_a_section_at_any_size_of_host(spark, others):
     got = {r.page_id: r.text for r in h.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(6):
         assert (got[i], got[10 + i], got[20 + i]) == (f"Story {i}", f"Told {i}", "Copied article")
+
+
+def test_both_paths_serve_null_ids_alike(spark):
+    rows = [(None if i % 2 else i, f"http://one.example/{i}", site(i, f"Story {i}")) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (h.MAX_BROADCAST, 0):
+        assert sorted(r.text for r in h.main_texts(pages, limit).collect()) == sorted(f"Story {i}" for i in range(12))
