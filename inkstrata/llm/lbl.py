@@ -13,7 +13,8 @@ second tells a class's words apart. Both are normalised by their sums, so every
 
 Training reads every training token, on as many copies of the model as there are cores (fewer if a copy would have under
 STEPS minibatches, and a corpus too small for one copy several times), however the rows are dealt over files: each goes over its tokens in minibatches, with shared noise samples for the units and a few from the target's class for its words. The copies' rows
-are averaged by how often each was trained, summed by Spark; a row that none has trained keeps its start.
+are averaged by how often each was trained, summed by Spark, after each of ROUNDS rounds, which take a share of the rows
+each and start from the averages of the round before; a row that none has trained keeps its start.
 
 Scale: word counts are exact over all training documents and live in a stored table. Its words of highest count, at most
 MAX_HEAD and the whole vocabulary, go to every task and serve most tokens; for the rest, tasks send one row per document and
@@ -53,6 +54,8 @@ MIN_COUNT = 100
 END, START = 0, UNITS
 CONTEXT, SIZE = 4, 24
 NOISE, NEAR, BATCH, RATE, SEED = 32, 4, 2048, 0.1, 11
+#: Rounds of training, each over its share of the rows (by their text) and from the averaged parameters of the one before.
+ROUNDS = 4
 #: Minibatches that a copy of the model has at least.
 STEPS = 64
 #: Tokens that are scored in one matrix product, those whose class words are scored at once, and logits of such a product.
@@ -367,10 +370,10 @@ def new_model(known: Vocabulary) -> Model:
 COLUMNS = [f"v{i}" for i in range(SIZE + 1)]
 
 
-def _train(batches: Iterator[pa.RecordBatch], state: bytes, passes: int) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], state: bytes, turn: int, passes: int) -> Iterator[pa.RecordBatch]:
     model = pickle.loads(state)
     known = model.known
-    rng, seen = np.random.default_rng([SEED, TaskContext.get().partitionId()]), 0
+    rng, seen = np.random.default_rng([SEED, turn, TaskContext.get().partitionId()]), 0
     for part in slices(batches, "text"):
         words = Words(part.column("text"))
         units, place, _ = token_units(words, known.units(words.vocabulary))
@@ -394,11 +397,13 @@ def fit(training: DataFrame, known: Vocabulary) -> Model:
     copies = max(1, min(known.n // (BATCH * STEPS), training.sparkSession.sparkContext.defaultParallelism))
     passes = max(1, -(-BATCH * STEPS // max(1, known.n)))
     schema = ", ".join(["at long, weight double", *(f"{v} float" for v in COLUMNS)])
-    trained = map_arrow(training.select("text").coalesce(copies), partial(_train, state=pickle.dumps(model), passes=passes), schema)
     means = [(F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).cast("float").alias(v) for v in COLUMNS]
-    rows = trained.groupBy("at").agg(*means).toArrow()
-    if rows.num_rows:
-        model.load(rows.column("at").to_numpy(), np.column_stack([rows.column(v).to_numpy() for v in COLUMNS]))
+    for turn in range(ROUNDS):
+        share = training.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text").coalesce(copies)
+        trained = map_arrow(share, partial(_train, state=pickle.dumps(model), turn=turn, passes=passes), schema)
+        rows = trained.groupBy("at").agg(*means).toArrow()
+        if rows.num_rows:
+            model.load(rows.column("at").to_numpy(), np.column_stack([rows.column(v).to_numpy() for v in COLUMNS]))
     return model
 
 

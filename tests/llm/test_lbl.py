@@ -113,3 +113,18 @@ def test_words_of_the_vocabulary_have_their_own_outputs(spark):
     assert right.mean() > wrong.mean() + 0.05
     got = lbl.scores(training.limit(3), counts, known, model).collect()
     assert all(math.isfinite(r.score) and r.score > r.base_score for r in got)
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    rng = random.Random(2)
+    follow = {f"m{i}" : f"n{i}" for i in range(60)}
+    texts = [" ".join(f"{a} {follow[a]}" for a in rng.choices(list(follow), k=40)) for _ in range(200)]
+    training = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = lbl.word_counts(training)
+    known = lbl.vocabulary_of(counts, training.count())
+    words = list(follow)
+    context = np.array([[known.units(pa.array([w]))[0], *[lbl.START] * (lbl.CONTEXT - 1)] for w in words])
+    target = known.units(pa.array([follow[w] for w in words]))
+    few, many = (lbl.fit(training.repartition(n), known).log10_probabilities(context, target).mean() for n in (1, 40))
+    start = lbl.new_model(known).log10_probabilities(context, target).mean()
+    assert few > start + 0.2 and many > start + 0.2 and abs(few - many) < 0.25 * (few - start)
