@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 #: Characters of text that are worked on at once within an Arrow batch; bounds the memory of a Python worker.
 SLICE_BYTES = 8 << 20
 BATCH_ROWS = 1000
+#: Tasks that one hot key's rows are dealt over.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,8 +34,10 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     if base is None:
         base = context._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
-    if base is None:  # no cluster setting, as in tests
-        base = "file:///tmp/inkstrata-checkpoints"
+    if base is None:  # as in tests: one machine and no setting
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/inkstrata-checkpoints"
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -42,7 +47,24 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove stored tables that nothing will read again."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_salted(left: DataFrame, right: DataFrame, on: str, spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join on a key of which `left` may have very many rows (dealt by `spread` over `salts` tasks) and `right` has few."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [on, "_salt"], how).drop("_salt")
 
 
 def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str, max_rows: int = 500_000) -> DataFrame:

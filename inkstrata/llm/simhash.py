@@ -8,13 +8,16 @@ All 2081 words of every fingerprint would be a shuffle of about twenty times the
 collide. Of two linked fingerprints, one of the three PARTS of 21 or 22 bits holds at least 2 of at most 4 differing
 bits; without it they differ in at most 2. So in a first pass each distinct fingerprint emits, for each part left out,
 the ball of half that rest (radius 1: 44 words of about 43 bits, 130 in all), and only those that meet another go on.
-Those emit the variants of the left-out part, so that at most HALF bits are flipped in all; a bucket of the full 64 bits
-is then a clique by construction, and a star around its smallest member carries its links: no pairs are listed, and
-every true link lies inside a component.
 
-Copies have one fingerprint and count once from the start. Buckets are sorted runs (windows with one row of look-around,
+In a bucket of the first pass, in order, each fingerprint is verified against the LOOK before it. That settles every
+bucket of at most LOOK + 1. A larger one goes on only if it still holds members of two components of the links so far:
+its members emit the variants of the left-out part, so that at most HALF bits are flipped in all; a bucket of the full 64
+bits is then a clique by construction, and a star around its smallest member carries its links. No pairs are listed, a
+dense group is settled by its neighbours, and every true link lies inside a component.
+
+Copies have one fingerprint and count once from the start. Buckets are sorted runs (windows with a bounded look-around,
 or a running minimum), never collected groups. Components come from alternating large-star and small-star steps, each
-written to the shared folder.
+written to the shared folder; hubs and large components are dealt over SALTS tasks.
 
 Defined results: null or empty texts, and texts of white space, have fingerprint zero and link like any other. A text
 of fewer than SHINGLE words is one shingle. Rows that share a doc_id each get a row. A null doc_id counts in no minimum;
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import join_bounded, map_arrow, slices, stored, table
+from inkstrata.llm._common import discard, join_bounded, join_salted, map_arrow, slices, stored, table
 
 SHINGLE = 4
 SEED = 42
@@ -39,6 +42,8 @@ RADIUS = 4
 HALF = RADIUS // 2
 #: [low, high) bits of the parts of which one is left out in the first pass.
 PARTS = ((0, 21), (21, 42), (42, 64))
+#: Members of a bucket of the first pass that each is verified against directly; larger buckets are settled by variants.
+LOOK = 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -107,8 +112,23 @@ def first_pass(fps: DataFrame) -> DataFrame:
     return near.where("before is not null or after is not null").select("key", "fp")
 
 
-def links(met: DataFrame) -> DataFrame:
-    """(a, b): distinct links a < b that connect all fingerprints within RADIUS bits of each other."""
+def neighbour_links(met: DataFrame) -> DataFrame:
+    """(a, b): links a < b of members of one bucket that are at most LOOK places apart in it."""
+    before = F.expr(f"collect_list(fp) over (partition by key order by fp rows between {LOOK} preceding and 1 preceding)")
+    close = F.filter(F.col("before"), lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= RADIUS)
+    found = met.withColumn("before", before).select("fp", close.alias("close")).where(F.size("close") > 0)
+    return found.select(F.explode("close").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (key, fp) of buckets of more than LOOK + 1 members that hold members of two components."""
+    named = met.join(roots, met.fp == roots.node, "left").select("key", F.coalesce("root", "fp").alias("root"))
+    keys = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return met.join(keys.where((F.col("n") > LOOK + 1) & (F.col("low") != F.col("high"))).select("key"), "key", "left_semi")
+
+
+def variant_links(met: DataFrame) -> DataFrame:
+    """(a, b): distinct links a < b that connect all fingerprints of common buckets within RADIUS bits of each other."""
     variants = []
     for part, (low, high) in enumerate(PARTS):
         keep, tag = F.lit(_signed(_keep(part))), F.lit(_signed(_tag(part)))
@@ -125,7 +145,7 @@ def links(met: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b) can reach, by alternating stars."""
+    """(node, root): the smallest node that each node of the edges (a, b) can reach, by alternating stars; stored."""
     state, seen = stored(edges.select("a", "b"), "edges"), None
     while True:
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -134,28 +154,48 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_salted(both.where("b > a"), low, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = join_salted(large, low, "a", F.col("b")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         turned = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        state = stored(turned.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
-    roots = state.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+        before, state = state, stored(turned.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
+        discard(before)
+    roots = stored(state.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root"), "roots")
+    discard(state)
     return roots
 
 
-def rooted_fingerprints(each: DataFrame) -> DataFrame:
-    """(fp, first, root) of the distinct fingerprints of `each` (doc_id, fp): the smallest id and the component's root."""
-    distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(stored(first_pass(distinct.select("fp")), "met")))
-    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def linked(fps: DataFrame) -> DataFrame:
+    """(node, root) of the distinct fingerprints `fps` (fp) that link to any other; a root is its own node too."""
+    met = stored(first_pass(fps), "met")
+    roots = components(neighbour_links(met))
+    far = stored(variant_links(stored(unsettled(met, roots), "unsettled")), "far")
+    if far.limit(1).count():  # components that only variants connect are joined as wholes
+        at_a, at_b = (roots.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+        ends = far.join(at_a, F.col("a") == F.col("na"), "left").join(at_b, F.col("b") == F.col("nb"), "left")
+        ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b")
+        over = components(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        higher = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        low = roots.unionByName(over.select("node", F.col("node").alias("root")))
+        roots = stored(join_salted(low, higher, "root", F.col("node"), "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+    discard(met)
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def by_component(each: DataFrame, best: Column) -> DataFrame:
+    """(fp, root, n, best): of the distinct fingerprints of `each`, their components, rows and least `best` of all rows there."""
+    distinct = stored(each.groupBy("fp").agg(F.min(best).alias("best"), F.count("*").alias("n")), "distinct")
+    found = distinct.join(linked(distinct.select("fp")), F.col("fp") == F.col("node"), "left").drop("node")
+    inside = found.where("root is not null")
+    whole = inside.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    joined = join_salted(inside.select("fp", "root"), whole, "root", F.col("fp")).select("fp", "root", "n", "best")
+    return joined.unionByName(found.where("root is null").select("fp", F.col("fp").alias("root"), "n", "best"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of `docs` (doc_id, text)."""
     each = stored(fingerprints(docs), "fingerprints")
-    rooted = rooted_fingerprints(each)
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
+    by_fp = by_component(each, F.col("doc_id")).select("fp", F.col("best").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return each.join(by_fp, "fp").select("doc_id", hexed, "component_id")
 
@@ -171,11 +211,10 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null id comes last; a component of null ids alone keeps one row.
     """
     each = stored(fingerprints(docs), "fingerprints")
-    rows = stored(each.join(rooted_fingerprints(each).select("fp", "root"), "fp").select("doc_id", "hash", "root"), "components")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
-    several = stored(rows.groupBy("root").agg(F.min(key).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best"), "several")
+    several = stored(by_component(each, key).where("n > 1").select("fp", "best"), "several")
     chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash"))
-    within = stored(join_bounded(rows, several, "root", "inner").select("doc_id", "hash", chosen.alias("chosen")), "within")
+    within = stored(join_bounded(each, several, "fp", "inner").select("doc_id", "hash", chosen.alias("chosen")), "within")
     lost = within.where("not chosen").select(F.col("doc_id").alias("lost_id"), F.col("hash").alias("lost_hash")).distinct()
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
     left = join_bounded(hashed, lost, hashed.doc_id.eqNullSafe(F.col("lost_id")) & (hashed._hash == F.col("lost_hash")), "left_anti", 2_000_000)

@@ -35,7 +35,9 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
-def test_links_reach_every_distance(spark):
+@pytest.mark.parametrize("look", [1, simhash.LOOK])
+def test_links_reach_every_distance(spark, monkeypatch, look):
+    monkeypatch.setattr(simhash, "LOOK", look)
     rng = random.Random(5)
     fps = []
     for _ in range(40):
@@ -46,15 +48,26 @@ def test_links_reach_every_distance(spark):
             for b in rng.sample(range(64), d):
                 x ^= 1 << b
             fps.append(x)
+    dense = rng.getrandbits(64)
+    for _ in range(80):  # many within reach of each other, so that buckets are larger than any look-around
+        x = dense
+        for b in rng.sample(range(64), rng.randrange(1, 5)):
+            x ^= 1 << b
+        fps.append(x)
+    low = rng.getrandbits(64)
+    fps += [low ^ k ^ (k % 5 << 50) for k in range(0, 4000, 23)]  # buckets of one rest and far apart in the part left out
     chain = rng.getrandbits(64)
     for k in range(12):
         fps.append(chain ^ ((1 << (4 * k)) - 1))
     fps = sorted(set(fps))
-    signed = [(simhash._signed(x),) for x in fps]
-    edges = simhash.links(simhash.first_pass(spark.createDataFrame(signed, "fp long")))
-    far = edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 4).count()
-    assert far == 0
-    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    frame = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    met = simhash.first_pass(frame)
+    near = simhash.neighbour_links(met)
+    far = simhash.variant_links(simhash.unsettled(met, simhash.components(near)))
+    for edges in (near, far):
+        assert edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 4).count() == 0
+    assert far.count() > 0 or look == simhash.LOOK
+    got = {r.node: r.root for r in simhash.linked(frame).collect()}
     groups, expected = {}, {}
     for x in fps:
         s = simhash._signed(x)
@@ -62,6 +75,7 @@ def test_links_reach_every_distance(spark):
     for x, r in slow_roots(fps).items():
         expected.setdefault(r, set()).add(x)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    assert set(got) == {simhash._signed(x) for g in expected.values() if len(g) > 1 for x in g}
 
 
 def test_query_edge_rows(spark):
@@ -82,3 +96,10 @@ def test_keep_goes_by_row(spark):
     assert len(set(slow_roots(fps).values())) == 6  # no two texts are near
     kept = sorted(((r.doc_id or -1, r.text) for r in simhash.keep(spark, docs, "").collect()))
     assert kept == sorted([(-1, one), (-1, two), (4, three), (9, four), *rows[-2:]])
+
+
+def test_keep_of_repeated_ids_and_groups(spark):
+    """An id in two groups, copies under other ids, and repeated rows: every group keeps one row, no text is lost."""
+    a, b, c = ("alpha words that tell of one thing only", "beta words on something else again here", "gamma lines nobody has written elsewhere yet")
+    docs = spark.createDataFrame([(7, a), (9, a), (1, b), (7, b), (7, c), (7, c), (None, c), (2, None), (None, "")], "doc_id long, text string")
+    assert sorted(((r.doc_id or -1, r.text or "") for r in simhash.keep(spark, docs, "").collect())) == sorted([(7, a), (1, b), (7, c), (2, "")])
