@@ -1,8 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Features of a whole text: densities of words whose beginnings mark toxic training texts (a lexicon with weights, learned
-from labels) and of a few fixed insults, how many of them stand near second-person words, capitals, punctuation and
-obfuscation rates. They are computed once per distinct word of an Arrow slice and summed over the text.
+from labels) and of a few fixed insults, in how many of the text's windows of SPAN words such words stand, how many of them
+are near second-person words, capitals, punctuation and obfuscation rates. All are rates and none grows with the length
+of a text. They are computed once per distinct word of an Arrow slice and summed over the text.
 
 Learning uses about MAX_TRAIN labelled rows (a documented bound; chosen by a hash of the id, never those whose
 crc32(doc_id as text) mod 5 is 0). The lexicon counts beginnings of words per fold, summed in Spark; a row's features
@@ -39,6 +40,8 @@ PREFIXES = range(3, 10)
 MIN_DOCS = 4
 MAX_LEXICON = 20_000
 NEAR = 5
+#: Words of a window; the last one of a text takes what is left over.
+SPAN = 50
 TREES, DEPTH, RATE, BINS, LEAST = 150, 3, 0.1, 48, 8
 
 #: Common insults, and second-person words of the corpus' languages.
@@ -82,7 +85,7 @@ class Lexicon:
 
 
 LEVELS = (0.7, 1.5, 2.5, 3.5)
-FEATURES = 2 + 2 + 2 * len(LEVELS) + 2 + 3 + 2 + 4 + 3
+FEATURES = 2 + 2 * len(LEVELS) + 2 + 3 + 2 + 4 + 3
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
@@ -98,15 +101,23 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         return np.bincount(row, per_word[words.codes], rows)
 
     one, chars = np.maximum(n, 1), np.maximum(total(size), 1)
+    windows = np.maximum(n // SPAN, 1)
+    ends = np.cumsum(windows)
+    place = np.arange(len(row)) - words.offsets[row]
+    window = (ends - windows)[row] + np.minimum(place // SPAN, windows[row] - 1)
+
+    def window_mean(per_word: np.ndarray) -> np.ndarray:
+        """Mean over a text's windows of the largest value in each."""
+        top = np.zeros(ends[-1] if rows else 0)
+        np.maximum.at(top, window, per_word[words.codes])
+        return np.bincount(np.repeat(np.arange(rows), windows), top, rows) / windows
+
     weight = lexicon.weights(core)
-    peak = np.zeros(rows)
-    np.maximum.at(peak, row, weight[words.codes])
-    out = [np.log1p(n), np.log1p(total(size)), total(weight) / one, peak]
+    out = [total(weight) / one, window_mean(weight)]
     for level in LEVELS:
-        hits = total(weight >= level)
-        out += [hits / one, np.log1p(hits)]
+        out += [total(weight >= level) / one, window_mean(weight >= level)]
     insult = pc.is_in(core, pa.array(INSULTS)).to_numpy(zero_copy_only=False)
-    out += [total(insult) / one, np.log1p(total(insult))]
+    out += [total(insult) / one, window_mean(insult)]
 
     person = pc.is_in(core, pa.array(SECOND_PERSON)).to_numpy(zero_copy_only=False)
     bad = (insult | (weight >= LEVELS[2]))[words.codes]
@@ -173,9 +184,17 @@ def _lexicon(counts: list, sizes: np.ndarray, skip: int | None) -> Lexicon:
 # -- trees ------------------------------------------------------------------------------------------------------------
 
 
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Halfway between neighbours among the values, at quantiles: a rate just above 0 is on the side of 0."""
+    known = np.unique(values)
+    at = np.unique(np.searchsorted(known, np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")))
+    at = at[at < len(known) - 1]
+    return (known[at] + known[at + 1]) / 2
+
+
 def grow(x: np.ndarray, y: np.ndarray) -> dict:
     """Boosted trees of depth DEPTH for logistic loss, on binned features; arrays of split features, cuts and leaves."""
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    cuts = [_cuts(x[:, j]) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
     rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     start = float(np.log(rate / (1 - rate)))
