@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that are worked on at once within an Arrow batch; bounds the memory of a Python worker.
 SLICE_BYTES = 8 << 20
@@ -67,10 +68,30 @@ def join_salted(left: DataFrame, right: DataFrame, on: str, spread: Column, how:
     return dealt.join(copied, [on, "_salt"], how).drop("_salt")
 
 
+def _bytes(field: T.StructField) -> Column:
+    """About how many bytes of a row a column takes."""
+    value, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        strings = isinstance(kind.elementType, (T.StringType, T.BinaryType))
+        own = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + (F.coalesce(F.octet_length(x), F.lit(0)) + 16 if strings else F.lit(64)))
+        return F.coalesce(own, F.lit(0)) + 16
+    return F.lit(64 if isinstance(kind, T.StructType) else 16)
+
+
+def is_small(df: DataFrame, max_rows: int = 500_000, max_bytes: int = 128 << 20) -> bool:
+    """Whether a frame has at most so many rows and bytes, by one pass that stops at the bound."""
+    if not df.columns:
+        return True
+    size = sum((_bytes(f) for f in df.schema.fields), F.lit(0))
+    n, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and total <= max_bytes
+
+
 def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str, max_rows: int = 500_000) -> DataFrame:
-    """Join that broadcasts `right` only when a count of it shows at most `max_rows` narrow rows, and shuffles otherwise."""
-    few = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if few else right, on, how)
+    """Join that broadcasts `right` only when its rows and bytes are shown to be few (`is_small`), and shuffles otherwise."""
+    return left.join(F.broadcast(right) if is_small(right, max_rows) else right, on, how)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -87,7 +108,7 @@ def crc32_of_id(doc_id: Column) -> Column:
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow in batches of at most BATCH_ROWS rows, so that a batch of long texts fits beside an executor's heap."""
     key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:  # read when a plan is made, so it can't be put back here
         spark.conf.set(key, BATCH_ROWS)
     return df.mapInArrow(function, schema)
 

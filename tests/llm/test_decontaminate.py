@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ def words(text):
 
 def slow(docs, items):
     out = []
+    freq = Counter(w for _, text in docs for w in words(text))
     for doc_id, text in docs:
-        w, hit, found = words(text), set(), set()
+        w, hit, found, near = words(text), set(), set(), set()
         for item_id, item in items:
             v = words(item)
             k = min(13, len(v))
@@ -26,8 +28,15 @@ def slow(docs, items):
                 if tuple(w[p : p + k]) in windows:
                     hit.update(range(p, p + k))
                     found.add(str(item_id))
+            n_blocks = max(1, len(v) // 13)
+            for block in range(n_blocks if v else 0):
+                own = v[13 * block : 13 * block + 13 if block < n_blocks - 1 else len(v)]
+                rare = sorted(set(own), key=lambda x: (freq[x], own.index(x)))[: d.NEAR_TERMS]
+                need = min(len(rare), d.NEAR_TERMS - d.NEAR_MISSING)
+                if any(len(set(rare) & set(w[max(0, p - d.SPAN + 1) : p + 1])) >= need for p in range(len(w)) if w[p] in rare):
+                    near.add(item_id)
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out.append((doc_id, len(w), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(w)))
+        out.append((doc_id, len(w), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(w), len(near)))
     return sorted(out, key=str)
 
 
@@ -56,7 +65,7 @@ def test_brute_force(spark, tables, limit, monkeypatch):
     docs, items = tables
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("term", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    got = [tuple(r) for r in d.contamination(frame, bench).collect()]
+    got = [tuple(r) for r in d.contamination(frame, bench, near=True).drop("hash").collect()]
     assert sorted(got, key=str) == slow(docs, items)
 
 
@@ -69,12 +78,41 @@ def test_edges(spark):
     assert {r.n_hit for r in d.contamination(docs, items.limit(0)).collect()} == {0}
 
 
+def test_hits_belong_to_the_row(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(None, f"start {passage} end"), (None, "a clean text of words"), (4, passage), (4, "clean too"), (9, passage + " and" * 2000), (9, "nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("clash"))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = sorted((r.n_words, r.n_hit) for r in d.contamination(docs, bench).collect())
+    assert got == [(2, 0), (2, 0), (5, 0), (15, 15), (17, 15), (2015, 15)]
+
+
+def test_keep_drops_rows_with_any_window(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(None, passage), (None, "clean"), (4, passage), (4, "clean too"), (9, passage + " and" * 2000), (9, "nothing here"), (10, None), (11, passage[:-17])]
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("clash"))
+    kept = d.keep(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == [(0, "clean"), (4, "clean too"), (9, "nothing here"), (10, "")]
+
+
+def test_long_items_and_common_words(spark):
+    rng = random.Random(8)
+    long_item = [f"w{rng.randrange(3000)}" for _ in range(100_000)]
+    docs = [(i, " ".join(long_item[700 * i : 700 * i + 300]) + " the" * 50) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long_item)), (2, "the")], "item_id long, text string")
+    got = d.contamination(frame, bench).collect()
+    assert {(r.n_words, r.n_hit, r.n_items) for r in got} == {(350, 350, 2)}
+
+
 def test_proximity(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
-    docs = spark.createDataFrame([(1, "x " + " ".join(reversed(item.split()))), (2, "one two and nothing else"), (3, item)], "doc_id long, text string")
+    changed = item.replace("one", "uno").replace("nine", "neun")
+    docs = spark.createDataFrame([(1, "x " + " ".join(reversed(item.split()))), (2, "one two and nothing else"), (3, item), (4, changed)], "doc_id long, text string")
     items = d.items_of(spark.createDataFrame([(1, item)], "item_id long, text string"))
-    terms = items.select(F.explode("words").alias("term")).distinct()
-    anchors = d.anchors_of(items, d.frequencies(docs, terms))
-    index = d.build_index(docs, anchors.select("term").distinct())
-    assert {r.doc_id for r in d.proximity_matches(index, anchors).collect()} == {1, 3}
-    assert {r.doc_id for r in d.phrase_matches(index, anchors).collect()} == {3}
+    index = d.build_index(docs)
+    terms = d.item_terms(items, d.frequencies(index, items.select(F.explode("words").alias("term")).distinct()))
+    assert {r.doc_id for r in d.proximity_matches(index, terms).collect()} == {1, 3, 4}
+    assert {r.doc_id for r in d.phrase_matches(index, terms).collect()} == {3}
