@@ -11,14 +11,15 @@ Outputs have two exact levels. The first has the units: the end, the OWN most fr
 of the rest of the vocabulary, neighbours in frequency with equal sums of root counts, as many as make the least work. The
 second tells a class's words apart. Both are normalised by their sums, so every token has a normalised probability.
 
-Training reads every training token, on as many copies of the model as there are cores (fewer if a copy would have under
-STEPS minibatches, and a corpus too small for one copy several times), however the rows are dealt over files: each goes over its tokens in minibatches, with shared noise samples for the units and a few from the target's class for its words. The copies' rows
-are averaged by how often each was trained, summed by Spark, after each of ROUNDS rounds, which take a share of the rows
-each and start from the averages of the round before; a row that none has trained keeps its start.
+Training reads every training token, in ROUNDS rounds over a share of the texts each. A round's texts are dealt by a hash over
+shards of about SHARD tokens, however the rows lie in files and whatever the cluster has. Each shard trains a copy of the
+model from the averages of the round before: it goes over its tokens in minibatches (several times, if the corpus has
+fewer than BATCH x STEPS), with shared noise samples for the units and a few from the target's class for its words. The
+copies' rows are averaged by how often each was trained, summed by Spark; a row that none has trained keeps its start.
 
 Scale: word counts are exact over all training documents and live in a stored table. Its words of highest count, at most
-MAX_HEAD and the whole vocabulary, go to every task and serve most tokens; for the rest, tasks send one row per document and
-distinct word, which joins the counts by word and is summed by document. The vocabulary's words and parameters (some 200
+MAX_HEAD and the whole vocabulary, go to every task and serve most tokens; for the rest, a document's row lists its distinct
+words, which are joined to the counts by word and summed by document. The vocabulary's words and parameters (some 200
 bytes a word) are what grows on the driver and in each task.
 
 Defined results: a null text is empty; an empty text has the end alone. A null doc_id is not held out. Repeated rows get
@@ -56,8 +57,10 @@ CONTEXT, SIZE = 4, 24
 NOISE, NEAR, BATCH, RATE, SEED = 32, 4, 2048, 0.1, 11
 #: Rounds of training, each over its share of the rows (by their text) and from the averaged parameters of the one before.
 ROUNDS = 4
-#: Minibatches that a copy of the model has at least.
-STEPS = 64
+#: Training tokens of a round that one copy of the model has, about.
+SHARD = 1 << 19
+#: Minibatches that training has at least.
+STEPS = 512
 #: Tokens that are scored in one matrix product, those whose class words are scored at once, and logits of such a product.
 SCORED, GROUPED, CELLS = 1 << 14, 1 << 17, 1 << 22
 
@@ -276,7 +279,7 @@ class Model:
             for at in range(base, base + len(hidden), SCORED):
                 part = slice(at, min(at + SCORED, base + len(hidden)))
                 hidden[part.start - base : part.stop - base] = given = self.predicted(context[part])
-                out[part] = _log_softmax(given @ self.q.T + self.b, target[part])
+                out[part] = _log_softmax(given, self.q, self.b, target[part])
             self._add_words(out[base : base + len(hidden)], hidden, token[base : base + len(hidden)])
         return out / np.log(10)
 
@@ -287,19 +290,24 @@ class Model:
         ends = np.searchsorted(word, self.known.class_start)
         for k in np.flatnonzero(np.diff(ends)):
             low, high = self.known.class_start[k], self.known.class_start[k + 1]
-            vectors, step = self.w[low:high].T, max(1, CELLS // (high - low))
+            step = max(1, CELLS // (high - low))
             for at in range(ends[k], ends[k + 1], step):
                 part = slice(at, min(at + step, ends[k + 1]))
-                out[inner[part]] += _log_softmax(hidden[inner[part]] @ vectors + self.a[low:high], word[part] - low)
-
-
-def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each row's chosen probability; `logits` are overwritten."""
-    top = logits.max(axis=1)
-    own = logits[np.arange(len(logits)), chosen]
-    logits -= top[:, None]
+                out[inner[part]] += _log_softmax(hidden[inner[part]], self.w[low:high], self.a[low:high], word[part] - low)
+
+
+def _log_softmax(hidden: np.ndarray, vectors: np.ndarray, biases: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each row's chosen probability over all of `vectors`."""
+    ones = np.ones((len(hidden), 1), np.float32)
+    logits = np.hstack([hidden, ones]) @ np.column_stack([vectors, biases]).T
+    own = logits[np.arange(len(logits)), chosen].astype(np.float64)
+    reach = np.sqrt(np.square(hidden).sum(1).max(initial=0) * np.square(vectors).sum(1).max(initial=0)) + np.abs(biases).max(initial=0)
+    if reach > 60:  # else no power of e overflows or vanishes
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+        own -= top
     np.exp(logits, out=logits)
-    return (own - top) - np.log(logits.sum(axis=1, dtype=np.float64))
+    return own - np.log((logits @ np.ones(logits.shape[1], np.float32)).astype(np.float64))
 
 
 def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -394,13 +402,15 @@ def _train(batches: Iterator[pa.RecordBatch], state: bytes, turn: int, passes: i
 
 def fit(training: DataFrame, known: Vocabulary) -> Model:
     model = new_model(known)
-    copies = max(1, min(known.n // (BATCH * STEPS), training.sparkSession.sparkContext.defaultParallelism))
+    copies = max(1, round(known.n / (ROUNDS * SHARD)))
     passes = max(1, -(-BATCH * STEPS // max(1, known.n)))
     schema = ", ".join(["at long, weight double", *(f"{v} float" for v in COLUMNS)])
     means = [(F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).cast("float").alias(v) for v in COLUMNS]
+    hashed = training.select("text", F.xxhash64("text").alias("h"))
     for turn in range(ROUNDS):
-        share = training.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text").coalesce(copies)
-        trained = map_arrow(share, partial(_train, state=pickle.dumps(model), turn=turn, passes=passes), schema)
+        share = hashed.where(F.pmod("h", F.lit(ROUNDS)) == turn)
+        dealt = share.repartition(copies, F.pmod(F.xxhash64("h"), F.lit(copies))).sortWithinPartitions("h").select("text")
+        trained = map_arrow(dealt, partial(_train, state=pickle.dumps(model), turn=turn, passes=passes), schema)
         rows = trained.groupBy("at").agg(*means).toArrow()
         if rows.num_rows:
             model.load(rows.column("at").to_numpy(), np.column_stack([rows.column(v).to_numpy() for v in COLUMNS]))
@@ -409,10 +419,11 @@ def fit(training: DataFrame, known: Vocabulary) -> Model:
 
 # -- scoring ----------------------------------------------------------------------------------------------------------
 
-HEAD_SCHEMA = "doc_id long, hash long, held_out boolean, n_tokens long, n_known long, base double, score double"
+SCORED_SCHEMA = "doc_id long, hash long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word:string,times:long>>"
 
 
-def _head_scores(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa.RecordBatch]:
+    """What the head and the model give of each text, and its distinct words beyond the head."""
     model = pickle.loads(state)
     known = model.known
     all_tokens, shares = np.log10(known.n + known.v + 1), known.log_shares()
@@ -429,44 +440,37 @@ def _head_scores(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa
         n_tokens = words.counts + 1
         base = np.bincount(word_row, mass[words.codes], rows) + np.log10(known.documents + 1) - n_tokens * all_tokens
         n_known = np.bincount(word_row, in_head[words.codes], rows).astype(np.int64) + (known.documents > 0)
-        columns = [part.column("doc_id"), part.column("hash"), part.column("held_out"), *map(pa.array, (n_tokens, n_known, base, score))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "held_out", "n_tokens", "n_known", "base", "score"])
-
-
-def _tail_words(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.RecordBatch]:
-    """A row for each text and each of its distinct words beyond the head."""
-    known = pickle.loads(vocabulary)
-    for part in slices(batches, "text"):
-        words = Words(part.column("text"))
-        beyond = (known.head_counts(words.vocabulary) < 0)[words.codes]
-        row = np.repeat(np.arange(len(part)), words.counts)[beyond]
-        cell, times = np.unique(row * np.int64(max(1, len(words.vocabulary))) + words.codes[beyond], return_counts=True)
-        at, word = pa.array(cell // max(1, len(words.vocabulary))), pa.array(cell % max(1, len(words.vocabulary)))
-        columns = [part.column("doc_id").take(at), part.column("hash").take(at), words.vocabulary.take(word), pa.array(times)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "word", "times"])
+        beyond, width = ~in_head[words.codes], np.int64(max(1, len(words.vocabulary)))
+        cell, times = np.unique(word_row[beyond] * width + words.codes[beyond], return_counts=True)
+        listed = pa.StructArray.from_arrays([words.vocabulary.take(pa.array(cell % width)), pa.array(times.astype(np.int64))], ["word", "times"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(cell // width, minlength=rows))]).astype(np.int32)
+        tail = pa.ListArray.from_arrays(pa.array(ends), listed)
+        columns = [part.column("doc_id"), part.column("hash"), part.column("held_out"), *map(pa.array, (n_tokens, n_known, base, score)), tail]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
 
 
 def scores(docs: DataFrame, counts: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
     """One row per row of `docs` (doc_id, text, held_out)."""
     keyed = docs.select("doc_id", "text", "held_out", F.xxhash64("text").alias("hash"))
-    heads = map_arrow(keyed, partial(_head_scores, state=pickle.dumps(model.scorer())), HEAD_SCHEMA)
-    tails = map_arrow(keyed.select("doc_id", "hash", "text"), partial(_tail_words, vocabulary=pickle.dumps(known)), "doc_id long, hash long, word string, times long")
-    found = tails.join(counts, "word", "left").select("doc_id", "hash", "times", F.coalesce("n", F.lit(0)).alias("n"))
+    heads = stored(map_arrow(keyed, partial(_scored, state=pickle.dumps(model.scorer())), SCORED_SCHEMA), "scored")
+    # copies of a row have the same words: the sums of one of them serve all
+    words = heads.select("doc_id", "hash", F.explode("tail").alias("w")).select("doc_id", "hash", "w.word", "w.times")
+    once = words.groupBy("doc_id", "hash", "word").agg(F.first("times").alias("times")) if _repeats(heads) else words
+    found = once.join(counts, "word", "left").select("doc_id", "hash", "times", F.coalesce("n", F.lit(0)).alias("n"))
     sums = found.groupBy("doc_id", "hash").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("mass"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known")
     )
-    # repeated rows were sent once each and share a sum: each has its part of it
-    copies = heads.groupBy("doc_id", "hash").agg(
-        F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "base", "score"))
-    )
-    both = copies.alias("h").join(sums.alias("t"), F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("h.hash") == F.col("t.hash")), "left")
-    mass = F.coalesce(F.col("mass") / F.col("copies"), F.lit(0.0))
-    rows = both.select(
-        "h.doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce(F.col("tail_known") / F.col("copies"), F.lit(0))).cast("long").alias("n_known"),
+    both = heads.drop("tail").alias("h").join(sums.alias("t"), (F.col("h.hash") == F.col("t.hash")) & F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")), "left")
+    mass = F.coalesce("mass", F.lit(0.0))
+    return both.select(
+        "h.doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(known.n).cast("long").alias("train_tokens"), (F.col("base") + mass).alias("base_score"), (F.col("score") + mass).alias("score"),
-        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
     )
-    return rows.drop("copy")
+
+
+def _repeats(heads: DataFrame) -> bool:
+    """Whether any id has two rows of one text."""
+    return heads.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count() > 0
 
 
 def run(docs: DataFrame) -> DataFrame:
