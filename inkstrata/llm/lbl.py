@@ -14,7 +14,7 @@ second tells a class's words apart. Both are normalised by their sums, so every
 Training reads every training token, in ROUNDS rounds over a share of the texts each. A round's texts are dealt by a hash over
 shards of about SHARD tokens, however the rows lie in files and whatever the cluster has. Each shard trains a copy of the
 model from the averages of the round before: it goes over its tokens in minibatches (several times, if the corpus has
-fewer than BATCH x STEPS), with shared noise samples for the units and a few from the target's class for its words. The
+fewer than BATCH x STEPS, but not over PASSES), with shared noise samples for the units and a few from the target's class for its words. The
 copies' rows are averaged by how often each was trained, summed by Spark; a row that none has trained keeps its start.
 
 Scale: word counts are exact over all training documents and live in a stored table. Its words of highest count, at most
@@ -59,8 +59,8 @@ NOISE, NEAR, BATCH, RATE, SEED = 32, 4, 2048, 0.1, 11
 ROUNDS = 4
 #: Training tokens of a round that one copy of the model has, about.
 SHARD = 1 << 19
-#: Minibatches that training has at least.
-STEPS = 512
+#: Minibatches that training has at least, as far as PASSES over the tokens go.
+STEPS, PASSES = 512, 16
 #: Tokens that are scored in one matrix product, those whose class words are scored at once, and logits of such a product.
 SCORED, GROUPED, CELLS = 1 << 14, 1 << 17, 1 << 22
 
@@ -403,7 +403,7 @@ def _train(batches: Iterator[pa.RecordBatch], state: bytes, turn: int, passes: i
 def fit(training: DataFrame, known: Vocabulary) -> Model:
     model = new_model(known)
     copies = max(1, round(known.n / (ROUNDS * SHARD)))
-    passes = max(1, -(-BATCH * STEPS // max(1, known.n)))
+    passes = min(PASSES, max(1, -(-BATCH * STEPS // max(1, known.n))))
     schema = ", ".join(["at long, weight double", *(f"{v} float" for v in COLUMNS)])
     means = [(F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).cast("float").alias(v) for v in COLUMNS]
     hashed = training.select("text", F.xxhash64("text").alias("h"))
