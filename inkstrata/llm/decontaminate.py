@@ -34,6 +34,8 @@ CONTAMINATED = 20
 #: Proximity: terms of a block, how many of them may be missing, and within how many words the others must stand.
 NEAR_TERMS, NEAR_MISSING, SPAN = 4, 1, 2 * WINDOW
 MAX_BROADCAST = 200_000
+#: Rows of the corpus whose hashes (16 bytes each) are broadcast.
+MAX_ROWS = 2_000_000
 #: No word, as it is a separator; the term of the postings that hold lengths.
 LENGTH = " "
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,6 +83,7 @@ def present(index: DataFrame, asked: DataFrame) -> DataFrame:
     if is_small(asked, MAX_BROADCAST):
         return postings.join(F.broadcast(asked), ["term", "hash", "pos"]).where(same).drop("_doc").distinct()
     postings = join_bounded(postings, asked.select("term").distinct(), "term", "left_semi", MAX_BROADCAST)
+    postings = join_bounded(postings, asked.select("hash").distinct(), "hash", "left_semi", MAX_ROWS)
     return asked.join(postings, ["term", "hash", "pos"]).where(same).drop("_doc").distinct()
 
 

@@ -12,10 +12,11 @@ of the rest of the vocabulary, neighbours in frequency with equal sums of root c
 second tells a class's words apart. Both are normalised by their sums, so every token has a normalised probability.
 
 Training reads every training token, in ROUNDS rounds over a share of the texts each. A round's texts are dealt by a hash over
-shards of about SHARD tokens, however the rows lie in files and whatever the cluster has. Each shard trains a copy of the
+shards, however the rows lie in files and whatever the cluster has. Each shard trains a copy of the
 model from the averages of the round before: it goes over its tokens in minibatches (several times, if the corpus has
 fewer than BATCH x STEPS, but not over PASSES), with shared noise samples for the units and a few from the target's class for its words. The
-copies' rows are averaged by how often each was trained, summed by Spark; a row that none has trained keeps its start.
+copies send what has changed in packets of rows, which are averaged by how often each row was trained; one that none has
+trained keeps its start.
 
 Scale: word counts are exact over all training documents and live in a stored table. Its words of highest count, at most
 MAX_HEAD and the whole vocabulary, go to every task and serve most tokens; for the rest, a document's row lists its distinct
@@ -47,7 +48,7 @@ from inkstrata.llm._common import Words, crc32_of_id, map_arrow, slices, stored,
 
 FOLDS, HELD_OUT = 7, 2
 MAX_HEAD = 300_000
-OWN, SPELLINGS = 127, 128
+OWN, SPELLINGS = 63, 64
 UNITS = 1 + OWN + SPELLINGS
 #: Training tokens from which on a word has its own vectors.
 MIN_COUNT = 100
@@ -57,8 +58,11 @@ CONTEXT, SIZE = 4, 24
 NOISE, NEAR, BATCH, RATE, SEED = 32, 4, 2048, 0.1, 11
 #: Rounds of training, each over its share of the rows (by their text) and from the averaged parameters of the one before.
 ROUNDS = 4
-#: Training tokens of a round that one copy of the model has, about.
-SHARD = 1 << 19
+#: A round of x times SHARD training tokens trains x ** GROWTH copies of the model: their rows cross the network, so shards
+#: grow slowly with the corpus.
+SHARD, GROWTH = 1 << 19, 2 / 3
+#: Tokens of a minibatch that follow each other; rows of a packet of parameters.
+SEGMENT, PACKET = 128, 256
 #: Minibatches that training has at least, as far as PASSES over the tokens go.
 STEPS, PASSES = 512, 16
 #: Tokens that are scored in one matrix product, those whose class words are scored at once, and logits of such a product.
@@ -189,14 +193,27 @@ class Model:
             base += len(table)
         return np.concatenate(at), np.concatenate(values), np.concatenate(weights)
 
-    def load(self, at: np.ndarray, values: np.ndarray) -> None:
+    def values(self, at: np.ndarray) -> np.ndarray:
+        """The rows at the given places, with biases."""
+        out, base = np.zeros((len(at), SIZE + 1), np.float32), 0
+        for name in self.NAMES:
+            table = getattr(self, name)
+            own = (at >= base) & (at < base + len(table))
+            out[own, :SIZE] = table[at[own] - base]
+            if name in "qw":
+                out[own, SIZE] = {"q": self.b, "w": self.a}[name][at[own] - base]
+            base += len(table)
+        return out
+
+    def add(self, at: np.ndarray, change: np.ndarray) -> None:
+        """Add to the rows at the given places what has changed in them."""
         base = 0
         for name in self.NAMES:
             table = getattr(self, name)
             own = (at >= base) & (at < base + len(table))
-            table[at[own] - base] = values[own, :SIZE]
+            table[at[own] - base] += change[own, :SIZE]
             if name in "qw":
-                {"q": self.b, "w": self.a}[name][at[own] - base] = values[own, SIZE]
+                {"q": self.b, "w": self.a}[name][at[own] - base] += change[own, SIZE]
             base += len(table)
 
     def scorer(self) -> Model:
@@ -229,18 +246,27 @@ class Model:
             self.squares["a"][rows] = squares
             self.a[rows] += RATE * total / np.sqrt(squares)
 
-    def train(self, context: np.ndarray, token: np.ndarray, rng: np.random.Generator) -> None:
-        """One minibatch of noise-contrastive estimation: tell each target from noise, by units and within its class."""
+    def train(self, tokens: np.ndarray, place: np.ndarray, rng: np.random.Generator) -> None:
+        """One minibatch of noise-contrastive estimation: tell each target from noise, by units and within its class.
+
+        `tokens` has segments of tokens, each with the CONTEXT tokens before its first target, and `place` the targets'
+        places in their texts. What follows each other shares context vectors, so that each is read and stepped once.
+        """
+        length = place.shape[1]
+        token = tokens[:, CONTEXT:].ravel()
         size, target, units = len(token), self.known.outer(token), len(self.q)
         samples = rng.choice(units, NOISE, p=self.noise)
         shift = np.log(NOISE * self.noise).astype(np.float32)
-        inputs = self.r[context]
-        hidden = np.einsum("bkd,kd->bd", inputs, self.c)
-        real = np.einsum("bd,bd->b", hidden, self.q[target]) + self.b[target] - shift[target]
+        vectors = self.r[tokens]
+        inside = [(place > k)[:, :, None] for k in range(CONTEXT)]
+        inputs = [np.where(inside[k], vectors[:, CONTEXT - 1 - k : CONTEXT - 1 - k + length], self.r[START]) for k in range(CONTEXT)]
+        hidden = sum(x * c for x, c in zip(inputs, self.c, strict=True)).reshape(size, SIZE)
+        own = self.q[target]
+        real = np.einsum("bd,bd->b", hidden, own) + self.b[target] - shift[target]
         fake = hidden @ self.q[samples].T + (self.b[samples] - shift[samples])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30))) / size
+        up = (1 / (1 + np.exp(np.clip(real, -30, 30))) / size).astype(np.float32)
         down = 1 / (1 + np.exp(-np.clip(fake, -30, 30))) / size
-        back = up[:, None] * self.q[target] - down @ self.q[samples]
+        back = up[:, None] * own - down @ self.q[samples]
         g_q = _sums(target, up[:, None] * hidden, units)
         np.add.at(g_q, samples, -(down.T @ hidden))
         g_b = np.bincount(target, up, units).astype(np.float32)
@@ -248,10 +274,17 @@ class Model:
         inner = np.flatnonzero(token > START)
         if len(inner):
             back[inner] += self._train_words(token[inner] - START - 1, hidden[inner], size, rng)
-        g_c = np.einsum("bd,bkd->kd", back, inputs)
+        back = back.reshape(len(tokens), length, SIZE)
+        g_c = np.stack([np.einsum("sld,sld->d", back, x) for x in inputs])
+        g_r, g_start = np.zeros(vectors.shape, np.float32), np.zeros(SIZE, np.float32)
+        for k in range(CONTEXT):
+            given = back * self.c[k]
+            known = given * inside[k]
+            g_r[:, CONTEXT - 1 - k : CONTEXT - 1 - k + length] += known
+            g_start += (given - known).sum(axis=(0, 1))
         for name, gradient in (("q", g_q), ("b", g_b)):
             self._step(name, gradient)
-        self._step_rows("r", context.ravel(), (back[:, None, :] * self.c).reshape(-1, SIZE))
+        self._step_rows("r", np.append(tokens.ravel(), START), np.vstack([g_r.reshape(-1, SIZE), g_start]))
         self._step("c", g_c)
         self.times["q"] += size
         self.times["c"] += size
@@ -375,45 +408,80 @@ def new_model(known: Vocabulary) -> Model:
     return Model(share / share.sum(), known)
 
 
-COLUMNS = [f"v{i}" for i in range(SIZE + 1)]
+#: Rows of a packet as they cross the network.
+_ROW = np.dtype([("at", "<i8"), ("weight", "<f4"), ("change", "<f2", SIZE + 1)])
+
+
+def _segments(tokens: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments of SEGMENT tokens with the CONTEXT tokens before them, and their places; START and place 0 beyond the end."""
+    n = -(-len(tokens) // SEGMENT)
+    padded = np.full(CONTEXT + n * SEGMENT, START, np.int64)
+    padded[CONTEXT : CONTEXT + len(tokens)] = tokens
+    at = np.zeros(n * SEGMENT, np.int64)
+    at[: len(place)] = place
+    return padded[np.arange(n)[:, None] * SEGMENT + np.arange(CONTEXT + SEGMENT)], at.reshape(n, SEGMENT)
 
 
 def _train(batches: Iterator[pa.RecordBatch], state: bytes, turn: int, passes: int) -> Iterator[pa.RecordBatch]:
-    model = pickle.loads(state)
+    model, start = pickle.loads(state), pickle.loads(state)
     known = model.known
     rng, seen = np.random.default_rng([SEED, turn, TaskContext.get().partitionId()]), 0
     for part in slices(batches, "text"):
         words = Words(part.column("text"))
         units, place, _ = token_units(words, known.units(words.vocabulary))
-        context = contexts(units, place)
+        whole = len(units) // SEGMENT * SEGMENT
+        segments, places = _segments(units[:whole], place[:whole])
+        last = _segments(units[whole:], place[whole:])
         for _ in range(passes):
-            order = rng.permutation(len(units))
-            for at in range(0, len(units), BATCH):
-                chosen = order[at : at + BATCH]
-                model.train(context[chosen], units[chosen], rng)
+            order, step = rng.permutation(len(segments)), BATCH // SEGMENT
+            for at in range(0, len(segments), step):
+                chosen = order[at : at + step]
+                model.train(segments[chosen], places[chosen], rng)
+            if len(units) > whole:  # what is left over stands alone, without the filling
+                left = len(units) - whole
+                model.train(last[0][:, : CONTEXT + left], last[1][:, :left], rng)
         seen += len(units)
     if seen:
         at, values, weights = model.rows()
-        for low in range(0, len(at), 1 << 16):
-            part = slice(low, low + (1 << 16))
-            columns = [pa.array(at[part]), pa.array(weights[part]), *(pa.array(v) for v in values[part].T.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays(columns, ["at", "weight", *COLUMNS])
+        packed = np.empty(len(at), _ROW)
+        packed["at"], packed["weight"] = at, weights
+        for base in range(0, len(at), 1 << 16):
+            part = slice(base, base + (1 << 16))
+            packed["change"][part] = values[part] - start.values(at[part])
+        ends = np.append(np.flatnonzero(np.diff(at // PACKET)) + 1, len(at))
+        starts = np.append(0, ends[:-1])
+        for base in range(0, len(ends), 256):
+            some = [(int(at[a] // PACKET), packed[a:b].tobytes()) for a, b in zip(starts[base : base + 256], ends[base : base + 256], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary())], ["packet", "rows"])
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The copies' packets as one packet each, its rows averaged by weight."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for packet, rows in zip(batch.column("packet").to_pylist(), batch.column("rows"), strict=True):
+            got = np.frombuffer(rows.as_buffer(), _ROW)
+            total = sums.setdefault(packet, np.zeros((PACKET, SIZE + 2)))
+            weight = got["weight"].astype(np.float64)
+            total[got["at"] % PACKET] += np.column_stack([weight, got["change"] * weight[:, None]])
+    for packet, total in sums.items():
+        some = np.flatnonzero(total[:, 0])
+        means = np.column_stack([some + packet * PACKET, total[some, 1:] / total[some, :1]])
+        yield pa.RecordBatch.from_arrays([pa.array([means.tobytes()], pa.binary())], ["rows"])
 
 
 def fit(training: DataFrame, known: Vocabulary) -> Model:
     model = new_model(known)
-    copies = max(1, round(known.n / (ROUNDS * SHARD)))
+    copies = max(1, round((known.n / (ROUNDS * SHARD)) ** GROWTH))
     passes = min(PASSES, max(1, -(-BATCH * STEPS // max(1, known.n))))
-    schema = ", ".join(["at long, weight double", *(f"{v} float" for v in COLUMNS)])
-    means = [(F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).cast("float").alias(v) for v in COLUMNS]
     hashed = training.select("text", F.xxhash64("text").alias("h"))
     for turn in range(ROUNDS):
         share = hashed.where(F.pmod("h", F.lit(ROUNDS)) == turn)
         dealt = share.repartition(copies, F.pmod(F.xxhash64("h"), F.lit(copies))).sortWithinPartitions("h").select("text")
-        trained = map_arrow(dealt, partial(_train, state=pickle.dumps(model), turn=turn, passes=passes), schema)
-        rows = trained.groupBy("at").agg(*means).toArrow()
-        if rows.num_rows:
-            model.load(rows.column("at").to_numpy(), np.column_stack([rows.column(v).to_numpy() for v in COLUMNS]))
+        trained = map_arrow(dealt, partial(_train, state=pickle.dumps(model), turn=turn, passes=passes), "packet long, rows binary")
+        for rows in map_arrow(trained.repartition("packet"), _mean, "rows binary").toArrow().column("rows").to_pylist():
+            means = np.frombuffer(rows).reshape(-1, SIZE + 2)
+            model.add(means[:, 0].astype(np.int64), means[:, 1:].astype(np.float32))
     return model
 
 
