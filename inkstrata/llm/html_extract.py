@@ -5,7 +5,10 @@ and Spark counts on how many pages with different content of one host each hash
 pages are its template and are deleted, however many pages the host has (inside an article, only those without prose
 blocks, and only articles count that differ in the rest of their text: a copied article is not a template). What is left is cleaned by
 meaning (navigation, headers, footers, asides, forms, scripts, notices, adverts, comments, by element, role or class),
-so that hosts with few pages are served too. The text is that of the articles, else of `main`, else of the body.
+so that hosts with few pages are served too: a name all of whose words are listed marks an element, one listed word in a
+longer name only an element outside articles that is not mostly running text. A form around the article or most of the
+page is kept. The text is that of the articles, else of `main`, else of the body; an article that is mostly links is a
+teaser beside one that is not.
 Prose blocks inside an article (paragraphs, headings, lists, tables, ...) are never template: copied articles stay whole.
 
 Scale: tasks send each (host, hash, page content) once; the counting is two sums with map-side parts, so a host with a
@@ -55,7 +58,11 @@ CLASSES = frozenset(
         "pagination pager skip copyright"
     ).split()
 )
+#: Those of them that mark what readers wrote, also as the first or last word of a longer name.
+REMARKS = frozenset("comment comments commentlist disqus replies respond".split())
 ROOTS = frozenset("html body article main".split())
+#: Characters of running text (in paragraphs, outside links) that outweigh a listed word within a longer class or id.
+MIN_PROSE = 200
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
@@ -71,76 +78,73 @@ _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 class Page:
     """Elements of a page as parallel lists, parents first, and its text pieces in order."""
 
-    __slots__ = ("end", "marks", "parent", "pieces", "start", "tag")
+    __slots__ = ("items", "marks", "parent", "pieces", "tag")
 
     def __init__(self, source: str):
         self.tag: list[str] = ["#root"]
-        self.parent, self.start, self.end, self.marks = [-1], [0], [len(source)], [""]
+        self.parent, self.marks = [-1], [""]
+        self.items: list[list[int | str]] = [[]]  # what each element has in it, in order: elements and texts
         self.pieces: list[tuple[int, str]] = []
         stack, at = [0], 0
         while found := _MARKUP.search(source, at):
             if found.start() > at:
-                self.pieces.append((stack[-1], source[at : found.start()]))
+                self._text(stack[-1], source[at : found.start()])
             at = found.end()
             name = found[2] or found[5]
             if not name:
                 continue  # comment, doctype, processing instruction
             name = name.lower()
             if found[1] or found[4]:
-                self._close(stack, name, found.start(), at)
+                self._close(stack, name)
                 continue
-            self._imply(stack, name, found.start())
+            self._imply(stack, name)
             marks = found[3] or found[6] or ""
             if name not in INLINE:
                 self.pieces.append((stack[-1], " "))
-            element = self._open(stack[-1], name, marks, found.start(), at)
+            element = self._open(stack[-1], name, marks)
             if name in VOID:
                 continue
             if name in RAW:
                 closing = _ENDS[name].search(source, at)
-                at = closing.start() if closing else len(source)
-                self.end[element] = at
+                end = closing.start() if closing else len(source)
+                self.items[element].append(source[at:end])
+                at = end
             stack.append(element)
         if at < len(source):
-            self.pieces.append((stack[-1], source[at:]))
-        for element in stack:
-            self.end[element] = len(source)
+            self._text(stack[-1], source[at:])
 
-    def _open(self, parent: int, name: str, marks: str, start: int, end: int) -> int:
+    def _text(self, owner: int, text: str) -> None:
+        self.pieces.append((owner, text))
+        self.items[owner].append(text)
+
+    def _open(self, parent: int, name: str, marks: str) -> int:
         self.tag.append(name)
         self.parent.append(parent)
         self.marks.append(marks)
-        self.start.append(start)
-        self.end.append(end)
+        self.items.append([])
+        self.items[parent].append(len(self.tag) - 1)
         return len(self.tag) - 1
 
-    def _pop_to(self, stack: list[int], depth: int, end: int) -> None:
-        for element in stack[depth:]:
-            self.end[element] = end
-        del stack[depth:]
-
-    def _close(self, stack: list[int], name: str, start: int, end: int) -> None:
+    def _close(self, stack: list[int], name: str) -> None:
         if name not in INLINE:
             self.pieces.append((stack[-1], " "))
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[depth]]
             if tag == name:
-                inner = stack[depth]
-                self._pop_to(stack, depth, start)
-                self.end[inner] = end
+                del stack[depth:]
                 return
             if name in INLINE and tag not in INLINE:
                 return  # a stray end tag does not close blocks
             if tag in ROOTS and name not in ROOTS:
                 return
 
-    def _imply(self, stack: list[int], name: str, at: int) -> None:
+    def _imply(self, stack: list[int], name: str) -> None:
         """End what the start of `name` ends: paragraphs before blocks, list items and cells before their like."""
         if name not in INLINE and name not in VOID or name == "hr":
             for depth in range(len(stack) - 1, 0, -1):
                 tag = self.tag[stack[depth]]
                 if tag == "p":
-                    self._pop_to(stack, depth, at)
+                    del stack[depth:]
                     break
                 if tag not in INLINE:
                     break
@@ -148,7 +152,7 @@ class Page:
             for depth in range(len(stack) - 1, 0, -1):
                 tag = self.tag[stack[depth]]
                 if tag in IMPLIED[name]:
-                    self._pop_to(stack, depth, at)
+                    del stack[depth:]
                     break
                 if tag in LIMITS[name] or tag in ROOTS:
                     break
@@ -168,12 +172,27 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def subtrees(page: Page, source: str, host: str) -> list[tuple[int, int]]:
+def digests(page: Page, seed: int) -> list[int]:
+    """A hash of each element's subtree, from those of what is in it, white space aside; each text is read once."""
+    out = [0] * len(page.tag)
+    for i in range(len(page.tag) - 1, 0, -1):  # children come after parents
+        parts = [page.tag[i].encode("utf-8", "surrogatepass"), " ".join(page.marks[i].split()).encode("utf-8", "surrogatepass")]
+        for item in page.items[i]:
+            if isinstance(item, int):
+                parts.append(b"\x01" + out[item].to_bytes(8, "little"))
+            elif text := " ".join(item.split()):
+                parts.append(b"\x02" + xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")))
+        out[i] = xxhash.xxh3_64_intdigest(b"\0".join(parts), seed=seed)
+    return out
+
+
+def subtrees(page: Page, host: str) -> list[tuple[int, int]]:
     """(element, key) of the subtrees that may be template.
 
     The key hashes host and markup, white space aside; its last bit is set inside an article.
     """
-    within, seed, out = page.inside({"article"}), xxhash.xxh3_64_intdigest(host.encode()), []
+    within, out = page.inside({"article"}), []
+    hashed = digests(page, xxhash.xxh3_64_intdigest(host.encode()))
     prose = [tag in PROSE and inner for tag, inner in zip(page.tag, within, strict=True)]
     for i in range(len(prose) - 1, 0, -1):  # parents come before children
         prose[page.parent[i]] = prose[page.parent[i]] or prose[i]
@@ -181,12 +200,28 @@ def subtrees(page: Page, source: str, host: str) -> list[tuple[int, int]]:
         tag = page.tag[i]
         if tag in INLINE or tag in ROOTS or tag in VOID or (within[i] and prose[i]):
             continue
-        markup = " ".join(source[page.start[i] : page.end[i]].split()).encode("utf-8", "surrogatepass")
-        key = xxhash.xxh3_64_intdigest(markup, seed=seed) & ~1 | within[i]
+        key = hashed[i] & ~1 | within[i]
         out.append((i, key - (1 << 64) if key >> 63 else key))
     return out
 
 
+def sizes(page: Page) -> tuple[list[int], list[int], list[int]]:
+    """Of each subtree, the characters of its text, of its text in links, and of running text in paragraphs outside links."""
+    links, paragraphs = page.inside({"a"}), page.inside({"p"})
+    whole, linked, prose = ([0] * len(page.tag) for _ in range(3))
+    for owner, text in page.pieces:
+        n = len(text.strip())
+        whole[owner] += n
+        if links[owner]:
+            linked[owner] += n
+        elif paragraphs[owner]:
+            prose[owner] += n
+    for count in (whole, linked, prose):
+        for i in range(len(count) - 1, 0, -1):
+            count[page.parent[i]] += count[i]
+    return whole, linked, prose
+
+
 def rests(page: Page, elements: list[int]) -> dict[int, int]:
     """For each of the elements, all within articles, a hash of its outermost article's text without its own."""
     own = [0] * len(page.tag)
@@ -201,21 +236,64 @@ def rests(page: Page, elements: list[int]) -> dict[int, int]:
     return {i: (own[article[i]] - own[i]) & ((1 << 64) - 1) for i in elements}
 
 
-def _is_marked(marks: str, in_article: bool) -> bool:
+#: How an element is marked: as what readers wrote, as no part of the article, or by one word of a longer name.
+REMARK, STRONG, WEAK = 3, 2, 1
+
+
+def _mark(marks: str) -> tuple[int, int]:
+    """The strongest mark of an element's class and other attributes, and that of its id."""
+    by_class = by_id = 0
     for name, value in _ATTRIBUTE.findall(marks):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if in_article:  # there, ids name sections and words of a class may be the subject's
-            if name == "class" and not CLASSES.isdisjoint(value.lower().split()):
-                return True
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES):
+            by_class = max(by_class, STRONG)
         elif name in ("class", "id"):
-            words = {x.lower() for x in _WORD.findall(value)}
-            if words & CLASSES or "header" in words:
-                return True
-    return False
+            found = 0
+            for token in value.split():
+                words = [x.lower() for x in _WORD.findall(token)] or [token.lower()]
+                if words[0] in REMARKS or words[-1] in REMARKS:
+                    found = REMARK
+                elif token.lower() in CLASSES or CLASSES.issuperset(words) or words == ["header"]:
+                    found = max(found, STRONG)
+                elif "header" in words or not CLASSES.isdisjoint(words):
+                    found = max(found, WEAK)
+            if name == "class":
+                by_class = max(by_class, found)
+            else:
+                by_id = found
+    return by_class, by_id
+
+
+def removed(page: Page) -> list[bool]:
+    """Which elements are, or are inside, what is no part of the article."""
+    article, (whole, linked, prose) = page.inside({"article"}), sizes(page)
+    holds = [False] * len(page.tag)
+    for i in range(len(page.tag) - 1, 0, -1):
+        holds[page.parent[i]] = holds[page.parent[i]] or holds[i] or page.tag[i] in ("article", "main")
+    plain = any(tag == "article" and not max(_mark(marks)) >= STRONG for tag, marks in zip(page.tag, page.marks, strict=True))
+    gone = [False] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        tag = page.tag[i]
+        if gone[page.parent[i]]:
+            gone[i] = True
+        elif tag == "form":
+            gone[i] = not (holds[i] or 2 * (whole[i] - linked[i]) > whole[0] - linked[0])
+        elif tag in DROPPED or (tag == "header" and not article[page.parent[i]]):
+            gone[i] = True
+        elif page.marks[i] and tag not in ("html", "body", "main"):
+            by_class, by_id = _mark(page.marks[i])
+            if tag == "article":
+                gone[i] = by_class == REMARK or (by_class == STRONG and plain)
+            elif article[i]:  # there, ids name sections and words of a class may be the subject's
+                gone[i] = by_class >= STRONG or (by_id == REMARK and tag not in PROSE)
+            else:
+                gone[i] = max(by_class, by_id) >= STRONG or (max(by_class, by_id) == WEAK and (prose[i] < MIN_PROSE or 2 * prose[i] < whole[i]))
+    tops = [i for i, tag in enumerate(page.tag) if tag == "article" and not article[page.parent[i]] and not gone[i]]
+    teasers = {i for i in tops if 2 * linked[i] > whole[i]}
+    if teasers and len(teasers) < len(tops):
+        for i in range(1, len(page.tag)):
+            gone[i] = gone[i] or i in teasers or gone[page.parent[i]]
+    return gone
 
 
 def extract(source: str | None, deleted: set[int] | frozenset[int] = frozenset(), host: str = "") -> str:
@@ -223,23 +301,19 @@ def extract(source: str | None, deleted: set[int] | frozenset[int] = frozenset()
     if not source:
         return ""
     page = Page(source)
-    gone, article = [False] * len(page.tag), page.inside({"article"})
+    gone = removed(page)
     if deleted:
-        for i, key in subtrees(page, source, host):
-            gone[i] = key in deleted
-    for i in range(1, len(page.tag)):
-        tag, parent = page.tag[i], page.parent[i]
-        if gone[parent] or tag in DROPPED or (tag == "header" and not article[i]):
-            gone[i] = True
-        elif page.marks[i] and tag not in ROOTS and _is_marked(page.marks[i], article[i]):
-            gone[i] = True
+        for i, key in subtrees(page, host):
+            gone[i] = gone[i] or key in deleted
+        for i in range(1, len(gone)):
+            gone[i] = gone[i] or gone[page.parent[i]]
     main = None
     for wanted in ("article", "main"):
         if any(tag == wanted and not out for tag, out in zip(page.tag, gone, strict=True)):
             main = page.inside({wanted})
             break
-    kept = [text for owner, text in page.pieces if not gone[owner] and (main is None or main[owner])]
-    return " ".join(_html.unescape("".join(kept)).split())
+    kept = [_html.unescape(text) for owner, text in page.pieces if not gone[owner] and (main is None or main[owner])]
+    return " ".join("".join(kept).split())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +327,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = np.uint64(xxhash.xxh3_64_intdigest(host.encode())).astype(np.int64).item()
             content = np.uint64(xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass"))).astype(np.int64).item()
             page = Page(source)
-            every = subtrees(page, source, host)
+            every = subtrees(page, host)
             rest = rests(page, [i for i, key in every if key & 1])
             found = {(key, np.uint64(rest[i]).astype(np.int64).item() if key & 1 else content) for i, key in every}
             hosts += [name] * len(found)
@@ -286,7 +360,7 @@ def _own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, keys = [], []
         for row, url, source in zip(*(batch.column(c).to_pylist() for c in ("row", "url", "html")), strict=True):
             if source:
-                found = {key for _, key in subtrees(Page(source), source, host_of(url))}
+                found = {key for _, key in subtrees(Page(source), host_of(url))}
                 rows += [row] * len(found)
                 keys += found
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.int64())], ["row", "key"])
