@@ -7,7 +7,8 @@ tasks to an archive, and checks every payload against its digest.
 
 Of records with equal payloads of at least MIN_BYTES bytes that with the largest page_id is the response; the others are
 revisits without payload that refer to it. Equal payloads are found by SHA-1 in Spark: a sum with a map-side part gives
-the few digests that occur twice or more; payloads are not shuffled unless those are too many to broadcast.
+the few digests that occur twice or more; payloads are not shuffled unless those are too many to broadcast, and then by a
+hash of the row, so that no payload is a hot key.
 
 Files go to the shared folder (any file system that pyarrow knows by its URI) under names made from the task's
 partition, are written under a temporary name and moved, so that a repeated task replaces its own file. A task holds one
@@ -37,12 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._common import join_bounded, map_arrow, shared_dir, slices, table
+from inkstrata.llm._common import is_small, join_salted, map_arrow, shared_dir, slices, table
 
 MIN_BYTES = 0
 CHUNK = 1 << 20
 #: Bytes of an archive whose records are read by one task, about.
-READ_RUN = 16 << 20
+READ_RUN = 4 << 20
+#: Repeated digests that are broadcast.
+MAX_COPIES = 500_000
 #: Fixed value: records of synthetic pages have no capture time.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -163,7 +166,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     payload = F.coalesce("html", F.lit(""))
     hashed = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha1"), (F.octet_length(payload) >= min_bytes).alias("large"))
     copies = hashed.where("large").groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha1", "last", F.lit(True).alias("large"))
-    found = join_bounded(hashed, copies, ["sha1", "large"], "left")
+    if is_small(copies, MAX_COPIES):
+        found = hashed.join(F.broadcast(copies), ["sha1", "large"], "left")
+    else:
+        keyed = hashed.withColumn("row", F.xxhash64("page_id", "url", "sha1"))
+        narrow = join_salted(keyed.where("large").select("row", "sha1"), copies.drop("large"), "sha1", F.col("row")).select("row", "last").distinct()
+        found = keyed.join(narrow, "row", "left")
     refers_to = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to")
     written = map_arrow(found.select("page_id", "url", "html", refers_to), partial(_write, folder=folder), "archive string, records long")
     return sorted(r.archive for r in written.collect())
@@ -229,8 +237,10 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of all indexed records of a folder."""
     index = spark.read.schema(INDEX).json(f"{folder}/*.idx")
+    total = index.agg(F.sum("length")).first()[0] or 0
     run = F.floor(F.col("offset") / READ_RUN).alias("run")
-    dealt = index.select("archive", "offset", "length", run).repartition(F.col("archive"), F.col("run")).sortWithinPartitions("archive", "offset")
+    tasks = 2 * (total // READ_RUN) + 1  # a number of its own: the index alone looks too small to be dealt
+    dealt = index.select("archive", "offset", "length", run).repartition(tasks, "archive", "run").sortWithinPartitions("archive", "offset")
     return map_arrow(dealt.select("archive", "offset", "length"), partial(_read, folder=folder), RECORDS)
 
 

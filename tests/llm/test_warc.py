@@ -25,7 +25,9 @@ def test_records_and_streams():
         list(warc.split_records(iter([whole[1][:-9]])))
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("copies", [warc.MAX_COPIES, 0])
+def test_round_trip(spark, tmp_path, monkeypatch, copies):
+    monkeypatch.setattr(warc, "MAX_COPIES", copies)
     rows = [(1, "http://a/", "same"), (7, "http://b/", "same"), (3, None, "same"), (4, "u", None), (5, "u", ""), (None, "u", "same"), (9, "u", "own"), (9, "u", "own"), (None, "u", "lost"), (None, "u", "lost")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("clash")).repartition(3)
     got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
