@@ -38,7 +38,7 @@ PUNCTUATION = ASCII_PUNCTUATION | _points(PUNCTUATION_RANGES)
 
 MAX_LABEL = 1000
 
-# -- patterns of lines; each is matched at the first character that is not a space --------------------------------------
+# -- Fixed values: patterns of lines and inlines; those of lines are matched at the first character that is not a space -----
 _ESCAPED = rb"\\[!-/:-@\[-`{-~]"
 _SP = rb"[ \t\v\f\r\n]"
 _ATTRIBUTE = rb"(?:" + _SP + rb"+[a-zA-Z_:][a-zA-Z0-9:._-]*(?:" + _SP + rb"*=" + _SP + rb"*(?:[^ \t\r\n\v\f\"'=<>`\0]+|'[^'\0]*'|\"[^\"\0]*\"))?)"
