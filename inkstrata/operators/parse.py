@@ -12,7 +12,7 @@ from functools import partial
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstrata.core import document as md
@@ -21,12 +21,12 @@ from inkstrata.core.tree import Node
 
 SCOPE = "struct<start:struct<line:int,column:int>,end:struct<line:int,column:int>>"
 #: Columns that hold text, with the field each comes from.
-TEXTS = ("info", "language", "literal", "name", "label", "destination", "source", "title", "reference")
+TEXTS = ("info", "language", "literal", "name", "label", "norm_label", "destination", "source", "title", "reference")
 NODE_SCHEMA = (
     "doc_id long, node_id long, parent_id long, kind string, depth int, ordinal int, child_count int, pre long, post long, "
     f"scope {SCOPE}, level int, flavor string, start long, tight boolean, checked boolean, mode string, info string, language string, "
     "fenced boolean, closed boolean, literal string, comment boolean, alignments array<string>, is_header boolean, name string, "
-    "attributes map<string,string>, label string, destination string, source string, title string, form string, reference string, "
+    "attributes map<string,string>, label string, norm_label string, destination string, source string, title string, form string, reference string, "
     "subtree_hash long"
 )
 _PLACE = pa.struct([("line", pa.int32()), ("column", pa.int32())])
@@ -36,6 +36,11 @@ _ARROW = {
     "map<string,string>": pa.map_(pa.binary(), pa.binary()), SCOPE: _SCOPE,
 }
 ROWS = 20_000
+#: Kinds with a label, whose comparable form is norm_label.
+LABELLED = frozenset("ReferenceDefinition FootnoteDefinition LinkReference ImageReference FootnoteReference".split())
+#: Kinds whose literal is text that a reader sees, and those that stand for a space.
+TEXT_KINDS = ("Text", "Code", "Formula")
+BREAKS = ("SoftBreak", "LineBreak")
 
 
 def _columns(schema: str) -> list[tuple[str, str]]:
@@ -55,7 +60,7 @@ def _columns(schema: str) -> list[tuple[str, str]]:
 _OWN = {name: pa.binary() if name in TEXTS else _ARROW[kind] for name, kind in _columns(NODE_SCHEMA) if name not in (
     "doc_id", "node_id", "parent_id", "kind", "depth", "ordinal", "child_count", "pre", "post", "scope", "subtree_hash",
 )}
-_PLAIN_FIELDS = frozenset(_OWN) - {"attributes"}
+_PLAIN_FIELDS = frozenset(_OWN) - {"attributes", "norm_label"}
 
 
 def _digest(node: Node, below: list[bytes]) -> bytes:
@@ -70,13 +75,15 @@ def _digest(node: Node, below: list[bytes]) -> bytes:
 class _Rows:
     """Node rows as columns. Columns that few kinds have are kept as (row, value) until a batch is made."""
 
-    def __init__(self, kinds: frozenset[str] | None, hashes: bool):
-        self.kinds, self.hashes = kinds, hashes
+    def __init__(self, kinds: frozenset[str] | None, hashes: bool, columns: list[str]):
+        self.kinds, self.hashes, self.columns = kinds, hashes, columns
+        self.wanted = {name: kind for name, kind in _OWN.items() if name in columns}
+        self.plain = _PLAIN_FIELDS & set(columns)
         self.clear()
 
     def clear(self) -> None:
         self.places: list[list] = []  # doc_id, node_id, parent_id, kind, depth, ordinal, children, pre, post, four of the scope, hash
-        self.own: dict[str, list[tuple[int, object]]] = {name: [] for name in _OWN}
+        self.own: dict[str, list[tuple[int, object]]] = {name: [] for name in _OWN}  # those not asked for stay unread
 
     def add(self, doc_id: int | None, root: Node) -> None:
         """One row for each node in document order; numbers for entering and leaving order the whole tree."""
@@ -106,7 +113,7 @@ class _Rows:
     def describe(self, node: Node, row: int) -> None:
         own, f, kind = self.own, node.fields, node.kind
         for name, value in f.items():
-            if name in _PLAIN_FIELDS and value is not None:
+            if name in self.plain and value is not None:
                 own[name].append((row, value))
         if kind in ("HTML", "HTMLBlock"):
             if "comment" not in f:
@@ -116,6 +123,8 @@ class _Rows:
             own["language"].append((row, md.language_of(f["info"])))
         elif kind == "Code":
             own["mode"].append((row, "embedded"))
+        elif kind in LABELLED:
+            own["norm_label"].append((row, fold_label(f["label"].strip(md.lx.SPACES))))
         elif kind in ("Directive", "DirectiveBlock") and f["attributes"] is not None:
             own["attributes"].append((row, list(f["attributes"].items())))
 
@@ -126,14 +135,13 @@ class _Rows:
         ends = [pa.StructArray.from_arrays([arrays[k], arrays[k + 1]], ["line", "column"]) for k in (9, 11)]
         made = dict(zip(("doc_id", "node_id", "parent_id", "kind", "depth", "ordinal", "child_count", "pre", "post"), arrays[:9], strict=True))
         made |= {"scope": pa.StructArray.from_arrays(ends, ["start", "end"]), "subtree_hash": arrays[13]}
-        for name, kind in _OWN.items():
+        for name, kind in self.wanted.items():
             dense: list = [None] * n
             for row, value in self.own[name]:
                 dense[row] = value
             made[name] = pa.array(dense, kind) if self.own[name] else pa.nulls(n, kind)
-        names = [name for name, _ in _columns(NODE_SCHEMA)]
         self.clear()
-        return pa.RecordBatch.from_arrays([made[name] for name in names], names)
+        return pa.RecordBatch.from_arrays([made[name] for name in self.columns], self.columns)
 
 
 def _documents(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[tuple[int | None, md.Document]]:
@@ -142,8 +150,8 @@ def _documents(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterat
             yield doc_id.as_py(), md.parse(content.as_py() or b"", options)
 
 
-def _parse(batches: Iterator[pa.RecordBatch], options: md.Options, kinds: frozenset[str] | None, hashes: bool) -> Iterator[pa.RecordBatch]:
-    rows = _Rows(kinds, hashes)
+def _parse(batches: Iterator[pa.RecordBatch], options: md.Options, kinds: frozenset[str] | None, hashes: bool, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    rows = _Rows(kinds, hashes, columns)
     for doc_id, parsed in _documents(batches, options):
         rows.add(doc_id, parsed.root)
         if len(rows.places) >= ROWS:
@@ -155,19 +163,106 @@ def _content(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content"))
 
 
-def nodes(docs: DataFrame, options: md.Options = md.PROFILES["default"], kinds: list[str] | None = None, hashes: bool = False) -> DataFrame:
+def nodes(
+    docs: DataFrame, options: md.Options = md.PROFILES["default"], kinds: list[str] | None = None, hashes: bool = False, columns: list[str] | None = None
+) -> DataFrame:
     """One row for each node of each document (doc_id, content).
 
-    With `kinds` only those kinds leave the parser. With `hashes` subtree_hash is filled: equal for subtrees that show the
-    same, wherever they stand.
+    With `kinds` only those kinds, with `columns` only those columns leave the parser. With `hashes` subtree_hash is filled:
+    equal for subtrees that show the same, wherever they stand.
     """
-    raw = ", ".join(f"{n} {'binary' if n in TEXTS else 'map<binary,binary>' if n == 'attributes' else k}" for n, k in _columns(NODE_SCHEMA))
-    parsed = _content(docs).mapInArrow(partial(_parse, options=options, kinds=frozenset(kinds) if kinds else None, hashes=hashes), raw)
-    as_text = {n: F.col(n).cast("string") for n in TEXTS}
-    as_text["attributes"] = F.col("attributes").cast("map<string,string>")
+    asked = [(n, k) for n, k in _columns(NODE_SCHEMA) if columns is None or n in columns]
+    raw = ", ".join(f"{n} {'binary' if n in TEXTS else 'map<binary,binary>' if n == 'attributes' else k}" for n, k in asked)
+    names = [n for n, _ in asked]
+    parsed = _content(docs).mapInArrow(partial(_parse, options=options, kinds=frozenset(kinds) if kinds else None, hashes=hashes, columns=names), raw)
+    as_text = {n: F.col(n).cast("string") for n in TEXTS if n in names}
+    if "attributes" in names:
+        as_text["attributes"] = F.col("attributes").cast("map<string,string>")
     return parsed.withColumns(as_text)
 
 
+def _batches(rows: Iterator[tuple], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held = []
+    columns = list(zip(*held, strict=True)) or [()] * len(names)
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def text_of(node: Node) -> bytes:
+    """The visible text below a node; line ends are spaces."""
+    return b"".join(b" " if x.kind in BREAKS else x.fields["literal"] if x.kind in TEXT_KINDS else b"" for x, _, entering in node.walk() if entering)
+
+
+_SPACE_OF = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.binary()}
+
+
+def _texts(batches: Iterator[pa.RecordBatch], options: md.Options, kinds: frozenset[str], keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    types = dict(_columns(NODE_SCHEMA))
+
+    def rows() -> Iterator[tuple]:
+        for doc_id, parsed in _documents(batches, options):
+            number = 0
+            for node, _, entering in parsed.root.walk():
+                if entering:
+                    if node.kind in kinds:
+                        values = (node.fields.get(name) for name in keep)
+                        yield (doc_id, number, node.kind.encode(), *(v.encode() if isinstance(v, str) else v for v in values), text_of(node))
+                    number += 1
+
+    names = ["doc_id", "node_id", "kind", *keep, "text"]
+    yield from _batches(rows(), [pa.int64(), pa.int64(), pa.binary(), *(_SPACE_OF[types[k]] for k in keep), pa.binary()], names)
+
+
+def texts(docs: DataFrame, kinds: list[str], options: md.Options = md.PROFILES["default"], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, node_id, kind, *keep, text): the visible text below each node of the given kinds, with fields of that node.
+
+    Text comes from the tree itself, so such nodes may lie inside each other and nothing is shuffled.
+    """
+    types = dict(_columns(NODE_SCHEMA))
+    strings = ["kind", *(k for k in keep if types[k] == "string"), "text"]
+    raw = ", ".join(f"{n} {'binary' if n in strings else types.get(n, 'long')}" for n in ("doc_id", "node_id", "kind", *keep, "text"))
+    found = _content(docs).mapInArrow(partial(_texts, options=options, kinds=frozenset(kinds), keep=keep), raw)
+    return found.withColumns({n: F.col(n).cast("string") for n in strings})
+
+
+def outline(docs: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
+    """(doc_id, ord, level, title): the headings of each document; one task holds one document, so nothing is shuffled."""
+    headings = texts(docs, ["Heading"], options, keep=("level",))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id"))
+    return headings.select("doc_id", order.alias("ord"), "level", F.col("text").alias("title"))
+
+
+def _cells(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for doc_id, parsed in _documents(batches, options):
+            number, table, alignments, row = -1, 0, (), -1
+            is_header, column = False, 0
+            for node, _, entering in parsed.root.walk():
+                number += entering
+                if not entering:
+                    continue
+                if node.kind == "Table":
+                    table, alignments, row = number, node.fields["alignments"], -1
+                elif node.kind == "TableRow":
+                    row, is_header, column = row + 1, node.fields["is_header"], 0
+                elif node.kind == "TableCell":
+                    yield doc_id, table, row, column, is_header, alignments[column], text_of(node)
+                    column += 1
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.binary()]
+    yield from _batches(rows(), kinds, ["doc_id", "table_id", "row", "column", "is_header", "alignment", "text"])
+
+
+def table_cells(docs: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
+    """(doc_id, table_id, row, column, is_header, alignment, text): every cell of every table, as the tree holds them."""
+    schema = "doc_id long, table_id long, row int, column int, is_header boolean, alignment string, text binary"
+    return _content(docs).mapInArrow(partial(_cells, options=options), schema).withColumn("text", F.col("text").cast("string"))
+
+
 def _definitions(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[pa.RecordBatch]:
     names = ("doc_id", "space", "norm_label", "ord", "label", "destination", "title")
     kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())

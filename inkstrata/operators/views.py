@@ -6,11 +6,13 @@ lies below a node is an interval.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds whose literal is text that a reader sees.
-TEXT_KINDS = ("Text", "Code", "Formula")
+from inkstrata.operators.parse import TEXT_KINDS
 
 
 def walk(nodes: DataFrame) -> DataFrame:
@@ -56,21 +58,20 @@ def first_wins(definitions: DataFrame) -> DataFrame:
 
 
 def fold(label: Column) -> Column:
-    """The comparable form of an ASCII label; other labels need functions.fold_label."""
+    """The comparable form of an ASCII label; other labels have theirs in norm_label, or need functions.fold_label."""
     return F.trim(F.regexp_replace(F.lower(label), r"[ \t\n\r]+", " "))
 
 
-def resolved_links(nodes: DataFrame, definitions: DataFrame, key: Column | None = None) -> DataFrame:
-    """(doc_id, node_id, kind, label, destination, title): references with what their labels stand for."""
-    refs = nodes.where("kind in ('LinkReference', 'ImageReference')").select("doc_id", "node_id", "kind", "label")
-    refs = refs.withColumn("norm_label", fold(F.col("label")) if key is None else key)
+def resolved_links(nodes: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(doc_id, node_id, kind, label, destination, title): references with what their labels, folded by the parser, stand for."""
+    refs = nodes.where("kind in ('LinkReference', 'ImageReference')").select("doc_id", "node_id", "kind", "label", "norm_label")
     found = first_wins(definitions.where("space = 'link'")).select("doc_id", "norm_label", "destination", "title")
     return refs.join(found, ["doc_id", "norm_label"], "left").select("doc_id", "node_id", "kind", "label", "destination", "title")
 
 
 def footnote_numbers(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, label, number, use): notes numbered by first use, and each use of a note counted."""
-    refs = nodes.where("kind = 'FootnoteReference'").select("doc_id", "node_id", "pre", "label", fold(F.col("label")).alias("key"))
+    refs = nodes.where("kind = 'FootnoteReference'").select("doc_id", "node_id", "pre", "label", F.col("norm_label").alias("key"))
     of_key = Window.partitionBy("doc_id", "key")
     first = refs.withColumns({"first": F.min("pre").over(of_key), "use": F.row_number().over(of_key.orderBy("pre"))})
     number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first"))
@@ -102,12 +103,27 @@ def tasks(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'ListItem' and checked is not null").select("doc_id", "node_id", "checked")
 
 
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each node and those it is in; nodes come by document in order, so that a stack of the open ones is all that is held."""
+    names = ["doc_id", "node_id", "ancestor_id", "distance"]
+    document, open_, started = None, [], False
+    for batch in batches:
+        rows = []
+        for doc_id, node, pre, post in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "node_id", "pre", "post")), strict=True):
+            if not started or doc_id != document:
+                document, open_, started = doc_id, [], True
+            while open_ and open_[-1][1] < pre:
+                open_.pop()
+            rows += [(doc_id, node, above, distance) for distance, (above, _) in enumerate(reversed(open_), 1)]
+            open_.append((node, post))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, ancestor_id, distance), by intervals: an ancestor is entered before and left after."""
-    low = nodes.select("doc_id", "node_id", "pre", "post", "depth").alias("d")
-    high = nodes.where("child_count > 0").select("doc_id", F.col("node_id").alias("ancestor_id"), "pre", "post", "depth").alias("a")
-    inside = (F.col("d.doc_id") == F.col("a.doc_id")) & (F.col("a.pre") < F.col("d.pre")) & (F.col("d.post") < F.col("a.post"))
-    return low.join(high, inside).select("d.doc_id", "node_id", "ancestor_id", (F.col("d.depth") - F.col("a.depth")).alias("distance"))
+    """(doc_id, node_id, ancestor_id, distance): one pass over each document in order, linear in the pairs it gives."""
+    ordered = nodes.select("doc_id", "node_id", "pre", "post").repartition("doc_id").sortWithinPartitions("doc_id", "pre")
+    return ordered.mapInArrow(_stacked, "doc_id long, node_id long, ancestor_id long, distance int")
 
 
 def structure_faults(nodes: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def outline_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.outline(parse.nodes(corpora.regions(spark, sf_dir)))
+    return parse.outline(corpora.regions(spark, sf_dir))
 
 
 @query(
@@ -101,7 +101,7 @@ def md_structure_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(o_custkey as bigint) as doc_id, cast(o_orderkey as varchar) as o_orderkey, o_orderstatus, o_orderpriority from orders")
 def md_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = views.table_cells(parse.nodes(corpora.order_tables(spark, sf_dir), kinds=["Table", "TableRow", "TableCell", "Text"]))
+    cells = parse.table_cells(corpora.order_tables(spark, sf_dir))
     pick = lambda k: F.max(F.when(F.col("column") == k, F.col("text")))
     rows = cells.where("not is_header").groupBy("doc_id", "table_id", "row")
     return rows.agg(pick(0).alias("o_orderkey"), pick(1).alias("o_orderstatus"), pick(2).alias("o_orderpriority")).drop("table_id", "row")
@@ -112,9 +112,7 @@ def md_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     select cast(k as int) as "column", alignment, cast(n + d as bigint) as n_cells from c, (values (0, 'right'), (1, 'center'), (2, 'none')) as a(k, alignment)"""
 )
 def md_table_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = parse.nodes(corpora.order_tables(spark, sf_dir), kinds=["Table", "TableRow", "TableCell"])
-    cells = views.in_tables(nodes).where("kind = 'TableCell'").withColumn("alignment", F.col("alignments")[F.col("ordinal")])
-    return cells.groupBy(F.col("ordinal").alias("column"), "alignment").agg(F.count("*").alias("n_cells"))
+    return parse.table_cells(corpora.order_tables(spark, sf_dir)).groupBy("column", "alignment").agg(F.count("*").alias("n_cells"))
 
 
 @query(
@@ -122,7 +120,7 @@ def md_table_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select cast(s_nationkey as bigint), 'https://example.com/' || s_suppkey, null, 'https://example.com/' || s_suppkey from supplier"""
 )
 def md_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.subtree_texts(parse.nodes(corpora.suppliers(spark, sf_dir)), ["Link"], keep=("destination", "title")).drop("node_id")
+    return parse.texts(corpora.suppliers(spark, sf_dir), ["Link"], keep=("destination", "title")).drop("node_id", "kind")
 
 
 @query("select cast(s_nationkey as bigint) as doc_id, '/img/' || s_suppkey || '.png' as source, cast(null as varchar) as title from supplier")
@@ -166,7 +164,7 @@ def md_first_definition_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def md_styled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["Strong", "Emphasis", "Strikethrough", "BlockQuote", "DirectiveLabel"]
-    return views.subtree_texts(parse.nodes(corpora.part_notes(spark, sf_dir)), kinds, keep=("kind",)).drop("node_id")
+    return parse.texts(corpora.part_notes(spark, sf_dir), kinds).drop("node_id")
 
 
 @query(
@@ -174,7 +172,7 @@ def md_styled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lateral (values ('Code', 'embedded', cast(s as varchar)), ('Formula', 'embedded', 'x_{' || k || '}'), ('FormulaBlock', 'standalone', 'sum ' || k), ('HTMLBlock', null, '<div>' || k || '</div>' || chr(10))) as v(kind, mode, literal)"""
 )
 def md_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["Code", "Formula", "FormulaBlock", "HTMLBlock"]).select("doc_id", "kind", "mode", "literal")
+    return parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["Code", "Formula", "FormulaBlock", "HTMLBlock"], columns=["doc_id", "kind", "mode", "literal"])
 
 
 @query(
@@ -195,7 +193,7 @@ def md_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lateral (values ('CrossLink', 'part ' || k), ('Embed', 'pic ' || k)) as v(kind, reference)"""
 )
 def md_cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["CrossLink", "Embed"]).select("doc_id", "kind", "reference")
+    return parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["CrossLink", "Embed"], columns=["doc_id", "kind", "reference"])
 
 
 @query(
@@ -203,7 +201,7 @@ def md_cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     lateral (values ('Directive', 'badge', 'size', cast(s as varchar)), ('Directive', 'badge', 'class', 'a b'), ('DirectiveBlock', 'box', 'key', cast(k as varchar))) as v(kind, name, key, value)"""
 )
 def md_directive_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["Directive", "DirectiveBlock"])
+    found = parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["Directive", "DirectiveBlock"], columns=["doc_id", "kind", "name", "attributes"])
     return found.select("doc_id", "kind", "name", F.explode("attributes").alias("key", "value"))
 
 
@@ -226,7 +224,7 @@ def md_footnote_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(p_partkey as bigint) as doc_id, 'note ' || p_size || ' – “end”…' as text from part")
 def md_smart_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.subtree_texts(parse.nodes(corpora.part_notes(spark, sf_dir)), ["FootnoteDefinition"]).drop("node_id")
+    return parse.texts(corpora.part_notes(spark, sf_dir), ["FootnoteDefinition"]).drop("node_id", "kind")
 
 
 @query("select cast(p_partkey as bigint) as doc_id, 'mailto:p' || p_partkey || '@example.com' as destination, cast(null as varchar) as title from part")
@@ -241,7 +239,7 @@ def md_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks in real prose: each line of a text gets a word in front, so that all of it is one paragraph."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(\A|\r\n|\r|\n)(?!\z)", "$1w ")
     docs = corpora.spread(documents.from_table(corpora.table(spark, sf_dir, "documents"), "doc_id", text))
-    nodes = parse.nodes(docs, PROFILES["commonmark"], kinds=["Document", "SoftBreak", "LineBreak"])
+    nodes = parse.nodes(docs, PROFILES["commonmark"], kinds=["Document", "SoftBreak", "LineBreak"], columns=["doc_id", "kind"])
     return nodes.groupBy("doc_id").agg(F.sum((F.col("kind") != "Document").cast("long")).alias("n_breaks"))
 
 
