@@ -311,3 +311,21 @@ def _dumps(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[p
 def dumps(docs: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
     """(doc_id, dump): the canonical text of each document's tree."""
     return _content(docs).mapInArrow(partial(_dumps, options=options), "doc_id long, dump binary").withColumn("dump", F.col("dump").cast("string"))
+
+
+def _subtree_dumps(batches: Iterator[pa.RecordBatch], options: md.Options, kinds: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for doc_id, parsed in _documents(batches, options):
+            number = -1
+            for node, _, entering in parsed.root.walk():
+                number += entering
+                if entering and node.kind in kinds:
+                    yield doc_id, number, md.dump(node)
+
+    yield from _batches(rows(), [pa.int64(), pa.int64(), pa.binary()], ["doc_id", "node_id", "dump"])
+
+
+def subtree_dumps(docs: DataFrame, kinds: list[str], options: md.Options = md.PROFILES["default"]) -> DataFrame:
+    """(doc_id, node_id, dump): the canonical text of the subtrees of the given kinds, whose first lines are line 1."""
+    found = _content(docs).mapInArrow(partial(_subtree_dumps, options=options, kinds=frozenset(kinds)), "doc_id long, node_id long, dump binary")
+    return found.withColumn("dump", F.col("dump").cast("string"))

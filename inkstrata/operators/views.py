@@ -27,6 +27,25 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id is not null").select("doc_id", "parent_id", "node_id", F.lead("node_id").over(siblings).alias("next_id"))
 
 
+def navigation(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, kind, first_child, next_sibling, parent_id) of every node."""
+    first = nodes.where("ordinal = 0 and parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("first_child"))
+    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("ordinal")
+    following = nodes.select("doc_id", "node_id", "kind", "parent_id", F.lead("node_id").over(siblings).alias("next_sibling"))
+    return following.join(first, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "kind", "first_child", "next_sibling", "parent_id")
+
+
+def lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes of `wanted` (doc_id, node_id) and all below them, in one pass over each document in order.
+
+    Wanted nodes that lie in each other give what they share once.
+    """
+    marked = nodes.join(wanted.select("doc_id", "node_id", F.lit(True).alias("_wanted")).distinct(), ["doc_id", "node_id"], "left")
+    order = Window.partitionBy("doc_id").orderBy("pre")
+    reach = F.max(F.when(F.col("_wanted"), F.col("post"))).over(order)
+    return marked.withColumn("_reach", reach).where("post <= _reach").select(*nodes.columns)
+
+
 def subtree_texts(nodes: DataFrame, kinds: list[str], text_kinds: tuple[str, ...] = TEXT_KINDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, node_id, *keep, text): the visible text below each node of the given kinds, with columns of that node.
 

@@ -11,7 +11,7 @@ from inkstrata.core.document import PROFILES
 from inkstrata.functions import scanners
 from inkstrata.operators import parse, views
 from inkstrata.operators.visit import with_category
-from inkstrata.plans import corpora
+from inkstrata.plans import corpora, syntax
 from inkstrata.sources import documents
 from inkstrata.streaming.append import append_batch
 
@@ -276,3 +276,6 @@ def md_folded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as append streams: what has grown chunk by chunk must be the parse of the whole."""
     return append_batch(corpora.conversations(spark, sf_dir)).drop("nodes", "ids_made")
+
+
+syntax._register(query)
