@@ -34,6 +34,9 @@ MIN_WORDS = 50
 #: The symbol characters that the base rules count.
 SYMBOLS = "#*$%&|<>"
 
+#: Bytes of text that are judged at once; their n-grams take some thirty times as much.
+SLICE = 2 << 20
+
 COUNT_SCHEMA = "bucket int, raw long, target long"
 OUT_SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -70,7 +73,7 @@ def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         cells, row = grams(Words(part.column("text"), lower=False))
         trusted = pc.fill_null(part.column("trusted"), False).to_numpy(zero_copy_only=False)
         raw += np.bincount(cells, minlength=BUCKETS)
@@ -168,7 +171,7 @@ def judge(texts: pa.Array, ratio: np.ndarray) -> dict[str, np.ndarray]:
 
 def _judged(batches: Iterator[pa.RecordBatch], ratio: bytes) -> Iterator[pa.RecordBatch]:
     table_ = np.frombuffer(ratio)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         found = judge(part.column("text"), table_)
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found])
 
@@ -193,7 +196,7 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(ratio)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             yield part.filter(pa.array(judge(part.column("text"), cells)["kept"]))
 
     return map_arrow(docs, passing, docs.schema)

@@ -42,6 +42,8 @@ MAX_LEXICON = 20_000
 NEAR = 5
 #: Words of a window; the last one of a text takes what is left over.
 SPAN = 50
+#: Bytes of text whose features are computed at once.
+SLICE = 2 << 20
 TREES, DEPTH, RATE, BINS, LEAST = 150, 3, 0.1, 48, 8
 
 #: Common insults, and second-person words of the corpus' languages.
@@ -144,7 +146,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each beginning of a word, by part and label."""
     counted: dict[tuple[int, int], Counter] = {}
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         words = Words(part.column("text"), lower=False)
         core = cores(words.vocabulary)
         spelled = core.to_pylist()
@@ -269,7 +271,7 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _rows(batches: Iterator[pa.RecordBatch], lexicons: bytes) -> Iterator[pa.RecordBatch]:
     by_part = pickle.loads(lexicons)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         parts = part.column("part").to_numpy()
         x = np.zeros((len(part), FEATURES))
         for p in np.unique(parts):
@@ -325,7 +327,7 @@ def predict(model: dict, texts: pa.Array) -> np.ndarray:
 
 def _scores(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     fitted = pickle.loads(model)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(predict(fitted, part.column("text")))], ["doc_id", "score"])
 
 
@@ -347,7 +349,7 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = pickle.loads(model)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             yield part.filter(pa.array(predict(fitted, part.column("text")) < 0.5))
 
     return map_arrow(docs, passing, docs.schema)
