@@ -1,22 +1,33 @@
 """Documents that grow: appended chunks, nodes that keep their identity, and revisions that say what changed.
 
-After each append the tree is that of all bytes so far. Nodes of the new tree are paired with those of the old one from
-the root down: children that are equal in all they show, at the front and at the back, then the longest common run of the
-rest as far as a bounded edit distance finds it, then those of the same kind in the same place. A paired node keeps its id;
-its revision moves only when something it shows, its children or anything below it has changed. Ids are never used again.
+A growing document reads each line about once. Closed blocks of the top level are settled: no later line changes them, so an
+append parses from the start of the last block on, with the lines before it only counted. What a later line can change is
+what a label means: each settled unit is listed under the labels that its brackets asked for, and when one of those comes
+to be defined, or its definition goes, just these units are scanned again. So a chunk costs its own length, that of the block
+it goes on with, and the units it turns; one block that never ends (a single list or table) is parsed whole each time.
+
+Nodes of what was parsed anew are paired with those that stood there before: children that are equal in all they show, at
+the front and at the back, then the longest common run of the rest as far as a bounded edit distance finds it, then those of
+the same kind in the same place. A paired node keeps its id; its revision moves only when something it shows, its children
+or anything below it has changed. Ids are never used again.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import xxhash
 
 from inkstrata.core import document as md
-from inkstrata.core.tree import Node
+from inkstrata.core import lexis as lx
+from inkstrata.core.blocks import Machine
+from inkstrata.core.inlines import Context
+from inkstrata.core.tree import Block, Node
 
 #: Bounds of the edit distance that pairs the middle of two child lists.
 MAX_EDITS = 64
+_BRACKET = re.compile(rb" {0,3}\[")
 
 
 class Superseded(ValueError):
@@ -108,38 +119,227 @@ def _pairs(old: list[Kept], new: list[Kept]) -> list[tuple[int, int]]:
     return out
 
 
+class Labels:
+    """Defined labels, each as often as it is defined, with a record of those that were asked for."""
+
+    def __init__(self):
+        self.times: dict[bytes, int] = {}
+        self.asked: set[bytes] = set()
+
+    def __contains__(self, label: bytes) -> bool:
+        self.asked.add(label)
+        return label in self.times
+
+    def count(self, labels: list[bytes], by: int, turned: dict[bytes, bool]) -> None:
+        """Count definitions in or out; `turned` has what was defined before of the labels that are touched."""
+        for label in labels:
+            turned.setdefault(label, label in self.times)
+            n = self.times.get(label, 0) + by
+            if n:
+                self.times[label] = n
+            else:
+                del self.times[label]
+
+
+def _defined(top: Node) -> tuple[list[bytes], list[bytes]]:
+    """The labels that the definitions and footnotes of a subtree define."""
+    links, notes = [], []
+    for node, _, entering in top.walk():
+        if entering and node.kind in ("ReferenceDefinition", "FootnoteDefinition"):
+            key = lx.fold_label(node.fields["label"].strip(lx.SPACES))
+            if key is not None:
+                (links if node.kind == "ReferenceDefinition" else notes).append(key)
+    return links, notes
+
+
+class Growing:
+    """The tree of a document that takes chunks."""
+
+    def __init__(self, options: md.Options):
+        self.options, self.root = options, Block("Document", 1, 1)
+        self.lines, self.open = 0, b""  # lines before the frontier, bytes from it on
+        self.tops: list[Node] = []  # settled children of the root
+        self.links, self.notes = Labels(), Labels()
+        self.loose: tuple[list[bytes], list[bytes]] = ([], [])  # labels defined behind the frontier
+        self.askers: dict[tuple[int, bytes], dict[int, Block]] = {}
+        self.found: dict[int, list[tuple]] = {}  # diagnostics of settled units
+        self.settled_notes: list[tuple] = []
+        self.loose_notes: list[tuple] = []
+        self._heard: list[tuple] = []
+        self.context = Context(options, self.links, self.notes, lambda *scope: self._heard.append(scope))
+
+    @property
+    def diagnostics(self) -> list[tuple]:
+        return sorted([*self.settled_notes, *(x for own in self.found.values() for x in own), *self.loose_notes])
+
+    def append(self, chunk: bytes) -> tuple[int, set[int]]:
+        """Take a chunk; how many children of the root stand as they did, and which of those had units scanned again."""
+        kept, data = len(self.tops), self.open + chunk
+        lines = md._LINES.findall(data)
+        rest = lines.pop() if lines and not lines[-1].endswith(b"\n") else b""
+        machine = Machine(self.options)
+        machine.number = self.lines
+        for line in lines:
+            machine.feed(line.replace(b"\0", b"\xef\xbf\xbd"))
+        settled = self._settled(machine, lines)
+        if settled:
+            passed = settled[1].line - self.lines - 1
+            self.lines += passed
+            data = data[sum(map(len, lines[:passed])) :]
+        if rest:
+            machine.feed(rest.replace(b"\0", b"\xef\xbf\xbd"))
+        tree = machine.finish()
+        self.open = data
+        new = list(tree)
+        for old in list(self._behind(kept)):
+            old.detach()
+        for top in new:
+            self.root.append(top.detach())
+        self.root.eline, self.root.ecol = tree.eline, tree.ecol
+        fixed = settled[0] if settled else 0
+        turned = self._count(new, fixed)
+        self.settled_notes += [x for x in machine.diagnostics if x[0] <= self.lines]
+        self.loose_notes = [x for x in machine.diagnostics if x[0] > self.lines]
+        again = self._turn(turned)
+        for place, top in enumerate(new):
+            for block in [node for node, _, entering in top.walk() if entering and isinstance(node, Block)]:
+                self._scan(block, kept + place if place < fixed else None)
+        self.tops += new[:fixed]
+        return kept, again
+
+    def _behind(self, kept: int):
+        node = self.tops[kept - 1].next if kept else self.root.first
+        while node is not None:
+            following = node.next
+            yield node
+            node = following
+
+    def _settled(self, machine: Machine, lines: list[bytes]) -> tuple[int, Node] | None:
+        """How many children are settled, and the one that begins at the frontier, from whose first line a parse gives the same."""
+        tops = list(machine.root)
+        k = len(tops) - 1
+        if k <= 0:
+            return None
+        touches = lambda i, kind: i > 0 and tops[i - 1].kind == kind and tops[i - 1].eline >= tops[i].line - 1
+        last = tops[k]
+        if last.kind == "Table" and touches(k, "Paragraph"):
+            k -= 1  # the header was a line of that paragraph
+        elif last.kind == "Heading" and "setext" in last.state:
+            while touches(k, "ReferenceDefinition"):
+                k -= 1
+        elif last.kind in ("Paragraph", "ReferenceDefinition") and touches(k, "ReferenceDefinition") and not _BRACKET.match(lines[last.line - self.lines - 1]):
+            return None  # indented as no block's first line may be
+        if not k or any(isinstance(x, Block) and x.is_open for x in tops[:k]) or tops[k].line <= max(x.eline for x in tops[:k]):
+            return None
+        return k, tops[k]
+
+    def _count(self, new: list[Node], fixed: int) -> list[tuple[int, bytes]]:
+        """Count the labels of what came and went; those that are defined now and were not, or the other way round."""
+        turned: tuple[dict[bytes, bool], dict[bytes, bool]] = ({}, {})
+        tables = (self.links, self.notes)
+        for table, labels, touched in zip(tables, self.loose, turned, strict=True):
+            table.count(labels, -1, touched)
+        self.loose = ([], [])
+        for place, top in enumerate(new):
+            for k, labels in enumerate(_defined(top)):
+                tables[k].count(labels, 1, turned[k])
+                if place >= fixed:
+                    self.loose[k].extend(labels)
+        return [(k, label) for k in (0, 1) for label, before in turned[k].items() if before != (label in tables[k].times)]
+
+    def _turn(self, turned: list[tuple[int, bytes]]) -> set[int]:
+        """Scan the settled units again that asked for a label whose meaning has turned; the places of their tops."""
+        units = {key: block for label in turned for key, block in self.askers.get(label, {}).items()}
+        places = set()
+        for block in units.values():
+            place, block.kind, block.fields = block.state["settled"]
+            block.fields = dict(block.fields)
+            block.first = block.last = None
+            self._scan(block, place)
+            places.add(place)
+        return places
+
+    def _scan(self, block: Block, place: int | None) -> None:
+        """Parse a block's inlines; a settled one is listed under the labels it asks for."""
+        self.links.asked, self.notes.asked, self._heard = set(), set(), []
+        before = place, block.kind, dict(block.fields)
+        md._refine(block, self.context)
+        if place is None:
+            self.loose_notes += self._heard
+            return
+        if self._heard or id(block) in self.found:
+            self.found[id(block)] = self._heard
+        asked = [(0, x) for x in self.links.asked] + [(1, x) for x in self.notes.asked]
+        if asked:
+            block.state["settled"] = before
+            for key in asked:
+                self.askers.setdefault(key, {})[id(block)] = block
+
+
 class Chain:
     """The revisions of one growing document; only the last can be appended to."""
 
     def __init__(self, data: bytes = b"", options: md.Options = md.PROFILES["default"], series: int = 0):
         self.options, self.series = options, series
-        self.data, self.revision, self.next_id, self.failed = b"", 0, 1, False
+        self.chunks: list[bytes] = []
+        self.revision, self.next_id, self.failed = 0, 1, False
         self.tree: Kept | None = None
+        self.document = Growing(options)
         self.append(data)
 
-    def append(self, chunk: bytes, revision: int | None = None) -> md.Document:
+    @property
+    def data(self) -> bytes:
+        if len(self.chunks) > 1:
+            self.chunks = [b"".join(self.chunks)]
+        return self.chunks[0] if self.chunks else b""
+
+    def __getstate__(self) -> tuple:
+        """The bytes and the identities; the tree is parsed again from them, once for a restored chain."""
+        return self.options, self.series, self.data, self.revision, self.next_id, self.failed, self.tree
+
+    def __setstate__(self, state: tuple) -> None:
+        self.options, self.series, data, self.revision, self.next_id, self.failed, self.tree = state
+        self.chunks, self.document = [data], Growing(self.options)
+        self.document.append(data)
+
+    def append(self, chunk: bytes, revision: int | None = None) -> Growing:
         """Append a chunk to the given (by default the last) revision; an empty chunk makes a revision too."""
         if self.failed or (revision is not None and revision != self.revision):
             raise Superseded(f"revision {revision} of a chain at {self.revision}")
         try:
-            parsed = md.parse(self.data + chunk, self.options)
-            tree = _summary(parsed.root)
+            kept, again = self.document.append(bytes(chunk))
+            new = [(place, _summary(self.document.tops[place])) for place in sorted(again)]
+            tail = [_summary(top) for top in self._tail(kept)]
         except Exception:
             self.failed = True
             raise
-        self.data += chunk
+        self.chunks.append(bytes(chunk))
         self.revision += 1
-        self._pair(self.tree, tree)
-        self.tree = tree
-        return parsed
+        self._pair(kept, new, tail)
+        return self.document
+
+    def _tail(self, kept: int) -> list[Node]:
+        return list(self.document._behind(kept))
 
-    def _pair(self, old: Kept | None, new: Kept) -> None:
-        work: list[tuple[Kept | None, Kept]] = [(old, new)]
+    def _pair(self, kept: int, again: list[tuple[int, Kept]], tail: list[Kept]) -> None:
+        """Give ids and revisions to what was parsed anew: children of the root at the places in `again`, and from `kept` on."""
+        root = self.tree
+        if root is None:
+            self.tree = root = Kept(self.next_id, self.revision, "Document", b"", b"", [])
+            self.next_id += 1
+        old = root.children[kept:]
+        taken = {j: old[i] for i, j in _pairs(old, tail)}
+        work = [(root.children[place], new) for place, new in again] + [(taken.get(j), new) for j, new in enumerate(tail)]
+        changed = [c.id for c in old]
+        for place, new in again:
+            root.children[place] = new
+        root.children[kept:] = tail
         order: list[tuple[Kept | None, Kept]] = []
+        work.reverse()
         while work:
             before, after = work.pop()
             order.append((before, after))
-            taken: dict[int, Kept] = {}
+            taken = {}
             if before is not None:
                 taken = {j: before.children[i] for i, j in _pairs(before.children, after.children)}
             work += [(taken.get(j), child) for j, child in reversed(list(enumerate(after.children)))]
@@ -155,6 +355,8 @@ class Chain:
                 after.revision = self.revision
             if any(c.revision == self.revision for c in after.children):
                 after.revision = self.revision
+        if changed != [c.id for c in tail] or any(after.revision == self.revision for _, after in order):
+            root.revision = self.revision
 
     def identities(self) -> list[tuple[int, int]]:
         """(id, revision) of all nodes in document order."""

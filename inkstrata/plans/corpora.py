@@ -73,3 +73,11 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations")
     chunk = F.concat(F.lit("**"), F.col("role"), F.lit("**: "), F.col("text"), F.lit("\n\n"))
     return talk.select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("seq"), chunk.cast("binary").alias("chunk"))
+
+
+def order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as an append stream: two chunks for an order, the second of which ends its paragraph."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chain_id"), F.col("o_orderkey").alias("key"))
+    parts = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("order").alias("text")), F.struct(F.lit(1).alias("part"), F.concat(F.lit(" "), F.col("key").cast("string"), F.lit("\n\n")).alias("text"))))
+    split = orders.select("chain_id", "key", parts.alias("p"))
+    return split.select("chain_id", (F.col("key") * 2 + F.col("p.part")).alias("seq"), F.col("p.text").cast("binary").alias("chunk"))

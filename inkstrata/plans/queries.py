@@ -13,7 +13,7 @@ from inkstrata.operators import parse, views
 from inkstrata.operators.visit import with_category
 from inkstrata.plans import corpora, syntax
 from inkstrata.sources import documents
-from inkstrata.streaming.append import append_batch
+from inkstrata.streaming.append import append_batch, append_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -278,4 +278,22 @@ def md_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append_batch(corpora.conversations(spark, sf_dir)).drop("nodes", "ids_made")
 
 
+_ORDERS = "(select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as j, count(*) over (partition by o_custkey) as n from orders)"
+
+
+@query(f"select cast(o_custkey as bigint) as chain_id, cast(2 * n as bigint) as chunks, cast(2 * n + 1 as bigint) as doc_revision, cast(2 * n + 1 as bigint) as nodes, cast(2 * n + 1 as bigint) as ids_made, true as whole from {_ORDERS} where j = 1")
+def md_append_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paragraph for each order, in two chunks: what the first of them began keeps its ids when the second goes on with it."""
+    return append_batch(corpora.order_chunks(spark, sf_dir)).drop("refused", "bytes")
+
+
+@query(
+    f"""select cast(o_custkey as bigint) as chain_id, cast(1 as bigint) as node_id, cast(2 * n + 1 as bigint) as last_changed_rev, 'Document' as kind from {_ORDERS} where j = 1
+    union all select cast(o_custkey as bigint), cast(2 * j + i as bigint), cast(2 * j + 1 as bigint), kind from {_ORDERS}, (values (0, 'Paragraph'), (1, 'Text')) as v(i, kind)"""
+)
+def md_append_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which revision changed each node last: that of the chunk which ended its paragraph, and the last one for the document."""
+    return append_nodes(corpora.order_chunks(spark, sf_dir)).select("chain_id", "node_id", "last_changed_rev", "kind")
+
+
 syntax._register(query)

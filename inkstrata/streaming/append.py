@@ -2,8 +2,10 @@
 
 `append_stream` keeps each chain's bytes and node identities in keyed state and emits, per trigger, the nodes of the chains
 that grew. `append_batch` does the same for a table of all chunks. Both hold one chain in memory at a time; state is
-written by Spark's state store, so a restarted query goes on where it was. Chunks of a chain are taken in order of `seq`; one
-that is not later than the last taken is refused and counted, as a writer with a stale revision would be.
+written by Spark's state store, so a restarted query goes on where it was; with `idle_ms` a chain that has had no chunk for so
+long is dropped. Chunks of a chain are taken in order of `seq`; one that is not later than the last taken is refused and
+counted, as a writer with a stale revision would be. Chunks without chain_id or seq belong to no chain and are left out; a
+null chunk is an empty one.
 """
 
 from __future__ import annotations
@@ -47,7 +49,12 @@ def _grow(chain: Chain | None, chunks: pd.DataFrame, last: int | None, options:
     return chain, last, refused, parsed
 
 
-def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, options: md.Options) -> Iterator[pd.DataFrame]:
+def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, options: md.Options, idle_ms: int | None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
     chain, last = pickle.loads(state.get[0]) if state.exists else (None, None)
     chunks = pd.concat(list(frames), ignore_index=True)
     chain, last, _, parsed = _grow(chain, chunks, last, options)
@@ -57,11 +64,16 @@ def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, opt
         yield pd.DataFrame(_node_rows(int(key[0]), last, chain, parsed.root), columns=columns)
 
 
-def append_stream(chunks: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
-    """Nodes of each chain that grew, from a stream of (chain_id, seq, chunk)."""
+def _typed(chunks: DataFrame) -> DataFrame:
     typed = chunks.select(F.col("chain_id").cast("long"), F.col("seq").cast("long"), F.col("chunk").cast("binary"))
-    run = partial(_stateful, options=options)
-    return typed.groupBy("chain_id").applyInPandasWithState(run, NODES, "state binary", "update", GroupStateTimeout.NoTimeout)
+    return typed.where("chain_id is not null and seq is not null")
+
+
+def append_stream(chunks: DataFrame, options: md.Options = md.PROFILES["default"], idle_ms: int | None = None) -> DataFrame:
+    """Nodes of each chain that grew, from a stream of (chain_id, seq, chunk)."""
+    run = partial(_stateful, options=options, idle_ms=idle_ms)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return _typed(chunks).groupBy("chain_id").applyInPandasWithState(run, NODES, "state binary", "update", timeout)
 
 
 def _whole(frame: pd.DataFrame, options: md.Options) -> pd.DataFrame:
@@ -77,5 +89,15 @@ def _whole(frame: pd.DataFrame, options: md.Options) -> pd.DataFrame:
 
 def append_batch(chunks: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
     """What became of each chain of a table (chain_id, seq, chunk): its revisions, and whether its tree is that of all its bytes."""
-    typed = chunks.select(F.col("chain_id").cast("long"), F.col("seq").cast("long"), F.col("chunk").cast("binary")).where("chain_id is not null")
-    return typed.groupBy("chain_id").applyInPandas(partial(_whole, options=options), RESULT)
+    return _typed(chunks).groupBy("chain_id").applyInPandas(partial(_whole, options=options), RESULT)
+
+
+def _last_nodes(frame: pd.DataFrame, options: md.Options) -> pd.DataFrame:
+    chain, _, _, parsed = _grow(None, frame, None, options)
+    rows = _node_rows(int(frame["chain_id"].iloc[0]), int(frame["seq"].max()), chain, parsed.root)
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+
+
+def append_nodes(chunks: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
+    """The nodes of each chain of a table (chain_id, seq, chunk) after its last chunk, with their ids and revisions."""
+    return _typed(chunks).groupBy("chain_id").applyInPandas(partial(_last_nodes, options=options), NODES)

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pytest
@@ -118,3 +119,58 @@ def test_append_operators(spark, tmp_path):
         whole.append(chunk)
     assert list(zip(last.node_id, last.last_changed_rev, strict=True)) == whole.identities()
     assert last.kind.tolist()[:3] == ["Document", "Paragraph", "Text"]
+
+
+PARTS = (
+    "para a|\n|\n\n|- x\n|1. y\n|# h\n|> q\n|[a]: /u\n|[b]: /v 't'\n|    code\n|[a] [b] [c]\n|[c]: <z>\n|```\n|===\n|---\n|[^n]: t\n| [^n]|\r|\r\n|\0|<div>\n|:::d\n|:::\n|$$\n|"
+    "  [b]: /w\n|     [c]: /q\n|2. z\n|\t[a]: /t\n|:x{bad=}\n|*em|*| 'title'\n|text\n"
+).split("|") + ["|a|b|\n", "|-|-|\n"]
+
+
+def test_any_chunks_give_the_tree_of_the_whole():
+    rng = random.Random(12)
+    for _ in range(600):
+        chain = Chain()
+        for _ in range(rng.randrange(1, 9)):
+            grown = chain.append("".join(rng.choices(PARTS, k=rng.randrange(4))).encode())
+            fresh = parse(chain.data)
+            assert dump(grown.root) == dump(fresh.root), chain.chunks
+            assert sorted(grown.diagnostics) == sorted(fresh.diagnostics), chain.chunks
+
+
+def test_late_definitions_turn_only_their_units():
+    chain = Chain()
+    for i in range(200):
+        chain.append(b"about [x%d] and *this*\n\n" % (i % 50))
+    before = dict(chain.identities())
+    scanned, scan = [], chain.document._scan
+    chain.document._scan = lambda block, place: (scanned.append(place), scan(block, place))
+    chain.append(b"[x7]: /u\n")
+    assert sum(place is not None for place in scanned) <= 4 + 2
+    assert dump(chain.document.root) == dump(parse(chain.data).root)
+    after = dict(chain.identities())
+    assert len(set(before) & set(after)) >= len(before) - 4 * 2
+    turned = [i for i, r in after.items() if i in before and r == chain.revision]
+    assert 4 <= len(turned) <= 1 + 4 * 4
+
+
+def test_an_append_costs_its_own_length():
+    def cost(n):
+        chain, calls = Chain(), [0]
+        for i in range(n):
+            chain.append(b"Some **prose** number %d.\n\n" % i)
+        scan = chain.document._scan
+        chain.document._scan = lambda block, place: (calls.__setitem__(0, calls[0] + 1), scan(block, place))
+        for i in range(10):
+            chain.append(b"More of it %d.\n\n" % i)
+        return calls[0]
+
+    assert cost(20) == cost(400) <= 40
+
+
+def test_a_restored_chain_goes_on():
+    chain = Chain(b"a\n\n[b]\n\nc")
+    again = pickle.loads(pickle.dumps(chain))
+    for x in (chain, again):
+        x.append(b" more\n\n[b]: /u\n")
+    assert again.identities() == chain.identities() and dump(again.document.root) == dump(chain.document.root)
