@@ -455,19 +455,26 @@ def _train(batches: Iterator[pa.RecordBatch], state: bytes, turn: int, passes: i
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary())], ["packet", "rows"])
 
 
+def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of rows of one place, by place."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[starts], np.add.reduceat(values[order], starts, axis=0, dtype=np.float64)
+
+
 def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The copies' packets as one packet each, its rows averaged by weight."""
-    sums: dict[int, np.ndarray] = {}
+    """The rows of the copies' packets, averaged by weight."""
+    at, sums = np.zeros(0, np.int64), np.zeros((0, SIZE + 2))
     for batch in batches:
-        for packet, rows in zip(batch.column("packet").to_pylist(), batch.column("rows"), strict=True):
-            got = np.frombuffer(rows.as_buffer(), _ROW)
-            total = sums.setdefault(packet, np.zeros((PACKET, SIZE + 2)))
-            weight = got["weight"].astype(np.float64)
-            total[got["at"] % PACKET] += np.column_stack([weight, got["change"] * weight[:, None]])
-    for packet, total in sums.items():
-        some = np.flatnonzero(total[:, 0])
-        means = np.column_stack([some + packet * PACKET, total[some, 1:] / total[some, :1]])
-        yield pa.RecordBatch.from_arrays([pa.array([means.tobytes()], pa.binary())], ["rows"])
+        rows = np.frombuffer(b"".join(batch.column("rows").to_pylist()), _ROW)
+        if len(rows):
+            weight = rows["weight"][:, None]
+            own = _summed(rows["at"], np.hstack([weight, rows["change"].astype(np.float32) * weight]))
+            at, sums = _summed(np.concatenate([at, own[0]]), np.concatenate([sums, own[1]]))
+    means = np.column_stack([at, sums[:, 1:] / sums[:, :1]])
+    for base in range(0, len(at), 1 << 14):
+        yield pa.RecordBatch.from_arrays([pa.array([means[base : base + (1 << 14)].tobytes()], pa.binary())], ["rows"])
 
 
 def fit(training: DataFrame, known: Vocabulary) -> Model:
