@@ -44,7 +44,7 @@ def _register(query) -> None:
     @query(
         expected(
             "ord bigint, flavor varchar, start bigint, tight boolean, child_count int",
-            "(1, 'ordered', 7, true, 2), (2, 'bullet', null, false, 2), (3, 'bullet', null, true, 1), (4, 'bullet', null, true, 2), (5, 'bullet', null, true, 1), (6, 'ordered', 0, false, 1)",
+            "(1, 'ordered', 7, true, 2), (2, 'bullet', -1, false, 2), (3, 'bullet', -1, true, 1), (4, 'bullet', -1, true, 2), (5, 'bullet', -1, true, 1), (6, 'ordered', 0, false, 1)",
         )
     )
     def md_lists(spark, sf_dir):
@@ -52,7 +52,7 @@ def _register(query) -> None:
         pattern = "7. one {k}\n8. two\n\n- a\n\n- b\n\n* c\n\n+ d\n  - e\n+ f\n\n\n0) g\n\n   h\n"
         found = parse.nodes(patterned(spark, sf_dir, pattern), PLAIN, ["List"], columns=["doc_id", "pre", "flavor", "start", "tight", "child_count"])
         order = F.expr("row_number() over (partition by doc_id order by pre)").cast("long").alias("ord")
-        return found.select("doc_id", order, "flavor", "start", "tight", "child_count")
+        return found.select("doc_id", order, "flavor", F.coalesce("start", F.lit(-1)).cast("long").alias("start"), "tight", "child_count")
 
     @query(expected("literal varchar, info varchar, fenced boolean, closed boolean", "('code {k}' || chr(10) || chr(10) || 'tab' || chr(10), null, false, true), (' x' || chr(10) || '{k}' || chr(10), 'py', true, false)"))
     def md_code_forms(spark, sf_dir):
@@ -165,10 +165,11 @@ def _register(query) -> None:
             found = counted if found is None else found.unionByName(counted)
         return found
 
-    @query(expected("node_id bigint, kind varchar, first_child bigint, next_sibling bigint, parent_id bigint", "(0, 'Document', 1, null, null), (1, 'Paragraph', 2, 3, 0), (2, 'Text', null, null, 1), (3, 'BlockQuote', 4, null, 0), (4, 'Paragraph', 5, null, 3), (5, 'Text', null, null, 4)"))
+    @query(expected("node_id bigint, kind varchar, first_child bigint, next_sibling bigint, parent_id bigint", "(0, 'Document', 1, -1, -1), (1, 'Paragraph', 2, 3, 0), (2, 'Text', -1, -1, 1), (3, 'BlockQuote', 4, -1, 0), (4, 'Paragraph', 5, -1, 3), (5, 'Text', -1, -1, 4)"))
     def md_navigation(spark, sf_dir):
-        """First child, next sibling and parent of every node."""
-        return views.navigation(parse.nodes(patterned(spark, sf_dir, "a {k}\n\n> b\n"), PLAIN, columns=["doc_id", "node_id", "parent_id", "kind", "ordinal"]))
+        """First child, next sibling and parent of every node, -1 for none."""
+        nodes = parse.nodes(patterned(spark, sf_dir, "a {k}\n\n> b\n"), PLAIN, columns=["doc_id", "node_id", "parent_id", "kind", "ordinal"])
+        return views.navigation(nodes).fillna(-1, ["first_child", "next_sibling", "parent_id"])
 
     @query(expected("node_id bigint, kind varchar, depth int", "(3, 'BlockQuote', 1), (4, 'Paragraph', 2), (5, 'Text', 3)"))
     def md_lookup(spark, sf_dir):
@@ -229,14 +230,14 @@ def _register(query) -> None:
 
     blocks = [("<script>", 1, "x</script>"), ("<!-- {k}", 2, "x -->"), ("<?p", 3, "?>"), ("<!D", 4, "x>"), ("<![CDATA[", 5, "]]>"), ("</DIV {k}>", 6, None), ("<b>", None, None)]
 
-    @query(expected("ord int, sort int, ends boolean", ", ".join(f"({k}, {kind or 'null'}, {'true' if end else 'null'})" for k, (_, kind, end) in enumerate(blocks))))
+    @query(expected("ord int, sort int, ends boolean", ", ".join(f"({k}, {kind or 0}, {'true' if end else 'false'})" for k, (_, kind, end) in enumerate(blocks))))
     def md_html_block_marks(spark, sf_dir):
         """Kinds of HTML blocks by their first line, and the lines that end the first five."""
         key = corpora.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"))
         out = None
         for k, (start, kind, end) in enumerate(blocks):
-            ends = scanners.html_block_end(kind, F.lit(end)) if end else F.lit(None).cast("boolean")
-            row = key.select("doc_id", F.lit(k).alias("ord"), scanners.html_block_start(F.replace(F.lit(start), F.lit("{k}"), F.col("doc_id").cast("string"))).alias("sort"), ends.alias("ends"))
+            ends = scanners.html_block_end(kind, F.lit(end)) if end else F.lit(False)
+            row = key.select("doc_id", F.lit(k).alias("ord"), F.coalesce(scanners.html_block_start(F.replace(F.lit(start), F.lit("{k}"), F.col("doc_id").cast("string"))), F.lit(0)).alias("sort"), ends.alias("ends"))
             out = row if out is None else out.unionByName(row)
         return out
 
