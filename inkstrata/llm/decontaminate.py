@@ -104,9 +104,9 @@ def rarest_pairs(terms: DataFrame) -> DataFrame:
     at = F.array_sort(F.collect_list(F.struct("off", "freq", "term")))
     starts = F.sequence(F.lit(1), F.greatest(F.col("n") - WINDOW + 1, F.lit(1)))
     ranked = F.transform(starts, lambda s: F.slice(F.array_sort(F.transform(F.slice("at", s, WINDOW), lambda x: F.struct(x.freq.alias("freq"), x.off.alias("off"), x.term.alias("term")))), 1, 2))
-    windows = terms.groupBy("item", "n").agg(at.alias("at")).select("item", F.explode(F.array_distinct(ranked)).alias("r"))
+    windows = terms.groupBy("item", "n").agg(at.alias("at")).select("item", F.explode(ranked).alias("r"))
     first, second = F.col("r")[0], F.get("r", F.lit(1))
-    return windows.where(first.freq > 0).select(first.term.alias("term"), "item", first.off.alias("off"), second.term.alias("term2"), second.off.alias("off2"))
+    return windows.where(first.freq > 0).select(first.term.alias("term"), "item", first.off.alias("off"), second.term.alias("term2"), second.off.alias("off2")).distinct()
 
 
 def phrase_matches(index: DataFrame, terms: DataFrame) -> DataFrame:

@@ -109,8 +109,9 @@ def test_long_items_and_common_words(spark):
 
 def test_proximity(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
-    changed = item.replace("one", "uno").replace("nine", "neun")
-    docs = spark.createDataFrame([(1, "x " + " ".join(reversed(item.split()))), (2, "one two and nothing else"), (3, item), (4, changed)], "doc_id long, text string")
+    one_less = item.replace("nine", "neun")
+    two_less = one_less.replace("one", "uno")  # two of the four rarest words are missing: no match
+    docs = spark.createDataFrame([(1, "x " + " ".join(reversed(item.split()))), (2, "one two and nothing else"), (3, item), (4, one_less), (5, two_less)], "doc_id long, text string")
     items = d.items_of(spark.createDataFrame([(1, item)], "item_id long, text string"))
     index = d.build_index(docs)
     terms = d.item_terms(items, d.frequencies(index, items.select(F.explode("words").alias("term")).distinct()))
