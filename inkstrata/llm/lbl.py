@@ -35,7 +35,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from copy import copy
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +65,11 @@ SHARD, GROWTH = 1 << 19, 2 / 3
 SEGMENT, PACKET = 128, 256
 #: Minibatches that training has at least, as far as PASSES over the tokens go.
 STEPS, PASSES = 512, 16
-#: Tokens that are scored in one matrix product, those whose class words are scored at once, and logits of such a product.
-SCORED, GROUPED, CELLS = 1 << 14, 1 << 17, 1 << 22
+#: Tokens that are scored in one matrix product, those whose class words are scored at once, and logits of such a product:
+#: products stay within a core's cache.
+SCORED, GROUPED, CELLS = 1 << 10, 1 << 18, 1 << 18
+#: Bytes of distinct words, by slice, that a task holds at most to sum their counts.
+MERGED = 16 << 20
 
 _TAIL = re.compile(r"(\w{0,2})([^\w]*)\Z")
 
@@ -74,10 +77,15 @@ _TAIL = re.compile(r"(\w{0,2})([^\w]*)\Z")
 # -- units ------------------------------------------------------------------------------------------------------------
 
 
+@lru_cache(1 << 16)
+def _spelling(end: str) -> int:
+    return 1 + OWN + zlib.crc32(repr(_TAIL.search(end).groups()).encode()) % SPELLINGS
+
+
 def spelling_units(words: pa.Array) -> np.ndarray:
     """The class of each word by its last two letters and its closing punctuation."""
     ends = pc.utf8_slice_codeunits(words, -4, 2**31 - 1).dictionary_encode()
-    classes = np.array([1 + OWN + zlib.crc32(repr(_TAIL.search(x).groups()).encode()) % SPELLINGS for x in ends.dictionary.to_pylist()], np.int64)
+    classes = np.array([_spelling(x) for x in ends.dictionary.to_pylist()], np.int64)
     return classes[ends.indices.to_numpy()] if len(classes) else np.zeros(0, np.int64)
 
 
@@ -91,27 +99,30 @@ class Vocabulary:
         self.head, self.counts, self.own, self.documents = head, counts, own, documents
         self.word_counts = counts[len(own) :][counts[len(own) :] >= MIN_COUNT]
         self.class_of, self.class_start = classes_of(self.word_counts, counts.sum() + documents)
+        self.outer_of = np.concatenate([np.arange(START + 1), UNITS + self.class_of])
         self.unit_tokens = np.zeros(UNITS + len(self.class_start) - 1)
         self.unit_words = np.zeros(len(self.unit_tokens))
         self.n = self.v = 0
 
-    def units(self, words: pa.Array) -> np.ndarray:
-        """The token number of each word."""
-        at = pc.fill_null(pc.index_in(words, self.head), -1).to_numpy()
+    def places(self, words: pa.Array, first: int | None = None) -> np.ndarray:
+        """Places of the words in the head or its `first` words, -1 for others; hashes those at each call, so words should come in bulk."""
+        return pc.fill_null(pc.index_in(words, self.head.slice(0, first)), -1).to_numpy()
+
+    def units(self, words: pa.Array, at: np.ndarray | None = None) -> np.ndarray:
+        """The token number of each word; `at` are its places, if at hand."""
         own, known = len(self.own), len(self.own) + len(self.word_counts)
-        inner = np.where(at < own, at + 1, START + 1 + at - own)
-        return np.where((at >= 0) & (at < known), inner, spelling_units(words))
+        at = self.places(words, known) if at is None else at
+        out = np.where(at < own, at + 1, START + 1 + at - own)
+        other = np.flatnonzero((at < 0) | (at >= known))
+        out[other] = spelling_units(words.take(pa.array(other)))
+        return out
 
     def outer(self, tokens: np.ndarray) -> np.ndarray:
         """The first-level unit of each token."""
-        out = tokens.copy()
-        inner = tokens > START
-        out[inner] = UNITS + self.class_of[tokens[inner] - START - 1]
-        return out
+        return self.outer_of.take(tokens)
 
-    def head_counts(self, words: pa.Array) -> np.ndarray:
-        """Training counts of the words in the head, -1 for others."""
-        at = pc.fill_null(pc.index_in(words, self.head), -1).to_numpy()
+    def head_counts(self, at: np.ndarray) -> np.ndarray:
+        """Training counts of the words at these places of the head, -1 for others."""
         return np.append(self.counts, -1)[at]
 
     def log_shares(self) -> np.ndarray:
@@ -148,11 +159,11 @@ def token_units(words: Words, unit_of: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def contexts(units: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The CONTEXT units before each token, nearest first."""
-    out = np.full((len(units), CONTEXT), START, np.int64)
-    for k in range(CONTEXT):
-        has = np.flatnonzero(place > k)
-        out[has, k] = units[has - k - 1]
-    return out
+    out = np.full((CONTEXT, len(units)), START, np.int32)
+    for k in range(min(CONTEXT, len(units))):
+        out[k, k + 1 :] = units[: len(units) - k - 1]
+        out[k, np.flatnonzero(place <= k)] = START
+    return out.T
 
 
 # -- the model --------------------------------------------------------------------------------------------------------
@@ -170,6 +181,7 @@ class Model:
         rng = np.random.default_rng(SEED)
         units, words = len(noise), len(known.word_counts)
         self.noise, self.known = noise, known
+        self.cumulated, self.shift = np.cumsum(noise) / noise.sum(), np.log(NOISE * noise).astype(np.float32)
         self.r = rng.normal(0, 0.1, (START + 1 + words, SIZE)).astype(np.float32)
         self.q = rng.normal(0, 0.1, (units, SIZE)).astype(np.float32)
         self.w = rng.normal(0, 0.1, (words, SIZE)).astype(np.float32)
@@ -222,29 +234,25 @@ class Model:
         out.squares = out.times = None
         return out
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        return np.einsum("bkd,kd->bd", self.r[context], self.c)
+    def _mix(self) -> np.ndarray:
+        """The position weights as a matrix, from the context vectors side by side to the prediction."""
+        return np.vstack([np.diag(c) for c in self.c])
 
     def _step(self, name: str, gradient: np.ndarray) -> None:
         squares = self.squares[name]
         squares += gradient * gradient
         getattr(self, name).__iadd__(RATE * gradient / np.sqrt(squares))
 
-    def _step_rows(self, name: str, at: np.ndarray, gradient: np.ndarray, bias: np.ndarray | None = None) -> None:
-        """A step of the rows at `at`, whose gradients are summed by row."""
-        order = np.argsort(at, kind="stable")
-        ordered = at[order]
-        starts = np.flatnonzero(np.diff(ordered, prepend=-1))
-        rows, total = ordered[starts], np.add.reduceat(gradient[order], starts, axis=0)
-        squares = self.squares[name][rows] + (total * total).mean(axis=1, keepdims=True)
+    def _step_rows(self, name: str, groups: tuple[np.ndarray, ...], values: np.ndarray, gradient: np.ndarray) -> None:
+        """A step of the rows that are grouped: they have the given values, and their gradients are summed by row."""
+        order, starts, rows, times = groups
+        total = _group_sums(gradient, groups)
+        squares = self.squares[name][rows] + (np.square(total) @ _MEAN)[:, None]
         self.squares[name][rows] = squares
-        getattr(self, name)[rows] += RATE * total / np.sqrt(squares)
-        self.times[name][rows] += np.diff(np.append(starts, len(at)))
-        if bias is not None:
-            total = np.add.reduceat(bias[order], starts)
-            squares = self.squares["a"][rows] + total * total
-            self.squares["a"][rows] = squares
-            self.a[rows] += RATE * total / np.sqrt(squares)
+        total *= RATE / np.sqrt(squares)
+        total += values.take(order[starts], axis=0)
+        getattr(self, name).view(_VECTOR)[rows] = total.view(_VECTOR)
+        self.times[name][rows] += times
 
     def train(self, tokens: np.ndarray, place: np.ndarray, rng: np.random.Generator) -> None:
         """One minibatch of noise-contrastive estimation: tell each target from noise, by units and within its class.
@@ -252,39 +260,64 @@ class Model:
         `tokens` has segments of tokens, each with the CONTEXT tokens before its first target, and `place` the targets'
         places in their texts. What follows each other shares context vectors, so that each is read and stepped once.
         """
-        length = place.shape[1]
+        n, length = place.shape
         token = tokens[:, CONTEXT:].ravel()
         size, target, units = len(token), self.known.outer(token), len(self.q)
-        samples = rng.choice(units, NOISE, p=self.noise)
-        shift = np.log(NOISE * self.noise).astype(np.float32)
-        vectors = self.r[tokens]
-        inside = [(place > k)[:, :, None] for k in range(CONTEXT)]
-        inputs = [np.where(inside[k], vectors[:, CONTEXT - 1 - k : CONTEXT - 1 - k + length], self.r[START]) for k in range(CONTEXT)]
-        hidden = sum(x * c for x, c in zip(inputs, self.c, strict=True)).reshape(size, SIZE)
-        own = self.q[target]
-        real = np.einsum("bd,bd->b", hidden, own) + self.b[target] - shift[target]
-        fake = hidden @ self.q[samples].T + (self.b[samples] - shift[samples])
-        up = (1 / (1 + np.exp(np.clip(real, -30, 30))) / size).astype(np.float32)
-        down = 1 / (1 + np.exp(-np.clip(fake, -30, 30))) / size
-        back = up[:, None] * own - down @ self.q[samples]
-        g_q = _sums(target, up[:, None] * hidden, units)
-        np.add.at(g_q, samples, -(down.T @ hidden))
-        g_b = np.bincount(target, up, units).astype(np.float32)
-        np.add.at(g_b, samples, -down.sum(0))
+        samples = self.cumulated.searchsorted(rng.random(NOISE), side="right")
+        sampled, shift = self.q[samples], self.shift
+        # the rows are read once, and a segment's lie flat: operations by position have long runs
+        seen = np.append(tokens.ravel(), START)
+        groups = _grouped(seen)
+        vectors = self.r.take(seen, axis=0)
+        flat, first = vectors[:-1].reshape(n, -1), vectors[-1]
+        runs = [slice((CONTEXT - 1 - k) * SIZE, (CONTEXT - 1 - k + length) * SIZE) for k in range(CONTEXT)]
+        scales = np.broadcast_to(self.c[:, None], (CONTEXT, length, SIZE)).reshape(CONTEXT, -1)
+        hidden = flat[:, runs[0]] * scales[0]
+        for run, scale in zip(runs[1:], scales[1:], strict=True):
+            hidden += flat[:, run] * scale
+        hidden = hidden.reshape(size, SIZE)
+        # the few that would look beyond their text's start see the start instead
+        at = place.ravel()
+        early = np.flatnonzero(at < CONTEXT)
+        outside = [early[at[early] <= k] for k in range(CONTEXT)]
+        inputs = [x + x // length * CONTEXT + CONTEXT - 1 - k for k, x in enumerate(outside)]
+        wrong = [first - vectors[x] for x in inputs]
+        for k, x in enumerate(outside):
+            hidden[x] += wrong[k] * self.c[k]
+        own = self.q.take(target, axis=0)
+        real = np.einsum("bd,bd->b", hidden, own) + (self.b - shift)[target]
+        down = hidden @ sampled.T
+        down += self.b[samples] - shift[samples]
+        up = (_logistic(-real) / size).astype(np.float32)
+        down = _logistic(down)
+        down /= size
+        back = own
+        back *= up[:, None]
+        back -= down @ sampled
+        both, g_q = np.append(target, samples), np.zeros(self.q.shape, np.float32)
+        given = np.empty((len(both), SIZE), np.float32)
+        np.multiply(hidden, up[:, None], out=given[:size])
+        np.negative(down.T @ hidden, out=given[size:])
+        met = _grouped(both)
+        g_q[met[2]] = _group_sums(given, met)
+        g_b = np.bincount(both, np.append(up, -(np.ones(size, np.float32) @ down)), units).astype(np.float32)
         inner = np.flatnonzero(token > START)
         if len(inner):
             back[inner] += self._train_words(token[inner] - START - 1, hidden[inner], size, rng)
-        back = back.reshape(len(tokens), length, SIZE)
-        g_c = np.stack([np.einsum("sld,sld->d", back, x) for x in inputs])
-        g_r, g_start = np.zeros(vectors.shape, np.float32), np.zeros(SIZE, np.float32)
-        for k in range(CONTEXT):
-            given = back * self.c[k]
-            known = given * inside[k]
-            g_r[:, CONTEXT - 1 - k : CONTEXT - 1 - k + length] += known
-            g_start += (given - known).sum(axis=(0, 1))
+        line, g_r = back.reshape(n, -1), np.zeros(vectors.shape, np.float32)
+        g_flat, g_c, product = g_r[:-1].reshape(n, -1), np.empty(self.c.shape, np.float32), np.empty(line.shape, np.float32)
+        for k, run in enumerate(runs):
+            g_flat[:, run] += np.multiply(line, scales[k], out=product)
+            g_c[k] = np.einsum("nl,nl->l", line, flat[:, run]).reshape(length, SIZE).sum(0)
+        for k, x in enumerate(outside):
+            given = back[x]
+            g_c[k] += (given * wrong[k]).sum(0)
+            given *= self.c[k]
+            g_r[inputs[k]] -= given
+            g_r[-1] += given.sum(0)
         for name, gradient in (("q", g_q), ("b", g_b)):
             self._step(name, gradient)
-        self._step_rows("r", np.append(tokens.ravel(), START), np.vstack([g_r.reshape(-1, SIZE), g_start]))
+        self._step_rows("r", groups, vectors, g_r)
         self._step("c", g_c)
         self.times["q"] += size
         self.times["c"] += size
@@ -292,77 +325,146 @@ class Model:
     def _train_words(self, word: np.ndarray, hidden: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
         """Tell words from NEAR words each of their classes, which are drawn alike; gives the gradient of `hidden`."""
         of, start = self.known.class_of[word], self.known.class_start
-        sizes = start[of + 1] - start[of]
-        noise = start[of][:, None] + (rng.random((len(word), NEAR)) * sizes[:, None]).astype(np.int64)
-        both = np.column_stack([word, noise])
-        vectors = self.w[both]
-        logits = np.einsum("bd,bkd->bk", hidden, vectors) + self.a[both] - np.log(NEAR / sizes).astype(np.float32)[:, None]
-        gradient = -1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+        low = start[of]
+        sizes = start[of + 1] - low
+        both = np.empty((len(word), NEAR + 1), np.int64)
+        both[:, 0] = word
+        both[:, 1:] = rng.random((len(word), NEAR)) * sizes[:, None]
+        both[:, 1:] += low[:, None]
+        order, starts, rows, _ = groups = _grouped(both.ravel())
+        vectors = self.w.take(both, axis=0)
+        logits = np.einsum("bd,bkd->bk", hidden, vectors)
+        logits += self.a.take(both)
+        logits -= np.log(NEAR / sizes).astype(np.float32)[:, None]
+        gradient = _logistic(logits)
+        np.negative(gradient, out=gradient)
         gradient[:, 0] += 1
-        gradient = (gradient / size).astype(np.float32)
+        gradient /= size
         back = np.einsum("bk,bkd->bd", gradient, vectors)
-        self._step_rows("w", both.ravel(), (gradient[:, :, None] * hidden[:, None, :]).reshape(-1, SIZE), gradient.ravel())
+        given = np.einsum("bk,bd->bkd", gradient, hidden)
+        self._step_rows("w", groups, vectors.reshape(-1, SIZE), given.reshape(-1, SIZE))
+        total = np.add.reduceat(gradient.ravel()[order], starts)
+        squares = self.squares["a"][rows] + total * total
+        self.squares["a"][rows] = squares
+        self.a[rows] += RATE * total / np.sqrt(squares)
         return back
 
     def log10_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Normalised over all units, and over the words of the token's class."""
         out, target = np.empty(len(token)), self.known.outer(token)
+        units, words = (np.column_stack(x) * _LOG2_E for x in ((self.q, self.b), (self.w, self.a)))
+        mix = self._mix()
         for base in range(0, len(token), GROUPED):
-            hidden = np.empty((len(token[base : base + GROUPED]), SIZE), np.float32)
+            hidden = np.ones((len(token[base : base + GROUPED]), SIZE + 1), np.float32)  # with a one for the bias
             for at in range(base, base + len(hidden), SCORED):
                 part = slice(at, min(at + SCORED, base + len(hidden)))
-                hidden[part.start - base : part.stop - base] = given = self.predicted(context[part])
-                out[part] = _log_softmax(given, self.q, self.b, target[part])
-            self._add_words(out[base : base + len(hidden)], hidden, token[base : base + len(hidden)])
-        return out / np.log(10)
+                given = hidden[part.start - base : part.stop - base]
+                np.matmul(self.r.take(context[part], axis=0).reshape(len(given), -1), mix, out=given[:, :SIZE])
+                out[part] = _log2_softmax(given, units, target[part])
+            self._add_words(out[base : base + len(hidden)], hidden, token[base : base + len(hidden)], words)
+        return out * np.log10(2)
 
-    def _add_words(self, out: np.ndarray, hidden: np.ndarray, token: np.ndarray) -> None:
+    def _add_words(self, out: np.ndarray, hidden: np.ndarray, token: np.ndarray, words: np.ndarray) -> None:
         inner = np.flatnonzero(token > START)
-        inner = inner[np.argsort(token[inner], kind="stable")]  # by class, as its words are neighbours
-        word = token[inner] - START - 1
-        ends = np.searchsorted(word, self.known.class_start)
+        of = self.known.class_of[token[inner] - START - 1]
+        inner = inner[np.argsort(of.astype(np.min_scalar_type(len(self.known.class_start))), kind="stable")]
+        word, hidden = token[inner] - START - 1, hidden.take(inner, axis=0)
+        ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(self.known.class_start) - 1)))
+        found = np.empty(len(inner))
         for k in np.flatnonzero(np.diff(ends)):
             low, high = self.known.class_start[k], self.known.class_start[k + 1]
             step = max(1, CELLS // (high - low))
             for at in range(ends[k], ends[k + 1], step):
                 part = slice(at, min(at + step, ends[k + 1]))
-                out[inner[part]] += _log_softmax(hidden[inner[part]], self.w[low:high], self.a[low:high], word[part] - low)
+                found[part] = _log2_softmax(hidden[part], words[low:high], word[part] - low)
+        out[inner] += found
+
+
+#: What makes powers of e powers of two; mean of a row's values, as a product; a row as one item, which is written at once.
+_LOG2_E = np.float32(np.log2(np.e))
+_MEAN, _VECTOR = np.full(SIZE, 1 / SIZE, np.float32), np.dtype((np.void, 4 * SIZE))
 
 
-def _log_softmax(hidden: np.ndarray, vectors: np.ndarray, biases: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each row's chosen probability over all of `vectors`."""
-    ones = np.ones((len(hidden), 1), np.float32)
-    logits = np.hstack([hidden, ones]) @ np.column_stack([vectors, biases]).T
-    own = logits[np.arange(len(logits)), chosen].astype(np.float64)
-    reach = np.sqrt(np.square(hidden).sum(1).max(initial=0) * np.square(vectors).sum(1).max(initial=0)) + np.abs(biases).max(initial=0)
-    if reach > 60:  # else no power of e overflows or vanishes
+def _log2_softmax(hidden: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Binary logarithm of each row's chosen probability over all of `vectors`; both have the bias as a last column.
+
+    Logits are binary too: numpy takes powers of two in 2/3 of the time of powers of e.
+    """
+    logits = hidden @ vectors.T
+    own = logits.take(np.arange(0, logits.size, len(vectors)) + chosen).astype(np.float64)
+    with np.errstate(all="ignore"):
+        np.exp2(logits, out=logits)
+        sums = (logits @ np.ones(logits.shape[1], np.float32)).astype(np.float64)
+        out = own - np.log2(sums)
+    far = np.flatnonzero(~((sums > 1e-20) & (sums < 1e30)))  # elsewhere no power that counts overflows or vanishes
+    if len(far):
+        logits = hidden[far] @ vectors.T
         top = logits.max(axis=1)
-        logits -= top[:, None]
-        own -= top
-    np.exp(logits, out=logits)
-    return own - np.log((logits @ np.ones(logits.shape[1], np.float32)).astype(np.float64))
+        out[far] = own[far] - top - np.log2(np.exp2(logits - top[:, None]).sum(axis=1, dtype=np.float64))
+    return out
 
 
-def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows by index."""
-    width = values.shape[1]
-    cells = (at[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(cells, values.ravel(), size * width).reshape(size, width).astype(np.float32)
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.clip(x, -30, 30, out=x)
+    x *= -_LOG2_E
+    np.exp2(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by place, where each place starts in it, the places, and how often each occurs."""
+    bits = len(at).bit_length()
+    keys = np.sort(at << bits | np.arange(len(at)))  # much faster than a stable argsort
+    order, ordered = keys & ((1 << bits) - 1), keys >> bits
+    first = np.ones(len(at) + 1, bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:-1])
+    bounds = np.flatnonzero(first)
+    return order, bounds[:-1], ordered[bounds[:-1]], np.diff(bounds)
+
+
+def _group_sums(values: np.ndarray, groups: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Sums of the rows that `_grouped` has brought together: most stand alone, so only the rest is added up."""
+    order, starts, _, times = groups
+    out, several = values.take(order[starts], axis=0), np.flatnonzero(times > 1)
+    if len(several):
+        rest = np.ones(len(order), bool)
+        rest[starts] = False
+        more = times[several] - 1
+        # as pairs of floats, since reduceat goes column by column
+        pairs = np.add.reduceat(values.take(order[rest], axis=0).view(np.complex64), np.cumsum(more) - more, axis=0)
+        out[several] += pairs.view(np.float32)
+    return out
 
 
 # -- counting ---------------------------------------------------------------------------------------------------------
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for part in slices(batches, "text"):
         words = Words(part.column("text"))
-        n = np.bincount(words.codes, minlength=len(words.vocabulary))
-        yield pa.RecordBatch.from_arrays([words.vocabulary, pa.array(n)], ["word", "n"])
+        if held and size + words.vocabulary.nbytes > MERGED:
+            yield _merged(held)
+            held, size = [], 0
+        held.append((words.vocabulary, np.bincount(words.codes, minlength=len(words.vocabulary))))
+        size += words.vocabulary.nbytes
+    if held:
+        yield _merged(held)
+
+
+def _merged(held: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """The counts of several slices, summed by word."""
+    words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+    n = np.bincount(words.indices.to_numpy(), np.concatenate([n for _, n in held]), len(words.dictionary)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([words.dictionary, pa.array(n)], ["word", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over the texts of `docs`; stored."""
-    rows = map_arrow(docs.select("text"), _word_counts, "word string, n long")
+    # dealt first: a task has summed its slices, so that another sum before the shuffle would lessen nothing
+    rows = map_arrow(docs.select("text"), _word_counts, "word string, n long").repartition("word")
     return stored(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
@@ -370,9 +472,9 @@ def _unit_sizes(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterato
     known = pickle.loads(vocabulary)
     units = len(known.unit_tokens)
     tokens, words = np.zeros(units, np.int64), np.zeros(units, np.int64)
-    for batch in batches:
-        unit = known.outer(known.units(batch.column("word")))
-        tokens += np.bincount(unit, batch.column("n").to_numpy(), units).astype(np.int64)
+    for part in slices(batches, "word"):  # not by batch: each look-up hashes the whole head
+        unit = known.outer(known.units(part.column("word")))
+        tokens += np.bincount(unit, part.column("n").to_numpy(), units).astype(np.int64)
         words += np.bincount(unit, minlength=units)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(units)), pa.array(tokens), pa.array(words)], ["unit", "tokens", "words"])
 
@@ -504,7 +606,8 @@ def _scored(batches: Iterator[pa.RecordBatch], state: bytes) -> Iterator[pa.Reco
     all_tokens, shares = np.log10(known.n + known.v + 1), known.log_shares()
     for part in slices(batches, "text"):
         words = Words(part.column("text"))
-        rows, unit_of, count = len(part), known.units(words.vocabulary), known.head_counts(words.vocabulary)
+        at = known.places(words.vocabulary)
+        rows, unit_of, count = len(part), known.units(words.vocabulary, at), known.head_counts(at)
         units, place, row = token_units(words, unit_of)
         score = np.bincount(row, model.log10_probabilities(contexts(units, place), units), rows)
         in_head = count >= 0

@@ -128,3 +128,104 @@ def test_training_does_not_depend_on_partitions(spark):
     few, many = (lbl.fit(training.repartition(n), known).log10_probabilities(context, target).mean() for n in (1, 40))
     start = lbl.new_model(known).log10_probabilities(context, target).mean()
     assert few > start + 0.2 and many > start + 0.2 and abs(few - many) < 0.25 * (few - start)
+
+
+def small_vocabulary():
+    words = pa.array([f"w{i}" for i in range(700)])
+    known = lbl.Vocabulary(words, np.sort(np.random.default_rng(5).integers(lbl.MIN_COUNT, 9000, 700))[::-1].copy(), words.slice(0, lbl.OWN), 300)
+    known.unit_tokens[:] = np.random.default_rng(6).integers(1, 5000, len(known.unit_tokens))
+    return known
+
+
+def test_unit_sizes_look_words_up_in_bulk(monkeypatch):
+    known, calls, units = small_vocabulary(), [], lbl.Vocabulary.units
+    monkeypatch.setattr(lbl.Vocabulary, "units", lambda self, words, *rest: calls.append(len(words)) or units(self, words, *rest))
+    every = pa.array([f"w{i}" for i in range(4000)])
+    table = pa.RecordBatch.from_arrays([every, pa.array(np.arange(1, 4001))], ["word", "n"])
+    (got,) = lbl._unit_sizes((table.slice(at, 100) for at in range(0, 4000, 100)), lbl.pickle.dumps(known))
+    assert calls == [4000]  # the head is hashed at each
+    unit = known.outer(units(known, every))
+    assert got.column("tokens").to_pylist() == np.bincount(unit, np.arange(1, 4001), len(known.unit_tokens)).tolist()
+    assert got.column("words").to_pylist() == np.bincount(unit, minlength=len(known.unit_tokens)).tolist()
+
+
+@pytest.mark.parametrize(("merged", "batches"), [(1 << 20, 1), (0, 2)])
+def test_counts_are_summed_over_slices(merged, batches, monkeypatch):
+    monkeypatch.setattr(lbl, "MERGED", merged)
+    texts = pa.RecordBatch.from_arrays([pa.array(["One two " * 700_000, None, "two three " * 500_000])], ["text"])
+    got, total = list(lbl._word_counts(iter([texts]))), Counter()
+    for batch in got:
+        total.update(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True)))
+    assert len(got) == batches and total == {"one": 700_000, "two": 1_200_000, "three": 500_000}
+
+
+def slow_minibatch(model, tokens, place, rng):
+    """Gradients of a minibatch by its definition, from the contexts of each target; (q, b, r, c, w, a)."""
+    sigmoid, known = lambda x: 1 / (1 + np.exp(-x)), model.known
+    r, c, q, b, w, a = (getattr(model, name).astype(np.float64) for name in "rcqbwa")
+    g = {name: np.zeros(getattr(model, name).shape) for name in "rcqbwa"}
+    samples = rng.choice(len(q), lbl.NOISE, p=model.noise)
+    shift = np.log(lbl.NOISE * model.noise)
+    cases = [(s, i) for s in range(len(tokens)) for i in range(place.shape[1])]
+    inner = [int(tokens[s, lbl.CONTEXT + i]) > lbl.START for s, i in cases]
+    draws = iter(rng.random((sum(inner), lbl.NEAR)))
+    for s, i in cases:
+        token = int(tokens[s, lbl.CONTEXT + i])
+        context = [int(tokens[s, lbl.CONTEXT + i - k - 1]) if place[s, i] > k else lbl.START for k in range(lbl.CONTEXT)]
+        hidden, back = (r[context] * c).sum(0), np.zeros(lbl.SIZE)
+        unit = int(known.outer(np.array([token]))[0])
+        for at, label, table, bias, offset in [(unit, 1, "q", "b", shift), *((int(x), 0, "q", "b", shift) for x in samples)]:
+            error = (label - sigmoid(q[at] @ hidden + b[at] - offset[at])) / len(cases)
+            g[table][at] += error * hidden
+            g[bias][at] += error
+            back += error * q[at]
+        if token > lbl.START:
+            word = token - lbl.START - 1
+            low, high = known.class_start[known.class_of[word]], known.class_start[known.class_of[word] + 1]
+            for at, label in [(word, 1), *((low + int(u * (high - low)), 0) for u in next(draws))]:
+                error = (label - sigmoid(w[at] @ hidden + a[at] - np.log(lbl.NEAR / (high - low)))) / len(cases)
+                g["w"][at] += error * hidden
+                g["a"][at] += error
+                back += error * w[at]
+        for k, at in enumerate(context):
+            g["r"][at] += back * c[k]
+            g["c"][k] += back * r[at]
+    return g
+
+
+def test_a_minibatch_takes_the_steps_of_its_definition():
+    known, rng = small_vocabulary(), np.random.default_rng(7)
+    model = lbl.new_model(known)
+    tokens = rng.integers(0, len(model.r), (5, lbl.CONTEXT + 40))
+    place = np.concatenate([np.arange(n) for n in (1, 2, 7, 60, 1, 129)])[:200].reshape(5, 40)
+    g = slow_minibatch(model, tokens, place, np.random.default_rng(8))
+    before = {name: getattr(model, name).astype(np.float64) for name in "rcqbwa"}
+    squares = {name: model.squares[name].astype(np.float64) for name in "rcqbwa"}
+    model.train(tokens, place, np.random.default_rng(8))
+    for name in "rcqbwa":
+        square = np.square(g[name]).mean(axis=1, keepdims=True) if name in "rw" else np.square(g[name]).reshape(squares[name].shape)
+        step = lbl.RATE * g[name] / np.sqrt(squares[name] + square)
+        assert np.abs(g[name]).max() > 0
+        np.testing.assert_allclose(getattr(model, name), before[name] + step, atol=2e-5)
+
+
+@pytest.mark.parametrize("scale", [1, 30, 400])
+def test_probabilities_of_large_logits(scale):
+    known, rng = small_vocabulary(), np.random.default_rng(9)
+    model = lbl.new_model(known)
+    model.q *= scale
+    model.w *= scale
+    model.b -= scale
+    context, token = rng.integers(0, len(model.r), (500, lbl.CONTEXT)), rng.integers(0, len(model.r), 500)
+    token[token == lbl.START] = lbl.END
+    got = model.log10_probabilities(context, token)
+    hidden = (model.r[context] * model.c).sum(1).astype(np.float64)
+    for i, t in enumerate(token):
+        logits, unit = model.q.astype(np.float64) @ hidden[i] + model.b, known.outer(np.array([t]))[0]
+        wanted = logits[unit] - np.logaddexp.reduce(logits)
+        if t > lbl.START:
+            k = known.class_of[t - lbl.START - 1]
+            low, high = known.class_start[k], known.class_start[k + 1]
+            inside = model.w[low:high].astype(np.float64) @ hidden[i] + model.a[low:high]
+            wanted += inside[t - lbl.START - 1 - low] - np.logaddexp.reduce(inside)
+        assert got[i] == pytest.approx(wanted / np.log(10), rel=1e-4, abs=1e-5 * scale)
