@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,20 +146,92 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_stacked, "doc_id long, node_id long, ancestor_id long, distance int")
 
 
+#: What structure_faults reads of a node; `bare` is that it has no parent and is no document.
+_PLACES = ("doc_id", "node_id", "parent_id", "pre", "post", "depth", "ordinal", "child_count")
+FAULTS = ("no parent", "parent missing", "order", "depth", "child count", "ordinal")
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches that come by document, cut where a document ends; rows without a document belong together with none."""
+    held, document = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        documents, last = batch.column("doc_id"), batch.column("doc_id")[-1].as_py()
+        cut = batch.num_rows if last is None else int(np.searchsorted(documents.fill_null(np.iinfo(np.int64).min).to_numpy(), last))
+        if held and (cut or document != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        if cut < batch.num_rows:
+            held.append(batch.slice(cut))
+        document = last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row against the rows of its document that have its parent's id, and against those that have it as a parent."""
+    for rows in _by_document(batches):
+        has = {c: rows[c].is_valid().to_numpy() for c in _PLACES}
+        at = {c: rows[c].fill_null(0).to_numpy() for c in _PLACES}
+        n, known = rows.num_rows, has["doc_id"]
+        change = (at["doc_id"][1:] != at["doc_id"][:-1]) | ~known[1:] | ~known[:-1]
+        ids, codes = np.unique(np.concatenate([at["node_id"], at["parent_id"]]), return_inverse=True)
+        place = np.concatenate([[0], np.cumsum(change)]) * len(ids)
+        own, up = place + codes[:n], place + codes[n:]
+        is_child = known & has["parent_id"]
+        below = np.sort(up[is_child])
+        children = np.searchsorted(below, own, "right") - np.searchsorted(below, own)
+        children[~(known & has["node_id"])] = 0
+        tops = np.flatnonzero(is_child & has["ordinal"])
+        tops = tops[np.lexsort((at["ordinal"][tops], up[tops]))]
+        k = np.searchsorted(up[tops], own, "right") - 1
+        has_top = (children > 0) & (k >= 0)
+        has_top[has_top] = up[tops[k[has_top]]] == own[has_top]
+        top = np.zeros(n, np.int64)
+        top[has_top] = at["ordinal"][tops[k[has_top]]]
+
+        parents = np.flatnonzero(known & has["node_id"])
+        parents = parents[np.argsort(own[parents], kind="stable")]
+        first = np.searchsorted(own[parents], up)
+        times = np.where(is_child, np.searchsorted(own[parents], up, "right") - first, 0)
+        row = np.repeat(np.arange(n), np.maximum(times, 1))  # once for each row with the parent's id
+        found = times[row] > 0
+        step = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(times, 1)) - np.maximum(times, 1), np.maximum(times, 1))
+        above = np.zeros(len(row), np.int64)
+        above[found] = parents[(first[row] + step)[found]]
+
+        def both(c: str, d: str):
+            return found & has[c][row] & has[d][above]
+
+        mine, theirs = {c: v[row] for c, v in at.items()}, {c: at[c][above] for c in ("pre", "post", "depth")}
+        order = has["pre"][row] & has["post"][row] & (mine["pre"] >= mine["post"])
+        order |= both("pre", "pre") & (mine["pre"] <= theirs["pre"]) | both("post", "post") & (mine["post"] >= theirs["post"])
+        counted = has["child_count"][row]
+        broken = [
+            rows["bare"].fill_null(False).to_numpy()[row],
+            has["parent_id"][row] & ~found,
+            order,
+            both("depth", "depth") & (mine["depth"] != theirs["depth"] + 1),
+            counted & (children[row] != mine["child_count"]),
+            counted & has_top[row] & (top[row] + 1 != mine["child_count"]),
+        ]
+        bad = np.flatnonzero(np.logical_or.reduce(broken))
+        names = np.array(FAULTS)[np.argmax([b[bad] for b in broken], axis=0)]
+        key = [pa.array(mine[c][bad], pa.int64(), mask=~has[c][row][bad]) for c in ("doc_id", "node_id")]
+        yield pa.RecordBatch.from_arrays([*key, pa.array(names, pa.string())], ["doc_id", "node_id", "fault"])
+
+
 def structure_faults(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, fault): rows that break what holds of every tree; none, if the relation is whole."""
-    up = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("p_pre"), F.col("post").alias("p_post"), F.col("depth").alias("p_depth"), F.lit(True).alias("found"))
-    counts = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"), F.max("ordinal").alias("top"))
-    both = nodes.join(up, ["doc_id", "parent_id"], "left").join(counts, ["doc_id", "node_id"], "left")
-    fault = (
-        F.when(F.col("parent_id").isNull() & (F.col("kind") != "Document"), "no parent")
-        .when(F.col("parent_id").isNotNull() & F.col("found").isNull(), "parent missing")
-        .when((F.col("pre") >= F.col("post")) | (F.col("pre") <= F.col("p_pre")) | (F.col("post") >= F.col("p_post")), "order")
-        .when(F.col("depth") != F.col("p_depth") + 1, "depth")
-        .when(F.coalesce("n", F.lit(0)) != F.col("child_count"), "child count")
-        .when(F.col("top") + 1 != F.col("child_count"), "ordinal")
-    )
-    return both.select("doc_id", "node_id", fault.alias("fault")).where("fault is not null")
+    """(doc_id, node_id, fault): rows that break what holds of every tree; none, if the relation is whole.
+
+    The relation is read once and shuffled by document; a task holds a batch and one document.
+    """
+    bare = (F.col("parent_id").isNull() & (F.col("kind") != "Document")).alias("bare")
+    places = nodes.select(*(F.col(c).cast("long").alias(c) for c in _PLACES), bare)
+    return places.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_faults, "doc_id long, node_id long, fault string")
 
 
 def subtree(nodes: DataFrame, doc_id: int, node_id: int) -> DataFrame:

@@ -96,7 +96,8 @@ def md_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(0 as bigint) as doc_id, cast(0 as bigint) as node_id, '' as fault where false")
 def md_structure_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.structure_faults(parse.nodes(corpora.part_notes(spark, sf_dir)))
+    columns = ["doc_id", "node_id", "parent_id", "kind", "depth", "ordinal", "child_count", "pre", "post"]
+    return views.structure_faults(parse.nodes(corpora.part_notes(spark, sf_dir), columns=columns))
 
 
 @query("select cast(o_custkey as bigint) as doc_id, cast(o_orderkey as varchar) as o_orderkey, o_orderstatus, o_orderpriority from orders")
