@@ -11,16 +11,20 @@ null chunk is an empty one.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkstrata.core import document as md
 from inkstrata.core.append import Chain
+from inkstrata.operators.parse import _batches
 
 NODES = "chain_id long, seq long, doc_revision long, node_id long, last_changed_rev long, kind string, depth int, ord long"
 RESULT = "chain_id long, chunks long, refused long, doc_revision long, bytes long, nodes long, ids_made long, whole boolean"
@@ -35,10 +39,10 @@ def _node_rows(chain_id: int, seq: int, chain: Chain, root) -> list[tuple]:
     return rows
 
 
-def _grow(chain: Chain | None, chunks: pd.DataFrame, last: int | None, options: md.Options) -> tuple[Chain | None, int | None, int, object]:
-    """Take chunks in order; the chain, the last seq, how many were refused, and the last parse."""
+def _grow(chain: Chain | None, chunks: Iterable[tuple], last: int | None, options: md.Options) -> tuple[Chain | None, int | None, int, object]:
+    """Take (seq, chunk) by ascending seq; the chain, the last seq, how many were refused, and the last parse."""
     refused, parsed = 0, None
-    for seq, chunk in chunks.sort_values("seq", kind="stable")[["seq", "chunk"]].itertuples(index=False):
+    for seq, chunk in chunks:
         if last is not None and seq <= last:
             refused += 1
             continue
@@ -56,8 +60,8 @@ def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, opt
     if idle_ms is not None:
         state.setTimeoutDuration(idle_ms)
     chain, last = pickle.loads(state.get[0]) if state.exists else (None, None)
-    chunks = pd.concat(list(frames), ignore_index=True)
-    chain, last, _, parsed = _grow(chain, chunks, last, options)
+    chunks = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
+    chain, last, _, parsed = _grow(chain, zip(chunks["seq"], chunks["chunk"], strict=True), last, options)
     if parsed is not None:
         state.update((pickle.dumps((chain, last)),))
         columns = [c.split()[0] for c in NODES.split(", ")]
@@ -76,28 +80,48 @@ def append_stream(chunks: DataFrame, options: md.Options = md.PROFILES["default"
     return _typed(chunks).groupBy("chain_id").applyInPandasWithState(run, NODES, "state binary", "update", timeout)
 
 
-def _whole(frame: pd.DataFrame, options: md.Options) -> pd.DataFrame:
-    chain, _, refused, parsed = _grow(None, frame, None, options)
-    columns = [c.split()[0] for c in RESULT.split(", ")]
-    if chain is None:
-        return pd.DataFrame([], columns=columns)
-    same = md.dump(parsed.root) == md.dump(md.parse(chain.data, options).root)
-    ids = chain.identities()
-    row = (int(frame["chain_id"].iloc[0]), len(frame) - refused, refused, chain.revision, len(chain.data), len(ids), chain.next_id - 1, same)
-    return pd.DataFrame([row], columns=columns)
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(chain_id, its (seq, chunk) in order) from batches sorted by chain and seq."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("chain_id", "seq", "chunk")), strict=True))
+    for chain_id, chunks in groupby(rows, key=itemgetter(0)):
+        yield chain_id, [(seq, chunk) for _, seq, chunk in chunks]
+
+
+def _by_chain(chunks: DataFrame) -> DataFrame:
+    """The chunks with all of a chain in one task, in order: a task goes from chain to chain without a frame for each."""
+    return _typed(chunks).repartition("chain_id").sortWithinPartitions("chain_id", "seq")
+
+
+def _arrow(schema: str) -> tuple[list[pa.DataType], list[str]]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    columns = [c.split() for c in schema.split(", ")]
+    return [kinds[kind] for _, kind in columns], [name for name, _ in columns]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for chain_id, chunks in _chains(batches):
+            chain, _, refused, parsed = _grow(None, chunks, None, options)
+            same = md.same(parsed.root, md.parse(chain.data, options).root)
+            yield chain_id, len(chunks) - refused, refused, chain.revision, len(chain.data), len(chain.identities()), chain.next_id - 1, same
+
+    yield from _batches(rows(), *_arrow(RESULT))
 
 
 def append_batch(chunks: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
     """What became of each chain of a table (chain_id, seq, chunk): its revisions, and whether its tree is that of all its bytes."""
-    return _typed(chunks).groupBy("chain_id").applyInPandas(partial(_whole, options=options), RESULT)
+    return _by_chain(chunks).mapInArrow(partial(_whole, options=options), RESULT)
+
 
+def _last_nodes(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for chain_id, chunks in _chains(batches):
+            chain, last, _, parsed = _grow(None, chunks, None, options)
+            yield from _node_rows(chain_id, last, chain, parsed.root)
 
-def _last_nodes(frame: pd.DataFrame, options: md.Options) -> pd.DataFrame:
-    chain, _, _, parsed = _grow(None, frame, None, options)
-    rows = _node_rows(int(frame["chain_id"].iloc[0]), int(frame["seq"].max()), chain, parsed.root)
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+    yield from _batches(rows(), *_arrow(NODES))
 
 
 def append_nodes(chunks: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
     """The nodes of each chain of a table (chain_id, seq, chunk) after its last chunk, with their ids and revisions."""
-    return _typed(chunks).groupBy("chain_id").applyInPandas(partial(_last_nodes, options=options), NODES)
+    return _by_chain(chunks).mapInArrow(partial(_last_nodes, options=options), NODES)

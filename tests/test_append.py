@@ -174,3 +174,51 @@ def test_a_restored_chain_goes_on():
     for x in (chain, again):
         x.append(b" more\n\n[b]: /u\n")
     assert again.identities() == chain.identities() and dump(again.document.root) == dump(chain.document.root)
+
+
+def test_words_are_taken_without_the_machine(monkeypatch):
+    """Chunks of plain words cost no parse, and give the tree and the identities that a parse of each gives."""
+    from inkstrata.core import append
+
+    made = []
+
+    class Counted(append.Machine):
+        def __init__(self, options):
+            made.append(1)
+            super().__init__(options)
+
+    monkeypatch.setattr(append, "Machine", Counted)
+    rng, pieces = random.Random(3), [b"order", b" 12", b" 7\n\n", b"\n", b"\n\n", b"way x\n\ny", b"", b"*e*\n\n", b" "]
+    for case in range(60):
+        chunks = [rng.choice(pieces[:6] if case % 2 else pieces) for _ in range(40)]
+        fast, slow = Chain(), Chain()
+        slow.document.words = lambda chunk: None
+        for k, chunk in enumerate(chunks):
+            fast.append(chunk), slow.append(chunk)
+            assert fast.identities() == slow.identities()
+            if k % 7 == case % 7:
+                assert dump(fast.document.root) == dump(slow.document.root) == dump(parse(fast.data).root)
+    made.clear()
+    chain = Chain()
+    for k in range(100):
+        chain.append(b"order"), chain.append(b" %d\n\n" % k)
+    assert len(made) == 1 and dump(chain.document.root) == dump(parse(chain.data).root)
+
+
+def test_chains_of_a_table_need_no_frame_each(spark):
+    from inkstrata.streaming.append import append_batch, append_nodes
+
+    chunks = spark.createDataFrame([(c, s, b"a%d\n\n" % s) for c in range(5) for s in range(4)] + [(1, 2, b"late")], "chain_id long, seq long, chunk binary")
+    for found in (append_batch(chunks), append_nodes(chunks)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    assert {(r.chain_id, r.chunks, r.refused, r.whole) for r in append_batch(chunks).collect()} == {(c, 4, int(c == 1), True) for c in range(5)}
+
+
+def test_same_is_equality_of_dumps():
+    from inkstrata.core.document import same
+
+    trees = [parse(x.encode()).root for x in [*TEXTS, "", "a", "b", "a\n", " a", "a\n\nb", "- a\n- b", "- a\n\n- b", "a *b*", "a *b* c", "> a", "> a\n> b"]]
+    for a in trees:
+        for b in trees:
+            assert same(a, b) == (dump(a) == dump(b))
