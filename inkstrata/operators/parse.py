@@ -7,7 +7,7 @@ and become strings in the JVM, so that bytes which are not UTF-8 survive.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.core import document as md
 from inkstrata.core.lexis import fold_label
-from inkstrata.core.tree import Node
+from inkstrata.core.tree import Block, Node
 
 SCOPE = "struct<start:struct<line:int,column:int>,end:struct<line:int,column:int>>"
 #: Columns that hold text, with the field each comes from.
@@ -144,15 +144,20 @@ class _Rows:
         return pa.RecordBatch.from_arrays([made[name] for name in self.columns], self.columns)
 
 
-def _documents(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[tuple[int | None, md.Document]]:
+def _documents(batches: Iterator[pa.RecordBatch], options: md.Options, wanted: Callable[[Block], bool] | None = None) -> Iterator[tuple[int | None, md.Document]]:
     for batch in batches:
         for doc_id, content in zip(batch.column("doc_id"), batch.column("content"), strict=True):
-            yield doc_id.as_py(), md.parse(content.as_py() or b"", options)
+            yield doc_id.as_py(), md.parse(content.as_py() or b"", options, wanted)
+
+
+#: Columns that tell where a node stands among all nodes of its document.
+_NUMBERS = frozenset(("node_id", "parent_id", "ordinal", "child_count", "pre", "post", "subtree_hash"))
 
 
 def _parse(batches: Iterator[pa.RecordBatch], options: md.Options, kinds: frozenset[str] | None, hashes: bool, columns: list[str]) -> Iterator[pa.RecordBatch]:
     rows = _Rows(kinds, hashes, columns)
-    for doc_id, parsed in _documents(batches, options):
+    wanted = None if kinds is None or _NUMBERS & set(columns) else md.may_hold(kinds)
+    for doc_id, parsed in _documents(batches, options, wanted):
         rows.add(doc_id, parsed.root)
         if len(rows.places) >= ROWS:
             yield rows.batch()
@@ -168,7 +173,8 @@ def nodes(
 ) -> DataFrame:
     """One row for each node of each document (doc_id, content).
 
-    With `kinds` only those kinds, with `columns` only those columns leave the parser. With `hashes` subtree_hash is filled:
+    With `kinds` only those kinds, with `columns` only those columns leave the parser; if no column counts nodes, blocks in which
+    nothing can be of these kinds are left without inlines. With `hashes` subtree_hash is filled:
     equal for subtrees that show the same, wherever they stand.
     """
     asked = [(n, k) for n, k in _columns(NODE_SCHEMA) if columns is None or n in columns]
@@ -200,33 +206,43 @@ def text_of(node: Node) -> bytes:
 _SPACE_OF = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.binary()}
 
 
-def _texts(batches: Iterator[pa.RecordBatch], options: md.Options, kinds: frozenset[str], keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], options: md.Options, kinds: frozenset[str], keep: tuple[str, ...], numbers: bool) -> Iterator[pa.RecordBatch]:
     types = dict(_columns(NODE_SCHEMA))
+    holds = md.may_hold(kinds)
+
+    def shown(block: Block) -> bool:
+        above = block
+        while above is not None:
+            if above.kind in kinds:
+                return True
+            above = above.parent
+        return holds(block)
 
     def rows() -> Iterator[tuple]:
-        for doc_id, parsed in _documents(batches, options):
+        for doc_id, parsed in _documents(batches, options, None if numbers else shown):
             number = 0
             for node, _, entering in parsed.root.walk():
                 if entering:
                     if node.kind in kinds:
                         values = (node.fields.get(name) for name in keep)
-                        yield (doc_id, number, node.kind.encode(), *(v.encode() if isinstance(v, str) else v for v in values), text_of(node))
+                        yield (doc_id, number if numbers else None, node.kind.encode(), *(v.encode() if isinstance(v, str) else v for v in values), text_of(node))
                     number += 1
 
     names = ["doc_id", "node_id", "kind", *keep, "text"]
     yield from _batches(rows(), [pa.int64(), pa.int64(), pa.binary(), *(_SPACE_OF[types[k]] for k in keep), pa.binary()], names)
 
 
-def texts(docs: DataFrame, kinds: list[str], options: md.Options = md.PROFILES["default"], keep: tuple[str, ...] = ()) -> DataFrame:
+def texts(docs: DataFrame, kinds: list[str], options: md.Options = md.PROFILES["default"], keep: tuple[str, ...] = (), numbers: bool = True) -> DataFrame:
     """(doc_id, node_id, kind, *keep, text): the visible text below each node of the given kinds, with fields of that node.
 
-    Text comes from the tree itself, so such nodes may lie inside each other and nothing is shuffled.
+    Text comes from the tree itself, so such nodes may lie inside each other and nothing is shuffled. Without `numbers` node_id
+    is left out, and blocks that neither are, lie in nor can hold such nodes are left without inlines.
     """
     types = dict(_columns(NODE_SCHEMA))
     strings = ["kind", *(k for k in keep if types[k] == "string"), "text"]
     raw = ", ".join(f"{n} {'binary' if n in strings else types.get(n, 'long')}" for n in ("doc_id", "node_id", "kind", *keep, "text"))
-    found = _content(docs).mapInArrow(partial(_texts, options=options, kinds=frozenset(kinds), keep=keep), raw)
-    return found.withColumns({n: F.col(n).cast("string") for n in strings})
+    found = _content(docs).mapInArrow(partial(_texts, options=options, kinds=frozenset(kinds), keep=keep, numbers=numbers), raw)
+    return (found if numbers else found.drop("node_id")).withColumns({n: F.col(n).cast("string") for n in strings})
 
 
 def outline(docs: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
@@ -263,6 +279,49 @@ def table_cells(docs: DataFrame, options: md.Options = md.PROFILES["default"]) -
     return _content(docs).mapInArrow(partial(_cells, options=options), schema).withColumn("text", F.col("text").cast("string"))
 
 
+def _cell_places(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for doc_id, parsed in _documents(batches, options, lambda block: False):
+            alignments, row, is_header, column = (), -1, False, 0
+            for node, _, entering in parsed.root.walk():
+                if not entering:
+                    continue
+                if node.kind == "TableCell":
+                    yield doc_id, row, column, is_header, alignments[column]
+                    column += 1
+                elif node.kind == "TableRow":
+                    row, is_header, column = row + 1, node.fields["is_header"], 0
+                elif node.kind == "Table":
+                    alignments, row = node.fields["alignments"], -1
+
+    yield from _batches(rows(), [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()], ["doc_id", "row", "column", "is_header", "alignment"])
+
+
+def cell_places(docs: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
+    """(doc_id, row, column, is_header, alignment) of every cell of every table, from the blocks alone."""
+    return _content(docs).mapInArrow(partial(_cell_places, options=options), "doc_id long, row int, column int, is_header boolean, alignment string")
+
+
+def _footnote_numbers(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for doc_id, parsed in _documents(batches, options, md.may_hold(["FootnoteReference"])):
+            uses: dict[bytes | None, list[int]] = {}  # of each label, in order of first use: its number, and its uses so far
+            for node, _, entering in parsed.root.walk():
+                if entering and node.kind == "FootnoteReference":
+                    label = node.fields["label"]
+                    found = uses.setdefault(fold_label(label.strip(md.lx.SPACES)), [len(uses) + 1, 0])
+                    found[1] += 1
+                    yield doc_id, label, *found
+
+    yield from _batches(rows(), [pa.int64(), pa.binary(), pa.int32(), pa.int32()], ["doc_id", "label", "number", "use"])
+
+
+def footnote_numbers(docs: DataFrame, options: md.Options = md.PROFILES["default"]) -> DataFrame:
+    """(doc_id, label, number, use): notes numbered by first use and each use of a note counted, in the tree of each document."""
+    found = _content(docs).mapInArrow(partial(_footnote_numbers, options=options), "doc_id long, label binary, number int, use int")
+    return found.withColumn("label", F.col("label").cast("string"))
+
+
 def _definitions(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[pa.RecordBatch]:
     names = ("doc_id", "space", "norm_label", "ord", "label", "destination", "title")
     kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -287,7 +346,7 @@ def definitions(docs: DataFrame, options: md.Options = md.PROFILES["default"]) -
 def _diagnostics(batches: Iterator[pa.RecordBatch], options: md.Options) -> Iterator[pa.RecordBatch]:
     rows = [
         {"doc_id": doc_id, "ord": k, "code": "directive_attributes", "scope": {"start": {"line": a, "column": b}, "end": {"line": c, "column": d}}}
-        for doc_id, parsed in _documents(batches, options)
+        for doc_id, parsed in _documents(batches, options, md.may_hold(["Directive"]))
         for k, (a, b, c, d) in enumerate(parsed.diagnostics)
     ]
     kinds = (pa.int64(), pa.int64(), pa.string(), _SCOPE)

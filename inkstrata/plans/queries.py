@@ -113,7 +113,7 @@ def md_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     select cast(k as int) as "column", alignment, cast(n + d as bigint) as n_cells from c, (values (0, 'right'), (1, 'center'), (2, 'none')) as a(k, alignment)"""
 )
 def md_table_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.table_cells(corpora.order_tables(spark, sf_dir)).groupBy("column", "alignment").agg(F.count("*").alias("n_cells"))
+    return parse.cell_places(corpora.order_tables(spark, sf_dir)).groupBy("column", "alignment").agg(F.count("*").alias("n_cells"))
 
 
 @query(
@@ -165,7 +165,7 @@ def md_first_definition_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def md_styled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["Strong", "Emphasis", "Strikethrough", "BlockQuote", "DirectiveLabel"]
-    return parse.texts(corpora.part_notes(spark, sf_dir), kinds).drop("node_id")
+    return parse.texts(corpora.part_notes(spark, sf_dir), kinds, numbers=False)
 
 
 @query(
@@ -180,12 +180,13 @@ def md_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select cast(p_partkey as bigint) as doc_id, 'lang' || p_size as language, 'lang' || p_size || ' extra' as info, 'code ' || p_partkey || chr(10) as literal, true as fenced, true as closed from part"""
 )
 def md_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.code_blocks(parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["CodeBlock"])).drop("node_id")
+    columns = ["doc_id", "language", "info", "literal", "fenced", "closed"]
+    return parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["CodeBlock"], columns=columns).select(*columns)
 
 
 @query("select 'lang' || p_size as language, count(*) as n_blocks from part group by 1")
 def md_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = views.code_blocks(parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["CodeBlock"]))
+    blocks = parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["CodeBlock"], columns=["language"])
     return blocks.groupBy("language").agg(F.count("*").alias("n_blocks"))
 
 
@@ -214,23 +215,23 @@ def md_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(p_partkey as bigint) as doc_id, checked, count(*) as n_items from part, (values (true), (false)) as c(checked) group by 1, 2")
 def md_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = views.tasks(parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["ListItem"]))
+    found = parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["ListItem"], columns=["doc_id", "checked"]).where("checked is not null")
     return found.groupBy("doc_id", "checked").agg(F.count("*").alias("n_items"))
 
 
 @query("select cast(p_partkey as bigint) as doc_id, 'n' || p_partkey as label, cast(1 as int) as number, cast(1 as int) as use from part")
 def md_footnote_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.footnote_numbers(parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["FootnoteReference"])).drop("node_id")
+    return parse.footnote_numbers(corpora.part_notes(spark, sf_dir))
 
 
 @query("select cast(p_partkey as bigint) as doc_id, 'note ' || p_size || ' – “end”…' as text from part")
 def md_smart_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.texts(corpora.part_notes(spark, sf_dir), ["FootnoteDefinition"]).drop("node_id", "kind")
+    return parse.texts(corpora.part_notes(spark, sf_dir), ["FootnoteDefinition"], numbers=False).drop("kind")
 
 
 @query("select cast(p_partkey as bigint) as doc_id, 'mailto:p' || p_partkey || '@example.com' as destination, cast(null as varchar) as title from part")
 def md_mail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["Link"]).select("doc_id", "destination", "title")
+    return parse.nodes(corpora.part_notes(spark, sf_dir), kinds=["Link"], columns=["doc_id", "destination", "title"])
 
 
 @query(
