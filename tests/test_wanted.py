@@ -69,3 +69,8 @@ def test_blocks_that_hold_nothing_wanted_are_not_scanned(monkeypatch):
     assert len(rows(p._parse(iter([batch]), options, frozenset(["CodeBlock"]), False, ["language"]))) == 1
     assert len(rows(p._cell_places(iter([batch]), options))) == 4
     assert rows(p._diagnostics(iter([batch]), options)) == rows(p._footnote_numbers(iter([batch[:0]]), options)) == []
+
+
+def test_bytes_that_begin_nothing_alone_are_text():
+    special = md.Context(md.PROFILES["default"], set(), set(), None).special.search
+    assert not special(b"5-LOW with two words. And more..") and special(b"a--b") and special(b"a...b") and special(b"a www.b")
